@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .language import op9_language
 from .minhash import op10_near_duplicates
+from .packing import op4_packing
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
 }

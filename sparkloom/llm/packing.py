@@ -65,8 +65,16 @@ def patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     if not len(lengths):
         return []
     need = np.array([demand[x] for x in lengths.tolist()], np.float64)
+    # The first basis: two lengths that fill a sequence share it as far as the rarer one
+    # reaches; what is over, and any other length, fills sequences alone.
+    at = {n: i for i, n in enumerate(lengths.tolist())}
     columns = np.diag(capacity // lengths)
-    inverse, x = np.diag(1.0 / (capacity // lengths)), need / (capacity // lengths)
+    for n, i in at.items():
+        j = at.get(capacity - n)
+        if j is not None and (need[i], i) < (need[j], j):
+            columns[i, i], columns[j, i] = 1, 1
+    inverse = np.linalg.inv(columns.astype(np.float64))
+    x = np.maximum(inverse @ need, 0)
     for _ in range(ROUNDS):
         value, pattern = best_pattern(lengths, inverse.sum(axis=0), capacity)
         if value <= 1 + 1e-9:

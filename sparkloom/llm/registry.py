@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .language import op9_language
+from .media import op5_media
 from .minhash import op10_near_duplicates
 from .packing import op4_packing
+from .token_store import op7_token_store
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op5_media": op5_media,
+    "op7_token_store": op7_token_store,
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
 }

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .html_text import op2_html_text
 from .language import op9_language
 from .media import op5_media
 from .minhash import op10_near_duplicates
 from .packing import op4_packing
+from .pii import op8_pii
 from .token_store import op7_token_store
 
 QUERIES = {
+    "op2_html_text": op2_html_text,
     "op4_packing": op4_packing,
     "op5_media": op5_media,
     "op7_token_store": op7_token_store,
+    "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
 }

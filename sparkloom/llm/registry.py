@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .edit_sketch import op1_edit_sketch
 from .html_text import op2_html_text
 from .language import op9_language
 from .media import op5_media
@@ -11,6 +12,7 @@ from .pii import op8_pii
 from .token_store import op7_token_store
 
 QUERIES = {
+    "op1_edit_sketch": op1_edit_sketch,
     "op2_html_text": op2_html_text,
     "op4_packing": op4_packing,
     "op5_media": op5_media,

@@ -77,7 +77,7 @@ class Encoder:
             text = _END.join(pieces) + _END if pieces else ""
         if not text:
             return np.empty(0, np.uint16)
-        return self.ids[self.merger.encode_to_numpy(text, disallowed_special=())]
+        return self.ids[np.array(self.merger.encode_ordinary(text), np.int32)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

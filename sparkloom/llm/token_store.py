@@ -33,7 +33,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 b = batch.slice(i, 1000)
-                streams = [np.concatenate([enc.one(t or ""), last]) for t in b.column(2).to_pylist()]
+                streams = [np.concatenate([ids, last]) for ids in enc.many([t or "" for t in b.column(2).to_pylist()])]
                 ends = chunks.cuts(streams)
                 data = [s.tobytes() for s in streams]
                 names = [chunks.digests(d, e, UNIT) for d, e in zip(data, ends)]

@@ -7,6 +7,7 @@ from .html_text import op2_html_text
 from .language import op9_language
 from .media import op5_media
 from .minhash import op10_near_duplicates
+from .mixing import OP6_SQL, op6_mixing
 from .packing import op4_packing
 from .pii import op8_pii
 from .token_store import op7_token_store
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op4_packing": op4_packing,
     "op5_media": op5_media,
+    "op6_mixing": op6_mixing,
     "op7_token_store": op7_token_store,
     "op8_pii": op8_pii,
     "op9_language": op9_language,
@@ -23,4 +25,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL where SQL can express a query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_mixing": OP6_SQL}

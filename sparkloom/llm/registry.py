@@ -7,6 +7,7 @@ from .html_text import op2_html_text
 from .language import op9_language
 from .media import op5_media
 from .minhash import op10_near_duplicates
+from .lm_score import op3_lm_score
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op4_packing
 from .pii import op8_pii
@@ -15,6 +16,7 @@ from .token_store import op7_token_store
 QUERIES = {
     "op1_edit_sketch": op1_edit_sketch,
     "op2_html_text": op2_html_text,
+    "op3_lm_score": op3_lm_score,
     "op4_packing": op4_packing,
     "op5_media": op5_media,
     "op6_mixing": op6_mixing,

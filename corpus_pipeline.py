@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkloom.llm import language as language_id
 from sparkloom.llm import minhash, mixing as mixture, packing as packer
 from sparkloom.llm import pii as personal
-from sparkloom.llm.common import fold, stored
+from sparkloom.llm.common import fold, small_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     train = docs.where(fold(F.col("doc_id"), 3) != 1)
     names, protos = language_id.prototypes(train)
     if not names:  # nothing to learn from: only texts without a letter go
@@ -33,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     groups = minhash.near_duplicates(docs, width=5)
     # Rows that repeat an id fall into one group, of which one row stays.
     gone = stored(groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
@@ -45,14 +47,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return personal.redact(docs, personal.fit(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return mixture.repeated(docs, limit=2.0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packer.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

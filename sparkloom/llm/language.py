@@ -22,7 +22,7 @@ from .common import fold, read
 #: Dimensions of a vector, seed of the letters' vectors, and distinct letter codes.
 DIM, SEED, LETTERS = 512, 20240607, 128
 UNKNOWN = "und"
-#: Bound on trigram vectors that one worker keeps (2 KB each).
+#: Bound on trigram vectors that one worker keeps (half a KB each).
 KEPT = 40_000
 
 
@@ -48,7 +48,7 @@ class Trigrams:
 
     def forget(self) -> None:
         self.row = np.full(LETTERS**3, -1, np.int32)
-        self.vectors = np.empty((0, DIM), np.float32)
+        self.vectors, self.used = np.empty((4096, DIM), np.int8), 0
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct trigrams of the text, word ends included, and how often each occurs."""
@@ -69,14 +69,16 @@ class Trigrams:
             part = codes[at : at + KEPT]
             new = part[self.row[part] < 0]
             if len(new):
-                if len(self.vectors) + len(new) > KEPT:
+                if self.used + len(new) > KEPT:
                     self.forget()
                     new = part
-                self.row[new] = np.arange(len(self.vectors), len(self.vectors) + len(new))
+                while self.used + len(new) > len(self.vectors):
+                    self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+                self.row[new] = np.arange(self.used, self.used + len(new))
                 a, b, c = new // LETTERS**2, new // LETTERS % LETTERS, new % LETTERS
-                bound = self.places[0][a] * self.places[1][b] * self.places[2][c]
-                self.vectors = np.concatenate([self.vectors, bound.astype(np.float32)])
-            total += n[at : at + KEPT].astype(np.float32) @ self.vectors[self.row[part]]
+                np.multiply(self.places[0][a] * self.places[1][b], self.places[2][c], out=self.vectors[self.used : self.used + len(new)])
+                self.used += len(new)
+            total += n[at : at + KEPT].astype(np.float32) @ self.vectors[self.row[part]].astype(np.float32)
         return total
 
 

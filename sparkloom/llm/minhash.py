@@ -35,7 +35,7 @@ from .graph import components
 #: Slots of a signature (a prime: slot orders are arithmetic progressions), and bands.
 SLOTS, BANDS, ROWS = 157, 31, 5
 #: Elements that are signed at once.
-BLOCK = 1_000_000
+BLOCK = 400_000
 #: Longs that hold two bits of each slot, and how many slots of a candidate may differ
 #: in them.  At similarity 0.8 a slot differs with probability 0.15, so 23.6 of 157 do,
 #: with deviation 4.5; 52 lies over six deviations above (under 1e-9).

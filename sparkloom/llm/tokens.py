@@ -27,6 +27,8 @@ _BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 _END = "\x00"
 
 
+#: Characters that are encoded together.
+TOGETHER = 500_000
 #: Stands between texts that are encoded together; texts with it count as rare.
 _BREAK = "\x01"
 #: Classes of UTF-8 bytes: white space, letters, single digits, the break, others.
@@ -120,13 +122,19 @@ class Encoder:
         """Ids of each text; common texts of the word vocabulary are encoded together."""
         if not self.by_word:
             return [self.one(t) for t in texts]
-        plain = [i for i, t in enumerate(texts) if "'" not in t and not self._rare(t)]
         out: list = [None] * len(texts)
-        if plain:
+        plain, size = [], 0
+        for i, t in enumerate(texts):
+            if "'" not in t and not self._rare(t):
+                plain.append(i)
+                size += len(t)
+            if not plain or size < TOGETHER and i + 1 < len(texts):
+                continue
             ids = self._merged(_marked([texts[i] for i in plain]))
             at = 0
-            for i, end in zip(plain, np.flatnonzero(ids == self.break_id).tolist()):
-                out[i], at = ids[at:end], end + 1
+            for k, end in zip(plain, np.flatnonzero(ids == self.break_id).tolist()):
+                out[k], at = ids[at:end], end + 1
+            plain, size = [], 0
         return [self.one(t) if x is None else x for x, t in zip(out, texts)]
 
 

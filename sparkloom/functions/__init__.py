@@ -1 +1 @@
-
+"""Column expressions: everything here stays inside the JVM."""

@@ -1 +1 @@
-
+"""Operators: functions from DataFrames to DataFrames."""

@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import search
+
+_PARTS = (search,)
+
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL: dict[str, str] = {name: text for part in _PARTS for name, text in part.SQL.items()}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph, history, search, sessions
+from . import chunks, events, graph, history, search, sessions, texts
 
-_PARTS = (search, graph, history, sessions)
+_PARTS = (search, graph, history, sessions, texts, chunks, events)
 
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL: dict[str, str] = {name: text for part in _PARTS for name, text in part.SQL.items()}

@@ -1 +1 @@
-
+"""Structured Streaming forms of the event operators."""

@@ -221,8 +221,10 @@ def edits_within(a: str, b: str, most: int) -> bool:
 def near_groups(docs: DataFrame, part: float = 0.05, bands: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, component_id``: texts tied by edit distances of at most ``part`` of the longer.
 
-    Equal texts are one node.  Each bucket's texts are compared with its smallest id, so
-    a bucket costs as many comparisons as it has texts.
+    Equal texts are one node.  Each bucket's texts are compared with its smallest id, which
+    is linear in the bucket; what these links leave in other components than the bucket's
+    largest is compared with all texts of other components there, so no link that any band
+    proposes is lost.  Rows without an id stay alone.
     """
 
     def prints(batches):
@@ -242,14 +244,27 @@ def near_groups(docs: DataFrame, part: float = 0.05, bands: int = 16, doc_id: st
     named = stored(rows.select("doc_id", F.sha2("text", 256).alias("digest")), "named")
     nodes = stored(named.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     texts = stored(rows.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text"), "texts")
+    left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return stored(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+
     keyed = stored(texts.mapInArrow(prints, "node long, keys array<string>").select("node", F.explode("keys").alias("bucket")), "keyed")
     pivots = keyed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k")
-    pairs = keyed.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    links = stored(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
-    groups = components(links)
+    shared = stored(keyed.join(pivots, "bucket"), "shared")
+    star = stored(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    links = confirmed(star)
+    placed = shared.join(components(links).withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+    placed = stored(placed, "placed")
+    sizes = placed.groupBy("bucket", "c").count()
+    main = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    opened = stored(placed.join(main, "bucket"), "opened")
+    outer = opened.where("c <> main").select("bucket", F.col("node").alias("n1"), F.col("c").alias("c1"))
+    other = (F.col("c1") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("n1") < F.col("node")))
+    rest = outer.join(opened, "bucket").where(other).select(F.least("n1", "node").alias("a"), F.greatest("n1", "node").alias("b")).distinct()
+    groups = components(links.union(confirmed(rest.join(star, ["a", "b"], "left_anti"))))
     found = named.join(nodes, "digest", "left").join(groups, "node", "left")
-    return found.select("doc_id", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
 
 
 def op1_edit_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:

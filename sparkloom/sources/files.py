@@ -23,7 +23,7 @@ def read_texts(spark: SparkSession, paths: list[str] | str, glob: str = "*") ->
     """``path, content, language``: whole files as UTF-8 with bad bytes dropped; blank and binary
     files are left out."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(paths)
-    content = F.regexp_replace(F.decode("content", "UTF-8"), "�", "")
+    content = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\uFFFD", "")
     rows = found.where(F.col("length") <= MOST_BYTES).select("path", content.alias("content"))
     rows = rows.where(F.col("content").rlike(r"\S") & ~kinds.binary(F.col("content")))
     return rows.withColumn("language", kinds.language(F.col("path")))

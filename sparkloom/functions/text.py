@@ -152,15 +152,15 @@ def _caps(parts: Column) -> Column:
 
 
 def _camel(parts: Column) -> Column:
-    return F.concat(F.element_at(parts, 1), _caps(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))))
+    return F.concat(F.try_element_at(parts, F.lit(1)), _caps(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))))
 
 
 def variations(name: Column) -> Column:
     """Other spellings of a name as (term, kind, confidence), the name itself first: the other
     styles at 0.9 (kebab 0.8) and naive plurals at 0.7."""
     w, s = name_words(name), style(name)
-    last = F.element_at(w, -1)
-    many = F.concat(F.slice(w, F.lit(1), F.size(w) - 1), F.array(F.concat(last, F.lit("s"))))
+    last = F.try_element_at(w, F.lit(-1))
+    many = F.concat(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.array(F.concat(last, F.lit("s"))))
     plural = ~last.endswith("s")
 
     def one(ok: Column, term: Column, kind: str, confidence: float) -> Column:
@@ -375,7 +375,7 @@ def references(text: Column) -> Column:
 def first_sentence(text: Column, most: int = 60) -> Column:
     """First sentence over ten characters that is no greeting, shortened with an ellipsis."""
     parts = F.transform(F.split(text, r"[.!?]"), F.trim)
-    good = F.element_at(F.filter(parts, lambda s: (F.length(s) > 10) & ~F.lower(s).rlike("hola|hello|buenos|good")), 1)
+    good = F.try_element_at(F.filter(parts, lambda s: (F.length(s) > 10) & ~F.lower(s).rlike("hola|hello|buenos|good")), F.lit(1))
     s = F.coalesce(good, text)
     return F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s)
 

@@ -90,4 +90,4 @@ def progress(events: DataFrame, task: str, current: str, total: str, seconds: st
     last = events.groupBy(task).agg(F.max(F.struct(seconds, current, total)).alias("x"), F.min(seconds).alias("t0"))
     c, n, t = F.col("x")[current], F.col("x")[total], F.col("x")[seconds] - F.col("t0")
     pace = F.when(t > 0, c / t).otherwise(0.0)
-    return last.select(task, c.alias("current"), n.alias("total"), (c * 100.0 / n).alias("percent"), pace.alias("per_second"), F.when(pace > 0, (n - c) / pace).alias("seconds_left"), (c >= n).alias("done"))
+    return last.select(task, c.alias("current"), n.alias("total"), F.try_divide(c * F.lit(100.0), n).alias("percent"), pace.alias("per_second"), F.when(pace > 0, (n - c) / pace).alias("seconds_left"), (c >= n).alias("done"))

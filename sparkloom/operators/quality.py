@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 def mrr(clicks: DataFrame) -> DataFrame:
     """One row: mean over queries of 1 / the best clicked ``position``."""
-    return clicks.groupBy("query_id").agg(F.min("position").alias("p")).agg(F.avg(1 / F.col("p")).alias("mrr"), F.count("*").alias("queries"))
+    return clicks.groupBy("query_id").agg(F.min("position").alias("p")).agg(F.avg(F.try_divide(F.lit(1.0), F.col("p"))).alias("mrr"), F.count("*").alias("queries"))
 
 
 def at_k(judged: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

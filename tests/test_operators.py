@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from sparkloom.functions import files, scores, vectors
 from sparkloom.functions import text as T
-from sparkloom.operators import chunking, compression, events, filters, graph, history, quality, search, sessions
+from sparkloom.operators import chunking, compression, context, events, filters, graph, history, insights, plugins, quality, search, sessions
 from sparkloom.sources import files as source
 from sparkloom.streaming import bus
 
@@ -245,3 +245,38 @@ def test_sources(spark, tmp_path):
     assert sorted(tuple(r) for r in source.merged(old, new, "id").collect()) == [("k", 1, "b"), ("l", 2, None), ("m", 3, "c")]
     source.append(new, f"{tmp_path}/log")
     assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+
+
+def test_names_without_words(spark):
+    for name in ("_", "", "__"):
+        assert [v["term"] for v in one(spark, T.variations(F.lit(name)))] == [name]
+    assert one(spark, T.first_sentence(F.lit(""))) == "" and one(spark, F.size(T.keywords(F.lit(None).cast("string")))) == 0
+    p = events.progress(spark.createDataFrame([("a", 1, 5, 0)], "task string, at long, current long, total long"), "task", "current", "total", "at").first()
+    assert p["percent"] is None and p["done"]
+
+
+def test_context(spark):
+    m = spark.createDataFrame([(1, 0, "system", 30), (1, 1, "user", 50), (1, 2, "assistant", 60), (1, 3, "user", 40), (2, 0, "user", 999)], "c int, turn int, role string, t int")
+    assert sorted(tuple(r) for r in context.fitting(m, "c", "turn", "role", "t", 120).collect()) == [(1, 0), (1, 1), (1, 3)]
+    assert context.cycle_budget(131072, 1, "128k") == {"code_analysis": 117964, "internal": 13107} and context.cycle_budget(32768, 2)["window"] == 1500
+    assert context.cycle_budget(1000, 2, "8k") == {"window": 45, "code_analysis": 855, "internal": 100}
+    got = context.expanded("call getUser now", spark)
+    assert got[0] == "call getUser now" and "call get_user now" in got and len(got) == 5
+    s = one(spark, context.summary(F.lit("Please fix the crash in parser.py today"), F.lit("You should add a test. Then done.")))
+    assert s == "[DEBUGGING] | User: Please fix the crash in parser | Context: parser.py | Answer: You should add a test"
+
+
+def test_insights(spark):
+    f = spark.createDataFrame([(1, "Bug", "CRITICAL", "a"), (2, "bug", "LOW", "b"), (3, None, "HIGH", "c")], "id int, type string, severity string, description string")
+    assert [r["id"] for r in insights.consolidated(f).collect()] == [1]
+    assert {r["category"]: r["markdown"] for r in insights.report(f, "Findings", "id").collect()}["bugs"] == "## Findings: bugs\n- **CRITICAL** a\n- **LOW** b"
+    gates = [one(spark, insights.suggests(F.lit(x), F.lit(m), F.lit(None).cast("string"), F.lit(r), F.lit("2024-01-01"))) for x, m, r in ((9.9, "hi", False), (8.0, "fix code", False), (8.0, "hi", False), (9.9, "code", True))]
+    assert gates == [True, True, False, False]
+
+
+def test_models(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, "")], "id int, text string")
+    first = plugins.encoded(rows)
+    assert first.count() == 2 and plugins.encoded(rows, cache=first).count() == 0
+    c = spark.createDataFrame([(1, "a b", "a x", 0.1), (1, "a b", "b a", 0.0)], "query_id int, query string, text string, score double")
+    assert {r["text"]: r["score"] for r in plugins.rescored(c, "query", "text").collect()} == {"a x": 0.5, "b a": 1.0}

@@ -25,6 +25,23 @@ def language(path: Column) -> Column:
     return F.coalesce(_map(NAMES)[name], _map(LANGUAGES)[F.regexp_extract(name, r"\.([a-z0-9]+)$", 1)], F.lit("unknown"))
 
 
+# Signs of languages in a text without a telling name.
+SIGNS = {
+    "python": r"(?m)^\s*(?:def \w+\(|class \w+.*:|import \w+|from \w+ import )", "javascript": r"(?m)\b(?:const|let|var) \w+ =|function \w*\(|=> \{", "java": r"(?m)\bpublic (?:class|static|void)\b|\bimport java",
+    "go": r"(?m)^package \w+|^func ", "rust": r"(?m)\bfn \w+|\blet mut ", "c": r"(?m)^#include|\bint main\(", "ruby": r"(?m)^\s*(?:require '|end$)", "php": r"<\?php", "sql": r"(?im)^\s*(?:select|insert|create table)\b",
+    "html": r"(?i)<!doctype html|<html", "markdown": r"(?m)^#{1,6} ",
+}
+
+
+def language_of_content(content: Column) -> Column:
+    """Language by a first line that names an interpreter, else by most signs; else unknown."""
+    first = F.regexp_extract(content, r"^#!.*?\b(python|node|bash|sh|ruby|perl|php|lua)\d*", 1)
+    named = F.when(first == "node", "javascript").when(first == "sh", "bash").when(first != "", first)
+    counts = F.array(*[F.struct(F.regexp_count(content, F.lit(p)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, p) in enumerate(SIGNS.items())])
+    best = F.array_max(counts)
+    return F.coalesce(named, F.when(best["n"] > 0, best["name"]), F.lit("unknown"))
+
+
 def category(path: Column) -> Column:
     lang = language(path)
     return F.when(lang == "unknown", "other").when(lang.isin(*DOCUMENTATION), "documentation").when(lang.isin(*CONFIGURATION), "configuration").when(lang.isin(*DATA), "data").otherwise("code")

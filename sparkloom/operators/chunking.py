@@ -19,6 +19,48 @@ UNSAFE = ("pickle.loads", "eval(", "exec(", "marshal.loads", "yaml.load(", "dese
 ENV = (r"\$\{([A-Z_][A-Z0-9_]*)\}", r"\$([A-Z_][A-Z0-9_]*)", r"%([A-Z_][A-Z0-9_]*)%", r"\{\{([A-Z_][A-Z0-9_]*)\}\}", r"env\.([A-Z_][A-Z0-9_]*)", r"ENV\[['\"](.*?)['\"]\]")
 
 
+#: Lines of a chunk and of its overlap by language (fixed values).
+SIZES = {"python": (150, 30), "java": (100, 20), "javascript": (120, 24), "typescript": (120, 24), "go": (100, 20), "rust": (100, 20), "markdown": (50, 10)}
+#: Sections of documentation and their words (fixed values).
+SECTIONS = {
+    "installation": "install|setup|getting started", "usage": "usage|how to use|example|quick start", "api": "api|reference|methods|functions",
+    "configuration": "config|settings|options", "contributing": "contribut|development|pull request", "license": "license|copyright",
+}
+
+
+def default_size(language: Column) -> Column:
+    """(size, overlap) in lines for a language."""
+    out = None
+    for name, (size, overlap) in SIZES.items():
+        row = F.struct(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"))
+        out = F.when(language == name, row) if out is None else out.when(language == name, row)
+    return out.otherwise(F.struct(F.lit(100).alias("size"), F.lit(20).alias("overlap")))
+
+
+def adapted_size(stats: DataFrame, size: int = 100, overlap: float = 0.2) -> DataFrame:
+    """``strategy, size, overlap`` from ``path, functions, classes, comment_ratio, mean_function,
+    longest_function, depth``: smaller chunks for dense code, larger ones for sparse."""
+    test = F.lower("path").rlike("test|spec")
+    strategy = (
+        F.when(test, "balanced").when(F.col("comment_ratio") > 0.3, "documentation").when((F.col("mean_function") > 50) | (F.col("depth") > 10), "dense")
+        .when((F.col("functions") < 5) & (F.col("classes") < 2), "sparse").otherwise("balanced")
+    )
+    rows = stats.withColumn("strategy", strategy)
+    by = F.col("strategy")
+    n = F.when(by == "dense", int(size * 0.6)).when(by == "sparse", int(size * 1.5)).when(by == "documentation", int(size * 0.8)).otherwise(size)
+    n = F.when(test, F.least(n, F.lit(100))).otherwise(n)
+    n = F.when(F.col("longest_function") > 100, F.greatest(n, F.lit(150))).otherwise(n)
+    share = F.when(by == "dense", min(0.3, overlap * 1.5)).when(by == "sparse", max(0.1, overlap * 0.5)).otherwise(overlap)
+    return rows.select("path", "strategy", n.cast("int").alias("size"), share.alias("overlap"))
+
+
+def documentation(content: Column) -> Column:
+    """(sections, completeness) of a documentation text: which of six common sections it has."""
+    low = F.lower(content)
+    found = F.array_compact(F.array(*[F.when(low.rlike(words), F.lit(name)) for name, words in SECTIONS.items()]))
+    return F.struct(found.alias("sections"), (F.size(found) / float(len(SECTIONS))).alias("completeness"))
+
+
 def lines(content: Column) -> Column:
     return F.split(F.coalesce(content, F.lit("")), "\n")
 

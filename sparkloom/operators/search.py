@@ -104,3 +104,19 @@ def two_stage(corpus: DataFrame, queries: DataFrame, second: Column, k: int = 10
     first = nearest(corpus, queries, 3 * k, -1.0, key, vector, metric="cosine").drop("rank")
     again = first.join(corpus.drop(vector), key).withColumn("score", second)
     return top(again, k, F.desc(F.round("score", 9)), F.col(key))
+
+
+def graph_expanded(corpus: DataFrame, queries: DataFrame, edges: DataFrame, k: int = 10, key: str = "id", path: str = "path", vector: str = "embedding", depth: int = 2, least: float = 0.3, per_file: int = 100) -> DataFrame:
+    """The ``k`` nearest of each query among its seeds (``k // 3``, five at most) and the chunks of
+    files that the graph relates to theirs, so many a file."""
+    from .graph import related
+
+    seeds = nearest(corpus, queries, min(5, max(1, k // 3)), -1.0, key, vector, metric="cosine").join(corpus.select(key, path), key).select("query_id", key, path)
+    near = related(edges, seeds.select(F.col(path).alias("seed")).distinct(), depth, least).select("seed", F.col("node").alias("__file"))
+    nth = F.row_number().over(Window.partitionBy(path).orderBy(key))
+    held = corpus.select(key, path).withColumn("__nth", nth).where(F.col("__nth") <= per_file)
+    more = seeds.join(near, F.col(path) == F.col("seed")).select("query_id", "__file").distinct().join(held, F.col("__file") == F.col(path)).select("query_id", key)
+    candidates = seeds.select("query_id", key).unionByName(more).distinct()
+    rows = candidates.join(corpus.select(key, vector), key).join(queries, "query_id")
+    scored = rows.select("query_id", key, vectors.cosine(F.col(vector), F.col("query_vector")).alias("score"))
+    return top(scored, k, F.desc(F.round("score", 9)), F.col(key))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scores, vectors
 from ..operators import filters, search
-from .tables import load
+from .tables import EDGES_SQL, load
 
 AS_OF = "2002-01-01 00:00:00"
 
@@ -119,6 +119,14 @@ def two_stage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.two_stage(corpus, queries, again, 5, "vec_id").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus, queries = _vectors(spark, sf_dir)
+    corpus = corpus.select("vec_id", F.concat(F.lit("p"), (F.col("vec_id") % 200).cast("string")).alias("path"), "embedding")
+    from .tables import edges
+
+    return search.graph_expanded(corpus, queries, edges(spark, sf_dir).where("strength >= 0.6"), 9, "vec_id").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 SQL = {
     "vector_topk": f"""
@@ -197,10 +205,21 @@ SQL |= {
       SELECT query_id, vec_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""",
 }
 
+SQL["graph_search"] = f"""WITH {EDGES_SQL}, b AS (SELECT source_id AS node, target_id AS neighbor, strength FROM edges WHERE strength >= 0.6 UNION ALL SELECT target_id, source_id, strength FROM edges WHERE strength >= 0.6),
+  hops AS (SELECT node, neighbor, max(strength) AS s FROM b GROUP BY ALL),
+  c AS (SELECT vec_id, 'p' || vec_id % 200 AS path, embedding FROM embeddings), s AS (SELECT q.vec_id AS query_id, a.vec_id, a.path, {_COS} AS score FROM c a, c q WHERE q.vec_id % 50 = 0),
+  seeds AS (SELECT query_id, vec_id, path FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) <= 3),
+  one AS (SELECT seed, h.neighbor AS node, h.s FROM (SELECT DISTINCT path AS seed FROM seeds) JOIN hops h ON h.node = seed WHERE h.s >= 0.3),
+  two AS (SELECT seed, h.neighbor AS node FROM one JOIN hops h ON h.node = one.node WHERE one.s * h.s >= 0.3), near AS (SELECT seed, node FROM one UNION SELECT seed, node FROM two WHERE node <> seed),
+  held AS (SELECT vec_id, path FROM c QUALIFY row_number() OVER (PARTITION BY path ORDER BY vec_id) <= 100),
+  cand AS (SELECT query_id, vec_id FROM seeds UNION SELECT query_id, held.vec_id FROM seeds JOIN near ON near.seed = seeds.path JOIN held ON held.path = near.node),
+  r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM cand JOIN s USING (query_id, vec_id))
+  SELECT query_id, vec_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 9"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, vector_validate, vector_same_label_precision, bm25_topk, minmax_fusion, hybrid_topk, search_filters, date_filter,
-        keyword_search, rerank_recency, rerank_bands, rerank_boost, rerank_mixed, diversity_cap, two_stage_search,
+        keyword_search, rerank_recency, rerank_bands, rerank_boost, rerank_mixed, diversity_cap, two_stage_search, graph_search,
     )
 }

@@ -280,3 +280,22 @@ def test_models(spark):
     assert first.count() == 2 and plugins.encoded(rows, cache=first).count() == 0
     c = spark.createDataFrame([(1, "a b", "a x", 0.1), (1, "a b", "b a", 0.0)], "query_id int, query string, text string, score double")
     assert {r["text"]: r["score"] for r in plugins.rescored(c, "query", "text").collect()} == {"a x": 0.5, "b a": 1.0}
+
+
+def test_chunk_sizes_and_documentation(spark):
+    rows = [("src/a.py", 9, 3, 0.0, 60.0, 120, 4), ("tests/a.py", 1, 0, 0.9, 1.0, 1, 1), ("b.py", 1, 0, 0.0, 5.0, 5, 2), ("c.py", 1, 0, 0.5, 5.0, 5, 2), ("d.py", 9, 3, 0.0, 5.0, 5, 2)]
+    stats = spark.createDataFrame(rows, "path string, functions int, classes int, comment_ratio double, mean_function double, longest_function int, depth int")
+    found = {r["path"]: (r["strategy"], r["size"], round(r["overlap"], 2)) for r in chunking.adapted_size(stats, 120, 0.2).collect()}
+    assert found == {"src/a.py": ("dense", 150, 0.3), "tests/a.py": ("balanced", 100, 0.2), "b.py": ("sparse", 180, 0.1), "c.py": ("documentation", 96, 0.2), "d.py": ("balanced", 120, 0.2)}
+    assert one(spark, chunking.default_size(F.lit("python")))["size"] == 150 and one(spark, chunking.default_size(F.lit("odd")))["overlap"] == 20
+    assert one(spark, chunking.documentation(F.lit("## Install\n## License")))["completeness"] == 2 / 6
+    texts = {"#!/usr/bin/env python3\nx": "python", "#!/bin/sh": "bash", "package x\nfunc f() {}": "go", "": "unknown", "# Head\n": "markdown", "import os\ndef f():\n": "python"}
+    assert {t: one(spark, files.language_of_content(F.lit(t))) for t in texts} == texts
+
+
+def test_idle_connections(spark, tmp_path):
+    df = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:30"), ("a", "2024-01-01 00:05:00")], "id string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(f"{tmp_path}/in")
+    rows = bus.idle(bus.source(spark, f"{tmp_path}/in", df.schema), "ts", "id")
+    rows.writeStream.format("memory").queryName("idle").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["beats"] for r in spark.table("idle").collect()) == [1, 2]

@@ -6,7 +6,7 @@ from .edit_sketch import op1_edit_sketch
 from .html_text import op2_html_text
 from .language import op9_language
 from .media import op5_media
-from .minhash import op10_near_duplicates
+from .minhash import OP10_SQL, op10_near_duplicates
 from .lm_score import op3_lm_score
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op4_packing
@@ -27,4 +27,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL where SQL can express a query.
-SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
+SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_near_duplicates": OP10_SQL}

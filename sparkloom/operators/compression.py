@@ -1,7 +1,7 @@
 """Fitting chunks into a token budget.
 
 Greedy packing takes what still fits and skips what does not, which no running sum can say:
-each query's candidates (``k`` is small) are folded in order inside one expression.
+rows stream in order past a fold whose state is the tokens used.
 """
 
 from __future__ import annotations
@@ -9,39 +9,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from .folding import folded
 
 
 def packed(rows: DataFrame, by: str, key: str, tokens: str, score: str, budget: int) -> DataFrame:
-    """``by, key, tokens`` of the rows kept: in order of score, each that still fits."""
-    item = F.struct((-F.col(score)).alias("o"), F.col(key).alias("k"), F.col(tokens).cast("long").alias("t"))
-    kind = rows.schema[key].dataType.simpleString()
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<k:{kind},t:bigint,used:bigint>>").alias("kept"))
+    """``by, key, tokens, used`` of the rows kept: in order of score, each that still fits."""
 
-    def step(s: Column, x: Column) -> Column:
-        fits = s["used"] + x["t"] <= budget
-        used = s["used"] + x["t"]
-        return F.when(fits, F.struct(used.alias("used"), F.concat(s["kept"], F.array(F.struct(x["k"].alias("k"), x["t"].alias("t"), used.alias("used")))).alias("kept"))).otherwise(s)
+    def start():
+        used = 0
 
-    kept = F.aggregate(F.array_sort(F.collect_list(item)), zero, step)["kept"]
-    out = rows.groupBy(by).agg(kept.alias("__kept")).select(by, F.explode("__kept").alias("__x"))
-    return out.select(by, F.col("__x.k").alias(key), F.col("__x.t").alias("tokens"), F.col("__x.used").alias("used"))
+        def step(t):
+            nonlocal used
+            if used + t > budget:
+                return None
+            used += t
+            return used
+
+        return step
+
+    one = rows.select(by, key, F.col(tokens).cast("long").alias("tokens"), (-F.col(score)).alias("__o"))
+    return folded(one, [by], ["__o", key], "tokens", start, "used", "long").drop("__o")
 
 
 def batches(rows: DataFrame, by: str, key: str, tokens: str, limit: int) -> DataFrame:
     """``by, key, batch``: rows in order of key, a new batch whenever the limit would be passed;
     a row over the limit is alone."""
-    item = F.struct(F.col(key).alias("k"), F.col(tokens).cast("long").alias("t"))
-    kind = rows.schema[key].dataType.simpleString()
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).alias("batch"), F.array().cast(f"array<struct<k:{kind},b:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = (s["batch"] < 0) | (s["used"] + x["t"] > limit)
-        b = F.when(new, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(F.when(new, x["t"]).otherwise(s["used"] + x["t"]).alias("used"), b.alias("batch"), F.concat(s["out"], F.array(F.struct(x["k"].alias("k"), b.alias("b")))).alias("out"))
-
-    found = F.aggregate(F.array_sort(F.collect_list(item)), zero, step)["out"]
-    out = rows.groupBy(by).agg(found.alias("__o")).select(by, F.explode("__o").alias("__x"))
-    return out.select(by, F.col("__x.k").alias(key), F.col("__x.b").alias("batch"))
+
+    def start():
+        used, batch = 0, -1
+
+        def step(t):
+            nonlocal used, batch
+            if batch < 0 or used + t > limit:
+                used, batch = 0, batch + 1
+            used += t
+            return batch
+
+        return step
+
+    one = rows.select(by, key, F.col(tokens).cast("long").alias("__t"))
+    return folded(one, [by], [key], "__t", start, "batch", "int").drop("__t")
 
 
 def should_compress(kind: Column, total: Column, mean: Column, budget: int, least: int = 100) -> Column:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .folding import folded
+
 #: Allowed changes of state of an analysis cycle (fixed values).
 STATES = {
     "MONITORING": ("DROWSY",), "DROWSY": ("DREAMING", "MONITORING"), "DREAMING": ("REM", "MONITORING"), "REM": ("DEEP_SLEEP", "MONITORING"),
@@ -28,21 +27,20 @@ def cooldown(events: DataFrame, keys: list[str], seconds: str, order: str, gap:
     read in order; state is one number a key, so a key may have any number of events: they
     stream through sorted partitions and are never gathered.
     """
-    n = events.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = events.repartition(int(n), *keys).sortWithinPartitions(*keys, seconds, order)
-
-    def accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = None, None
-        for pdf in batches:
-            keep = []
-            for key, t in zip(zip(*(pdf[k] for k in keys)), pdf[seconds]):
-                ok = key != now or t - last >= gap
-                if ok:
-                    now, last = key, t
-                keep.append(ok)
-            yield pdf[keep]
-
-    return rows.mapInPandas(accept, rows.schema)
+
+    def start():
+        last = None
+
+        def step(t):
+            nonlocal last
+            if last is not None and t - last < gap:
+                return None
+            last = t
+            return True
+
+        return step
+
+    return folded(events, keys, [seconds, order], seconds, start, "__ok", "boolean").drop("__ok")
 
 
 def apply_feed(state: DataFrame, feed: DataFrame, key: str, action: str, order: str) -> DataFrame:

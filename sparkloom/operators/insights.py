@@ -50,11 +50,13 @@ def consolidated(findings: DataFrame, most_architecture: int = 3) -> DataFrame:
     return c.withColumn("keep", keep).where("keep").drop("keep")
 
 
-def report(findings: DataFrame, title: str, order: str) -> DataFrame:
-    """``category, markdown``: a section of each category, worst findings first."""
+def report(findings: DataFrame, title: str, order: str, most: int = 100) -> DataFrame:
+    """``category, markdown``: a section of each category with its worst findings, so many."""
     rank = F.when(F.upper("severity") == "CRITICAL", 0).when(F.upper("severity") == "HIGH", 1).when(F.upper("severity") == "MEDIUM", 2).otherwise(3)
     line = F.concat(F.lit("- **"), F.upper("severity"), F.lit("** "), F.col("description"))
-    rows = findings.groupBy(category(F.col("type")).alias("category")).agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.col(order).alias("o"), line.alias("l")))).alias("x"))
+    placed = findings.withColumn("category", category(F.col("type")))
+    nth = F.row_number().over(Window.partitionBy("category").orderBy(rank, order))
+    rows = placed.withColumn("__nth", nth).where(F.col("__nth") <= most).groupBy("category").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.col(order).alias("o"), line.alias("l")))).alias("x"))
     return rows.select("category", F.concat(F.lit(f"## {title}: "), F.col("category"), F.lit("\n"), F.array_join(F.transform("x", lambda y: y["l"]), "\n")).alias("markdown"))
 
 

@@ -27,6 +27,8 @@ from .common import BROADCAST_BYTES, read, stored
 #: Leading paths of a host that are tried, and the part of a page's best score that a
 #: path's container must reach.
 LEADERS, FAIR = 3, 0.4
+#: A container whose siblings of equal path reach this part of its score is one section of many.
+TWINS = 0.25
 #: Copies of a host's paths, and shares its pages are dealt into, if they are joined by shuffle.
 SALTS = 32
 
@@ -48,6 +50,7 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Words of class and id that name what is no article, or what is one.
 _BAD = frozenset(
+    "adbox adsense adslot alert alerts announcement captcha commentlist cookiebanner cookiebar copyright disclaimer donate donation drawer feedback legal lightbox notification notifications offcanvas outbrain overlay poll popover sitenav subnav survey taboola tooltip topbar "
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion promoted recommended recommendations related reply replies respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe teaser toolbar widget widgets".split()
 )
 _GOOD = frozenset("article body content entry main post story text".split())
@@ -59,7 +62,7 @@ class Page:
     def __init__(self, source: str) -> None:
         self.parent, self.path, self.tag, self.bonus = [-1], [""], ["html"], [1.0]
         self.score: dict[int, float] = {}
-        self.blocks: list[tuple[str, int]] = []  # text and nearest container
+        self.blocks: list[tuple[str, int, bool]] = []  # text, nearest container, whether a heading
         self._parse(source)
 
     def _parse(self, source: str) -> None:
@@ -72,7 +75,7 @@ class Page:
             text.clear()
             if words:
                 box = next(i for i, t, _ in reversed(stack) if t in _BOX or i == 0)
-                self.blocks.append((words, box))
+                self.blocks.append((words, box, any(t in _HEADING for _, t, _ in stack)))
                 gain, step = max(0.0, len(words) - 1.0 * linked), 1.0
                 while box >= 0 and step > 0.05:
                     self.score[box] = self.score.get(box, 0.0) + gain * step
@@ -147,18 +150,38 @@ class Page:
         end_block()
 
     def best(self) -> int:
-        """The container with the highest score; the article (or main part) around it, if any."""
+        """The container with the highest score, widened to the article that it is a part of."""
         if not self.score:
             return 0
-        top = max(self.score, key=lambda i: (self.score[i] * self.bonus[i], -i))
+        return self._whole(max(self.score, key=lambda i: (self.score[i] * self.bonus[i], -i)))
+
+    def _whole(self, top: int) -> int:
+        """The article (or main part) around a container, if any; else the container with the
+        siblings that repeat its path and with headings that stand alone around it."""
         for wanted in ("article", "main"):
             i = found = top
             while i > 0:
                 found, i = (i if self.tag[i] == wanted else found), self.parent[i]
             if self.tag[found] == wanted:
                 return found
+        while self.parent[top] > 0 and self.tag[self.parent[top]] != "body":
+            above = self.parent[top]
+            inner, outer = self.inside(top), self.inside(above)
+            around = [(box, head) for _, box, head in self.blocks if box in outer and box not in inner]
+            twins = [i for i in self.score if self.parent[i] == above and i != top and self.path[i] == self.path[top]]
+            if not (around and all(head for _, head in around)) and sum(self.score[i] for i in twins) < TWINS * self.score[top]:
+                break
+            top = above
         return top
 
+    def inside(self, root: int) -> set[int]:
+        """A container and all within it."""
+        found = {root}
+        for i in range(root + 1, len(self.parent)):
+            if self.parent[i] in found:
+                found.add(i)
+        return found
+
     def weight(self, i: int) -> float:
         return self.score.get(i, 0.0) * self.bonus[i]
 
@@ -173,11 +196,8 @@ class Page:
         return own
 
     def text(self, root: int) -> str:
-        inside = {root}
-        for i in range(root + 1, len(self.parent)):
-            if self.parent[i] in inside:
-                inside.add(i)
-        return "\n".join(t for t, box in self.blocks if box in inside)
+        inside = self.inside(root)
+        return "\n".join(t for t, box, _ in self.blocks if box in inside)
 
 
 def host(url):

@@ -198,3 +198,14 @@ def test_op10(rows, docs):
     for r in found:
         if r["doc_id"] is not None:
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]), find(r["doc_id"]) == r["doc_id"])
+
+
+@pytest.mark.parametrize("name", ["op2_html_text", "op4_packing", "op5_media", "op7_token_store", "op10_near_duplicates"])
+def test_shuffled_instead_of_broadcast(spark, odd_dir, rows, monkeypatch, name):
+    """Beyond the bound of broadcast sides the other way gives the same rows."""
+    from sparkloom.llm import common, html_text
+
+    expected = sorted(map(repr, rows(name)))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", -1)
+    assert sorted(map(repr, registry.QUERIES[name](spark, odd_dir).collect())) == expected

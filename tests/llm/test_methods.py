@@ -189,6 +189,12 @@ def test_html_templates():
     assert p.text(p.best()) == "T & U\nOne two three four.\nFive six\na long item of list\nb item"
     p = html_text.Page("<main><article><header><h1>Head</h1><div>by line</div></header><section><p>First part here.</p></section><section><p>Second&nbsp;part.</p></section><div role=alert>!</div></article></main>")
     assert p.text(p.best()) == "Head\nFirst part here.\nSecond part."
+    p = html_text.Page("<body><div id=wrap><div class='main-content'><h1>Title</h1><div class=entry><p>Long first part of it.</p><p>And more of it.</p></div></div><div id='comments'><p>nice one</p></div></div>")
+    assert p.text(p.best()) == "Title\nLong first part of it.\nAnd more of it."
+    p = html_text.Page("<body><div><div class=s1><p>" + "a" * 90 + "</p></div><div class=s2><p>" + "b" * 40 + "</p></div></div><div class=ad-slot>Buy</div>")
+    assert p.text(p.best()) == "a" * 90 + "\n" + "b" * 40
+    p = html_text.Page("<TABLE><TR><TD CLASS=menu><A HREF=x>m</A></TD><TD>Bare &lt;text&gt;<BR>goes   on<!-- no --></TD></TR></TABLE>")
+    assert p.text(p.best()) == "Bare <text> goes on"
     assert html_text.Page("").blocks == [] and html_text.Page("<p>").blocks == []
 
 

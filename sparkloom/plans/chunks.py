@@ -128,6 +128,12 @@ SQL = {
     "corpus_stats": """SELECT lang, source, count(*) AS n, count(DISTINCT doc_id) AS files, sum(n_chars)::BIGINT AS chars, count(*) * 2048 AS estimated_bytes FROM documents GROUP BY GROUPING SETS ((lang), (source), ())""",
     "line_todos": rf"""WITH {_N}, k AS (SELECT *, list_filter({list(chunking.TODO)}, lambda x: contains(upper(line), x))[1] AS kind FROM n)
       SELECT doc_id, line_no, kind, regexp_replace(regexp_replace(regexp_extract(line, '(?i)(?:{'|'.join(chunking.TODO)})[:\s]*(.*)$', 1), '^[/*#\-\s]+', ''), '[*/\s\-]+$', '') AS note FROM k WHERE kind IS NOT NULL""",
+    "line_risks": rf"""WITH {_N}, r AS (SELECT doc_id, unnest(list_filter([
+        CASE WHEN regexp_matches(upper(line), '\b(SELECT|INSERT|UPDATE|DELETE)\b') AND regexp_matches(line, '[\x22\x27].*(\+|%|\.format\(|\{{)') THEN 'sql_injection' END,
+        CASE WHEN ({' OR '.join(f"contains(lower(line), '{w}')" for w in chunking.CREDENTIALS)}) AND contains(line, '=') AND regexp_matches(line, '[\x22\x27]') AND len(line) < 200 AND NOT regexp_matches(lower(line), 'env|config|getenv|environ') THEN 'hardcoded_credential' END,
+        CASE WHEN {' OR '.join(f"contains(upper(line), '{w}')" for w in chunking.WEAK)} THEN 'weak_cryptography' END,
+        CASE WHEN {' OR '.join(f"contains(line, '{w}')" for w in chunking.UNSAFE)} THEN 'unsafe_deserialization' END], lambda x: x IS NOT NULL)) AS risk FROM n)
+      SELECT risk, CASE risk WHEN 'hardcoded_credential' THEN 'critical' WHEN 'weak_cryptography' THEN 'medium' ELSE 'high' END AS severity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM r GROUP BY ALL""",
     "budget_pack": rf"""
       WITH RECURSIVE d AS (SELECT source, doc_id, n_chars % 97 AS score, len(text) AS n, substr(text, 1, 200) AS s FROM documents),
       t AS (SELECT source, doc_id, CASE WHEN n = 0 THEN 0 WHEN n > 50000 THEN n // 4 ELSE greatest(1, n // CASE WHEN len(s) - len(regexp_replace(s, '[{{}}()\[\]<>;:=]', '', 'g')) > len(s) * 0.1 THEN 5 WHEN len(s) - len(regexp_replace(s, '[^\x00-\x7F]', '', 'g')) > len(s) * 0.2 THEN 3 ELSE 4 END) END AS t,

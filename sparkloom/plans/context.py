@@ -108,6 +108,19 @@ SQL = {
       SELECT id, category, severity FROM r WHERE (category IN ('bugs', 'security') AND severity = 'CRITICAL') OR (category = 'architecture' AND k <= 3)""",
     "analysis_gate": f"""WITH c AS (SELECT *, lower(text || CASE WHEN conv_id % 2 = 0 THEN ' fix' ELSE '' END) AS m, turn * 1.3 + 5 AS level FROM conversations)
       SELECT conv_id, turn, conv_id % 5 <> 0 AND (level > 9.5 OR (level > 7.5 AND ({_CODE}) AND turn % 3 = 0)) AS suggest FROM c""",
+    "fatigue_triggers": f"""WITH {H._C}, t AS (SELECT unnest(list_filter([CASE WHEN conflicts > 3 THEN 'high_conflicts' END, CASE WHEN last_30 > 20 AND stability < 0.3 THEN 'rapid_changes' END], lambda x: x IS NOT NULL)) AS trigger, path::VARCHAR AS path FROM v LEFT JOIN s2 USING (path)),
+      k AS (SELECT *, row_number() OVER (PARTITION BY trigger ORDER BY path) AS k FROM t) SELECT trigger, count(*) AS n, string_agg(path, ',' ORDER BY path) FILTER (k <= 3) AS files FROM k GROUP BY trigger""",
+    "fatigue_explained": f"""WITH f AS ({H.SQL['fatigue_score']}), r AS (SELECT *, array_to_string(list_filter([CASE WHEN instability * 3 > 1.5 THEN 'unstable files with frequent changes' END, CASE WHEN activity * 3 > 2 THEN 'high recent code activity' END,
+        CASE WHEN volatility * 2 > 1 THEN 'high code volatility' END, CASE WHEN architecture > 0.5 THEN 'architectural changes detected' END, CASE WHEN time > 0.5 THEN 'time since last optimization' END], lambda x: x IS NOT NULL), ', ') AS why FROM f)
+      SELECT CASE WHEN why = '' THEN 'Stable system with normal activity' ELSE 'Fatigue level ' || printf('%.1f', fatigue) || ' due to: ' || why END AS explanation,
+        CASE WHEN fatigue < 3 THEN 'System optimized, no action required' WHEN fatigue < 5 THEN 'Good performance, optimization not urgent' WHEN fatigue < 7 THEN 'Consider optimization soon for better performance'
+             WHEN fatigue < 9 THEN 'Optimization recommended - notable degradation' ELSE 'Urgent optimization - significantly degraded performance' END AS recommendation,
+        round(fatigue * 0.3::DOUBLE, 6) AS reduced, round(fatigue, 6) AS model FROM r""",
+    "cross_scores": r"""
+      WITH p AS (SELECT q.conv_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(q.text), '\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(t.text), '\s+'), lambda x: x <> '')) AS b
+                 FROM conversations q JOIN conversations t ON q.conv_id = t.conv_id AND q.role = 'user' AND t.role = 'assistant'
+                 QUALIFY row_number() OVER (PARTITION BY q.conv_id ORDER BY t.turn DESC, t.text) <= 100)
+      SELECT query_id, count(*) AS n, round(max(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END), 6) AS best FROM p GROUP BY query_id""",
     "embed_texts": "SELECT DISTINCT sha256(text) AS key, 64 AS dim, 1.0::DOUBLE AS norm FROM documents",
 }
 QUERIES = {

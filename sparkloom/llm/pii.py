@@ -1,12 +1,14 @@
 """Personal data: exact patterns, and a skip-chain conditional random field for repeats.
 
 Four patterns give the base spans.  In documents that have any, tokens with a digit or
-an at sign are the nodes of a random field over the labels other, email, ip, card and
+an at sign, and repeats of an address's local part, are the nodes of a random field over the labels other, email, ip, card and
 phone.  Near neighbours share chain potentials; tokens that repeat each other anywhere
 in the document (equal text, equal last digits, an address and its local part) share
-skip potentials, occurrence to next occurrence, so edges grow with the tokens.  Loopy
-belief propagation spreads what the patterns know, and runs of tokens that end up
-surely labelled become added spans if a skip edge ties them to a base span of that kind.
+skip potentials, occurrence to next occurrence and to the last base-labelled one before it (or
+the first after), so edges grow with the tokens.  Loopy
+belief propagation spreads what the patterns know, and tokens that end up
+surely labelled become added spans if skip edges, one after the other, tie them to a base
+span of that kind.
 
 The node weights (multinomial logistic regression) and edge potentials (smoothed log
 odds) are fitted to counts over the whole corpus, with base labels as targets; the
@@ -37,6 +39,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S*[0-9@]\S*")
+_WORD = re.compile(r"\S+")
+_AROUND = ".,;:!?()[]<>\"'"
 _NOT_DIGIT = re.compile("[^0-9]")
 #: What a document needs to have any base span.
 HINT = "[0-9@]"
@@ -93,7 +97,12 @@ def _graph(text: str, spans: list[tuple[int, int, int]]):
     tokens, edges, seen = [], [], {}
     marks = sorted((s, e, k + 1) for k, s, e in spans)
     k = 0
-    for m in _TOKEN.finditer(text):
+    locals_ = {text[s:e].partition("@")[0].lower() for k, s, e in spans if k == 0}
+    plain = any(len(x) >= 4 and not re.search("[0-9]", x) for x in locals_)
+    for m in (_WORD if plain else _TOKEN).finditer(text):
+        word = m[0].strip(_AROUND).lower()
+        if plain and word not in locals_ and not _TOKEN.match(m[0]):
+            continue
         while k < len(marks) and marks[k][1] <= m.start():
             k += 1
         inside = k < len(marks) and marks[k][0] < m.end()
@@ -101,17 +110,43 @@ def _graph(text: str, spans: list[tuple[int, int, int]]):
         i = len(tokens) - 1
         if i and m.start() - tokens[i - 1][1] <= 1:
             edges.append((0, i - 1, i))
-        word = m[0].strip(".,;:!?()[]<>\"'").lower()
         digits = _NOT_DIGIT.sub("", word)
         keys = {word, word.partition("@")[0]} if len(word) >= 4 else set()
         keys |= {digits[-7:]} if len(digits) >= 7 else set()
         for key in sorted(x for x in keys if len(x) >= 4):
-            if seen.get(key, i) != i:
-                edges.append((1, seen[key], i))
-            seen[key] = i
+            seen.setdefault(key, []).append(i)
+    for own in seen.values():
+        edges += [(1, i, j) for i, j in zip(own, own[1:])]
+        sure = next((i for i in own if tokens[i][2]), None)
+        for i in own if sure is not None else ():  # evidence fades along the chain
+            if tokens[i][2]:
+                sure = i
+            else:
+                edges.append((1, min(i, sure), max(i, sure)))
     return tokens, sorted(set(edges))
 
 
+def _tied(tokens, edges) -> set[tuple[int, int]]:
+    """``(token, kind)`` for the kinds of base spans that skip edges, one after the other, lead to."""
+    top = list(range(len(tokens)))
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    linked = [(i, j) for kind, i, j in edges if kind]
+    for i, j in linked:
+        a, b = root(i), root(j)
+        top[max(a, b)] = min(a, b)
+    kinds: dict[int, set[int]] = {}
+    inside = {i for pair in linked for i in pair}
+    for i in inside:
+        if tokens[i][2]:
+            kinds.setdefault(root(i), set()).add(tokens[i][2])
+    return {(i, k) for i in inside for k in kinds.get(root(i), ())}
+
+
 def _counted(text: str, found: Counter) -> None:
     spans = base_spans(text)
     tokens, edges = _graph(text, spans)
@@ -185,7 +220,7 @@ class Field:
     def added(self, text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans besides the base ones, not touching any of them."""
         tokens, edges = _graph(text, spans)
-        tied = {(x, tokens[y][2]) for kind, i, j in edges if kind for x, y in ((i, j), (j, i)) if tokens[y][2]}
+        tied = _tied(tokens, edges)
         if not any(tokens[i][2] == 0 for i, _ in tied):
             return []
         p = self.beliefs([_fields(text[s:e], y + 1 if y else 0) for s, e, y in tokens], edges)

@@ -1,7 +1,7 @@
 """What the first review found to do less than the whole job."""
 
 import numpy as np
-from sparkloom.llm import attention, lm_score
+from sparkloom.llm import attention, lm_score, pii
 
 from .conftest import prose
 
@@ -39,3 +39,16 @@ def test_gate_is_weighed_on_counts():
     assert 0.85 < model.gate <= 0.99
     model.weigh(bins[::-1])
     assert 0.01 <= model.gate < 0.15
+
+
+def test_every_repeat_of_a_base_span_is_added(spark):
+    rows = [(i, f"call +1 (239) 555-{1000 + i} or mail u{i}.z@m{i}.example.com, or 203.0.113.{i}, ref 4 of 9, version 3.0") for i in range(60)]
+    rows += [(100 + i, f"mail kay{i}@m{i}.example.com now, kay{i}@m{i}.example.com today") for i in range(60)]
+    field = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    for text, n in (("Call +1 (239) 555-8522 or 2395558522 then again 2395558522 and 2395558522", 3), ("2395558522 and then " * 30 + "+1 (239) 555-8522" + " or 2395558522 then" * 40, 70)):
+        found = [text[s:e] for _, s, e in field.added(text, pii.base_spans(text))]
+        assert found == ["2395558522"] * n
+    text = "jane@ex.org said what Jane, or jane, does; others do not"
+    tokens, edges = pii._graph(text, pii.base_spans(text))
+    assert [text[s:e] for s, e, _ in tokens] == ["jane@ex.org", "Jane,", "jane,"]
+    assert pii._tied(tokens, edges) >= {(1, 1), (2, 1)}

@@ -185,18 +185,25 @@ class Page:
     def weight(self, i: int) -> float:
         return self.score.get(i, 0.0) * self.bonus[i]
 
-    def chosen(self, leaders: list[str]) -> int:
+    def chosen(self, leaders: list[str]) -> list[int]:
+        """The containers of the first leading path whose best one holds enough of the page,
+        in page order; of a path that ends without a class, which layout boxes share, those
+        in the best one's article or in the page's own choice."""
         own = self.best()
         for path in leaders:
             same = [i for i in self.score if self.path[i] == path]
             if same:
                 i = max(same, key=lambda i: (self.weight(i), -i))
                 if self.weight(i) >= FAIR * self.weight(own):
-                    return i
-        return own
-
-    def text(self, root: int) -> str:
-        inside = self.inside(root)
+                    last = path.rpartition(">")[2]
+                    if len(same) > 1 and "." not in last and last not in ("article", "main", "section"):
+                        within = self.inside(own) | self.inside(self._whole(i))
+                        same = [j for j in same if j == i or j in within]
+                    return sorted(same)
+        return [own]
+
+    def text(self, *roots: int) -> str:
+        inside = set().union(*map(self.inside, roots))
         return "\n".join(t for t, box, _ in self.blocks if box in inside)
 
 
@@ -232,7 +239,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for source, paths in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 page = Page(source) if source else None
-                texts.append(page.text(page.chosen(paths or [])) if page and page.blocks else "")
+                texts.append(page.text(*page.chosen(paths or [])) if page and page.blocks else "")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     leaders = stored(leading_paths(pages), "paths")

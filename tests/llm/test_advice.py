@@ -1,7 +1,7 @@
 """What the first review found to do less than the whole job."""
 
 import numpy as np
-from sparkloom.llm import attention, lm_score, pii
+from sparkloom.llm import attention, html_text, lm_score, pii
 
 from .conftest import prose
 
@@ -52,3 +52,16 @@ def test_every_repeat_of_a_base_span_is_added(spark):
     tokens, edges = pii._graph(text, pii.base_spans(text))
     assert [text[s:e] for s, e, _ in tokens] == ["jane@ex.org", "Jane,", "jane,"]
     assert pii._tied(tokens, edges) >= {(1, 1), (2, 1)}
+
+
+def test_all_sections_of_a_leading_path_are_extracted(spark):
+    def page(*posts):
+        return "<body><div class=wrap>" + "".join(f"<div class=post><p>{p}</p></div>" for p in posts) + "</div><div><p>Site note.</p></div></body>"
+
+    rows = [(i, "http://h.example/1", page("x" * 90)) for i in range(5)]
+    rows += [(8, "http://h.example/2", page("a" * 90, "b" * 90)), (9, "http://h.example/3", page("a" * 90, "b" * 9, "c" * 60))]
+    rows += [(20 + i, "http://g.example/1", "<body><div><p>" + "y" * 90 + "</p></div><div><p>Site note.</p></div></body>") for i in range(3)]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[0] == "x" * 90 and found[20] == "y" * 90
+    assert found[8] == "a" * 90 + "\n" + "b" * 90
+    assert found[9] == "\n".join(("a" * 90, "b" * 9, "c" * 60))

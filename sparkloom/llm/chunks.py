@@ -92,11 +92,11 @@ def shares(recipes: DataFrame) -> DataFrame:
     )
 
 
-def with_shares(rows: DataFrame, recipes: DataFrame) -> DataFrame:
+def with_shares(rows: DataFrame, recipes: DataFrame, key_bytes: int = 8) -> DataFrame:
     """``rows`` (with ``key``) and their ``borrowed`` and ``lent`` places, null if none."""
     found = stored(shares(recipes), "shares")
     n = found.select(F.count("*").alias("n"), F.sum(F.size("borrowed") + F.size("lent")).alias("p")).first()
-    side = small(found.withColumnRenamed("key", "__key"), 1, 40 * n["n"] + 4 * (n["p"] or 0))
+    side = small(found.withColumnRenamed("key", "__key"), 1, (32 + key_bytes) * n["n"] + 4 * (n["p"] or 0))
     return rows.join(side, F.col("key") == F.col("__key"), "left").drop("__key")
 
 

@@ -84,9 +84,12 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                     ["row", "doc_id", "n_bytes", "digests", "ends", "root", "borrowed", "lent", "body"],
                 )
 
-    docs = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
-    recipes = stored(docs.mapInArrow(recipe, "key long, digests array<binary>"), "recipes")
-    rows = chunks.with_shares(docs, recipes).select("key", "text", "borrowed", "lent")
+    # Rows of one id may differ in text: places belong to both.  A row without an id shares nothing.
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    print_ = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    docs = docs.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), print_.alias("print"))))
+    recipes = stored(docs.select("key", "text").mapInArrow(recipe, "key struct<id:long,print:binary>, digests array<binary>"), "recipes")
+    rows = chunks.with_shares(docs, recipes.where("key is not null"), 48).select("doc_id", "text", "borrowed", "lent")
     table = rows.mapInArrow(body, "row long, doc_id long, n_bytes long, digests array<binary>, ends array<int>, root binary, borrowed array<int>, lent array<int>, body binary")
     path = f"{shared_dir(docs.sparkSession)}/media"
     table.write.option("compression", "zstd").parquet(path)

@@ -1,7 +1,9 @@
 """What the first review found to do less than the whole job."""
 
+import hashlib
+
 import numpy as np
-from sparkloom.llm import attention, html_text, lm_score, pii
+from sparkloom.llm import attention, html_text, lm_score, media, pii
 
 from .conftest import prose
 
@@ -65,3 +67,13 @@ def test_all_sections_of_a_leading_path_are_extracted(spark):
     assert found[0] == "x" * 90 and found[20] == "y" * 90
     assert found[8] == "a" * 90 + "\n" + "b" * 90
     assert found[9] == "\n".join(("a" * 90, "b" * 9, "c" * 60))
+
+
+def test_rows_of_one_id_may_differ_in_text(spark):
+    p, q = prose(8, 900), prose(9, 700)
+    rows = [(3, p), (5, p), (5, q), (5, q), (6, q), (None, p), (None, q), (7, None), (7, "")]
+    table = media.store(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sorted((r["doc_id"] or -1, r["payload_sha256"]) for r in media.features(table).collect())
+    expected = sorted((i or -1, hashlib.sha256(media.payload(t)[1]).hexdigest()) for i, t in rows)
+    assert found == expected
+    assert table.where("doc_id = 5 and size(borrowed) > 0").count() >= 1

@@ -5,7 +5,8 @@ every row it is given, and all but the last return the columns of documents.
 
 1. language: drops documents in which no language is found (no letter at all).
 2. near_dedup: of documents tied by similarity 0.8 of their runs of five words, the one
-   with the smallest id stays; documents without words stay.
+   with the smallest id stays; documents without words stay.  Where ids are missing or
+   repeated, each row is a document of its own.
 3. pii: masks personal data in the text and sets n_chars to the new length.
 4. mixing: repeats documents so that temperature-flattened source weights are met, none
    more than twice against the least repeated source, and none left out.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkloom.llm import language as language_id
 from sparkloom.llm import minhash, mixing as mixture, packing as packer
 from sparkloom.llm import pii as personal
-from sparkloom.llm.common import fold, small_batches, stored
+from sparkloom.llm.common import fold, parts, small_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +36,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    groups = minhash.near_duplicates(docs, width=5)
-    # Rows that repeat an id fall into one group, of which one row stays.
-    gone = stored(groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    twice = stored(groups.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "twice")
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    if twice.isEmpty():
-        return left
-    once = left.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti")
-    return once.unionByName(left.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"]))
+    key = "doc_id"
+    rows = docs
+    if not docs.groupBy(key).count().where("count > 1 or doc_id is null").isEmpty():
+        rows, key = _numbered(docs), "__row"
+    groups = minhash.near_duplicates(rows, doc_id=key, width=5)
+    gone = stored(groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "gone")
+    return rows.join(gone, F.col(key) == F.col("__gone"), "left_anti").select(*docs.columns)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a number of their own, ``__row``, in order of ids (those without one last)."""
+    place = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
+    dealt = docs.repartitionByRange(parts(docs.sparkSession), *place).sortWithinPartitions(*place, *docs.columns)
+    return stored(dealt.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import corpus_pipeline
 import numpy as np
 from sparkloom.llm import attention, html_text, lm_score, media, pii
 
@@ -77,3 +78,12 @@ def test_rows_of_one_id_may_differ_in_text(spark):
     expected = sorted((i or -1, hashlib.sha256(media.payload(t)[1]).hexdigest()) for i, t in rows)
     assert found == expected
     assert table.where("doc_id = 5 and size(borrowed) > 0").count() >= 1
+
+
+def test_near_dedup_decides_by_row(spark):
+    p, q, r = prose(8, 90), prose(9, 70), prose(11, 80)
+    rows = [(1, p), (None, p), (None, q), (None, q), (2, r), (2, prose(12, 60)), (3, r), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(x["doc_id"], x["text"]) for x in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    expected = [(1, p), (None, q), (2, r), (2, prose(12, 60)), (3, "")]
+    assert sorted(kept, key=str) == sorted(expected, key=str)

@@ -21,9 +21,11 @@ no rows.  Only the id and text columns are read by the query.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 _WORD = re.compile(r"\S+")
 _AROUND = ".,;:!?()[]<>\"'"
 _NOT_DIGIT = re.compile("[^0-9]")
@@ -46,6 +48,8 @@ _NOT_DIGIT = re.compile("[^0-9]")
 HINT = "[0-9@]"
 #: A run is added from this probability on; belief propagation stops after so many rounds.
 SURE, ROUNDS = 0.9, 12
+#: Nodes or messages that are computed at once, which bounds memory in long documents.
+SLICE = 20_000
 
 
 def luhn(digits: str) -> bool:
@@ -69,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             last = m.end()
         at = text.find("@", max(at + 1, last))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -196,19 +200,20 @@ class Field:
 
     def beliefs(self, fields, edges) -> np.ndarray:
         """Label probabilities of each node by loopy sum-product messages."""
-        node = self._rows(fields) @ self.weights
+        node = np.concatenate([self._rows(fields[a : a + SLICE]) @ self.weights for a in range(0, len(fields), SLICE)])
         if edges:
             kind, i, j = np.array(edges).T
-            src, dst = np.concatenate([i, j]), np.concatenate([j, i])
-            pair = self.edges[np.concatenate([kind, kind])]
+            src, dst, kind = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([kind, kind])
             back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
             sent = np.zeros((len(src), 5))
             for _ in range(ROUNDS):
-                total = node.copy()
+                total, new = node.copy(), np.empty_like(sent)
                 np.add.at(total, dst, sent)
-                out = (total[src] - sent[back])[:, :, None] + pair
-                top = out.max(axis=1, keepdims=True)
-                new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
+                for a in range(0, len(src), SLICE):
+                    part = slice(a, a + SLICE)
+                    out = (total[src[part]] - sent[back[part]])[:, :, None] + self.edges[kind[part]]
+                    top = out.max(axis=1, keepdims=True)
+                    new[part] = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
                 new -= new.max(axis=1, keepdims=True)
                 done, sent = np.abs(new - sent).max() < 1e-4, 0.5 * (new + sent)
                 if done:
@@ -225,6 +230,8 @@ class Field:
             return []
         p = self.beliefs([_fields(text[s:e], y + 1 if y else 0) for s, e, y in tokens], edges)
         label, out = p.argmax(axis=1), []
+        bases = sorted((a, b) for _, a, b in spans)
+        reach = list(accumulate((b for _, b in bases), max))
         for i, (s, e, y) in enumerate(tokens):
             k = int(label[i])
             if y or not k or p[i, k] < SURE or (i, k) not in tied:
@@ -233,7 +240,8 @@ class Field:
                 e -= 1
             while s < e and text[s] in "([<\"'":
                 s += 1
-            if s < e and not any(a < e and s < b for _, a, b in spans):
+            before = bisect.bisect_left(bases, (e,))  # base spans that begin before the token ends
+            if s < e and not (before and reach[before - 1] > s):
                 out.append((k - 1, s, e))
         return out
 

@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import BROADCAST_BYTES, read, stored
@@ -34,10 +36,11 @@ SALTS = 32
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"'=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[0-9]+")
 _NUMBER = re.compile(r"[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -57,25 +60,33 @@ _GOOD = frozenset("article body content entry main post story text".split())
 
 
 class Page:
-    """Blocks and scored containers of one page."""
+    """Blocks and scored containers of one page, in time and memory that grow with its length.
+
+    Containers are numbered in page order, so those within container ``i`` are ``i`` to
+    ``last[i]``.  A path is kept as the digest of the paths above and its own last part.
+    """
 
     def __init__(self, source: str) -> None:
         self.parent, self.path, self.tag, self.bonus = [-1], [""], ["html"], [1.0]
         self.score: dict[int, float] = {}
         self.blocks: list[tuple[str, int, bool]] = []  # text, nearest container, whether a heading
         self._parse(source)
+        self.last = list(range(len(self.parent)))
+        for i in range(len(self.parent) - 1, 0, -1):
+            self.last[self.parent[i]] = max(self.last[self.parent[i]], self.last[i])
 
     def _parse(self, source: str) -> None:
         stack, noise, links, text, linked = [(0, "html", False)], 0, 0, [], 0
         header = heading = 0  # inside a header of an article, and inside a heading there
+        open_tags: Counter[str] = Counter()
 
         def end_block() -> None:
             nonlocal linked
             words = " ".join(html.unescape("".join(text)).split()) if text else ""
             text.clear()
             if words:
-                box = next(i for i, t, _ in reversed(stack) if t in _BOX or i == 0)
-                self.blocks.append((words, box, any(t in _HEADING for _, t, _ in stack)))
+                box = stack[-1][0]
+                self.blocks.append((words, box, heading > 0))
                 gain, step = max(0.0, len(words) - 1.0 * linked), 1.0
                 while box >= 0 and step > 0.05:
                     self.score[box] = self.score.get(box, 0.0) + gain * step
@@ -89,26 +100,32 @@ class Page:
                 if links:
                     linked += len(piece.strip())
 
-        at = 0
-        for m in _MARKUP.finditer(source):
+        def pop() -> str:
+            nonlocal noise, links, header, heading
+            _, t, bad = stack.pop()
+            open_tags[t] -= 1
+            noise -= bad
+            links -= t == "a"
+            header -= t == "header"
+            heading -= t in _HEADING
+            return t
+
+        at, end = 0, source.rfind(">") + 1  # no tag can end later
+        for m in _MARKUP.finditer(source, 0, end):
             put(source[at : m.start()])
             at = m.end()
             name = m[3]
             if not name:
+                if at == end and (source.startswith("<!--", m.start()) and not m[0].endswith("-->") or m[1] and not m[0].lower().rstrip("> \t\r\n").endswith(f"</{m[1].lower()}")):
+                    at = end = len(source)  # a comment or raw text that nothing closes
                 continue
             name = name.lower()
             if m[2]:
                 if name in _BLOCK:
                     end_block()
-                if any(t == name for _, t, _ in stack[1:]):
-                    while True:
-                        _, t, bad = stack.pop()
-                        noise -= bad
-                        links -= t == "a"
-                        header -= t == "header"
-                        heading -= t in _HEADING
-                        if t == name:
-                            break
+                if open_tags[name]:
+                    while pop() != name:
+                        pass
                 continue
             if name == "br":
                 put(" ")
@@ -116,37 +133,38 @@ class Page:
             if name in _BLOCK:
                 end_block()
                 closes = "p" if name not in ("li", "td", "th", "tr", "dt", "dd") else name
-                while len(stack) > 1 and (stack[-1][1] == closes or stack[-1][1] not in _BLOCK and any(t == closes for _, t, _ in stack) or closes != "p" and stack[-1][1] == "p"):
-                    _, t, bad = stack.pop()
-                    noise -= bad
-                    links -= t == "a"
-                    heading -= t in _HEADING
-                    if t == closes:
+                while len(stack) > 1 and (stack[-1][1] == closes or stack[-1][1] not in _BLOCK and open_tags[closes] or closes != "p" and stack[-1][1] == "p"):
+                    if pop() == closes:
                         break
             if name in _VOID or m[4].endswith("/") and name not in _BLOCK:
                 continue
             attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[4])} if "=" in m[4] else {}
             words = {w.lower() for w in _WORD.findall(attrs.get("class", "") + " " + attrs.get("id", ""))} if attrs else set()
-            within = any(t in ("article", "main") for _, t, _ in stack)
+            within = open_tags["article"] + open_tags["main"] > 0
             bad = name in _NOISE or name == "header" and not within
             if not bad and name not in ("html", "body") and (attrs or m[4].strip()):
                 bad = bool(words & _BAD and not (name in ("article", "main") and not within)) or attrs.get("role", "").lower() in _ROLES
-                bad = bad or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style", ""))) or " hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", m[4])
+                bad = bad or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style", ""))) or " hidden" in _QUOTED.sub("", m[4])
             node = stack[-1][0]
             if name in _BOX and not bad and not noise:
                 above = node
                 node = len(self.parent)
                 classes = ".".join(sorted(_NUMBER.sub("0", c) for c in attrs.get("class", "").split()))
+                part = f"{name}{'.' + classes if classes else ''}"
                 self.parent.append(above)
-                self.path.append(f"{self.path[above]}>{name}{'.' + classes if classes else ''}")
+                self.path.append(f"{xxhash.xxh3_128_hexdigest(f'{self.path[above]}>{part}')}>{part}")
                 self.tag.append(name)
                 self.bonus.append((1.5 if name in ("article", "main") else 1.0) * (1.25 if words & _GOOD else 1.0))
+            open_tags[name] += 1
             noise += bad
             links += name == "a"
             header += name == "header"
             heading += name in _HEADING
             stack.append((node, name, bad))
-        put(source[at:])
+        if end < len(source) and "<!--" in source[end:]:
+            put(source[at : source.index("<!--", end)])
+        else:
+            put(source[at:])
         end_block()
 
     def best(self) -> int:
@@ -164,23 +182,31 @@ class Page:
                 found, i = (i if self.tag[i] == wanted else found), self.parent[i]
             if self.tag[found] == wanted:
                 return found
+        ahead = [[0, 0] for _ in range(len(self.parent) + 1)]  # blocks and headings in containers before each
+        for _, box, head in self.blocks:
+            ahead[box + 1][0] += 1
+            ahead[box + 1][1] += head
+        for a, b in zip(ahead, ahead[1:]):
+            b[0] += a[0]
+            b[1] += a[1]
+        below: dict[int, list[int]] = {}
+        for i in self.score:
+            below.setdefault(self.parent[i], []).append(i)
+
+        def held(i: int, k: int) -> int:
+            return ahead[self.last[i] + 1][k] - ahead[i][k]
+
         while self.parent[top] > 0 and self.tag[self.parent[top]] != "body":
             above = self.parent[top]
-            inner, outer = self.inside(top), self.inside(above)
-            around = [(box, head) for _, box, head in self.blocks if box in outer and box not in inner]
-            twins = [i for i in self.score if self.parent[i] == above and i != top and self.path[i] == self.path[top]]
-            if not (around and all(head for _, head in around)) and sum(self.score[i] for i in twins) < TWINS * self.score[top]:
+            around, heads = (held(above, k) - held(top, k) for k in (0, 1))
+            twins = sum(self.score[i] for i in below.get(above, ()) if i != top and self.path[i] == self.path[top])
+            if not 0 < around == heads and twins < TWINS * self.score.get(top, 0.0):
                 break
             top = above
         return top
 
-    def inside(self, root: int) -> set[int]:
-        """A container and all within it."""
-        found = {root}
-        for i in range(root + 1, len(self.parent)):
-            if self.parent[i] in found:
-                found.add(i)
-        return found
+    def within(self, i: int, root: int) -> bool:
+        return root <= i <= self.last[root]
 
     def weight(self, i: int) -> float:
         return self.score.get(i, 0.0) * self.bonus[i]
@@ -197,14 +223,18 @@ class Page:
                 if self.weight(i) >= FAIR * self.weight(own):
                     last = path.rpartition(">")[2]
                     if len(same) > 1 and "." not in last and last not in ("article", "main", "section"):
-                        within = self.inside(own) | self.inside(self._whole(i))
-                        same = [j for j in same if j == i or j in within]
+                        whole = self._whole(i)
+                        same = [j for j in same if j == i or self.within(j, own) or self.within(j, whole)]
                     return sorted(same)
         return [own]
 
     def text(self, *roots: int) -> str:
-        inside = set().union(*map(self.inside, roots))
-        return "\n".join(t for t, box, _ in self.blocks if box in inside)
+        inside, reach = bytearray(len(self.parent)), -1
+        for root in sorted(roots):
+            if self.last[root] > reach:
+                inside[root : self.last[root] + 1] = b"\1" * (self.last[root] + 1 - root)
+                reach = self.last[root]
+        return "\n".join(t for t, box, _ in self.blocks if inside[box])
 
 
 def host(url):

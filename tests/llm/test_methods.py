@@ -90,7 +90,7 @@ def test_column_generation():
     demand = {700: 10, 324: 10, 512: 6, 100: 30, 24: 9}
     used = {}
     for pattern, times in packing.patterns(demand, 1024):
-        assert sum(n * k for n, k in pattern.items()) == 1024
+        assert sum(n * k for n, k in pattern.items()) <= 1024
         for n, k in pattern.items():
             used[n] = used.get(n, 0) + k * times
     assert all(used[n] <= demand[n] for n in used) and used[700] == 10 and used[512] == 6

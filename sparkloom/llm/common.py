@@ -12,8 +12,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; one that Spark would read in fewer tasks than there are cores (a small single
+    file) is dealt to as many."""
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +51,9 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows."""
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows, and has workers that start
+    from now on multiply matrices in one thread: a worker has one core of its executor."""
+    spark.sparkContext.environment["OPENBLAS_NUM_THREADS"] = "1"
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)

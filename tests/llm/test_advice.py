@@ -3,47 +3,11 @@
 import hashlib
 
 import corpus_pipeline
-import numpy as np
-from sparkloom.llm import attention, html_text, lm_score, media, pii
+from sparkloom.llm import html_text, media, pii
 
 from .conftest import prose
 
 
-def test_all_training_windows_refine_the_model(spark):
-    import public_tokenizers
-
-    streams = [np.arange(n).astype(np.uint16) for n in (2, 3, 17, 18, 100)]
-    every = lm_score._all_windows(np.concatenate(streams), np.array([len(s) for s in streams]))
-    apart = np.concatenate([lm_score._windows(s, np.arange(-(-(len(s) - 1) // attention.STEP))) for s in streams])
-    assert sorted(map(bytes, every)) == sorted(map(bytes, apart))
-
-    seen = []
-    rows = [(i, prose(i, 60)) for i in range(200)]
-    for n in (3, 1):  # the dealt partitions do not matter
-        blocks = lm_score._blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), public_tokenizers.path("word_bpe_49k.json")).cache()
-        available = blocks.selectExpr("sum(windows) as n").first()["n"]
-        start = attention.Model(np.ones((attention.SYMBOLS, attention.SYMBOLS)))
-        shared = {k: v.copy() for k, v in start.p.items()}
-        model, symbol, _ = lm_score.train(blocks, windows=1)
-        ids = np.concatenate([np.frombuffer(r["ids"], np.uint16) for r in blocks.select("ids").collect()])
-        used = np.unique(model.place[symbol[ids]])
-        seen.append(model)
-        assert available > 500 and not (model.p["D"][used] == shared["D"][used]).all(axis=1).any()
-        blocks.unpersist()
-    assert np.allclose(seen[0].p["E"], seen[1].p["E"], atol=1e-5) and abs(seen[0].gate - seen[1].gate) < 1e-6
-
-
-def test_gate_is_weighed_on_counts():
-    model = attention.Model(np.ones((attention.SYMBOLS, attention.SYMBOLS)))
-    bins = np.zeros(attention.BINS, np.int64)
-    bins[attention.BINS // 2 + 400] = 900
-    bins[attention.BINS // 2 - 400] = 100
-    model.weigh(bins)
-    assert 0.85 < model.gate <= 0.99
-    model.weigh(bins[::-1])
-    assert 0.01 <= model.gate < 0.15
-
-
 def test_every_repeat_of_a_base_span_is_added(spark):
     rows = [(i, f"call +1 (239) 555-{1000 + i} or mail u{i}.z@m{i}.example.com, or 203.0.113.{i}, ref 4 of 9, version 3.0") for i in range(60)]
     rows += [(100 + i, f"mail kay{i}@m{i}.example.com now, kay{i}@m{i}.example.com today") for i in range(60)]

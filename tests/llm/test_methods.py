@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from sparkloom.llm import attention, chunks, edit_sketch, html_text, language, media, minhash, mixing, packing, pii, tokens, token_store
+from sparkloom.llm import chunks, edit_sketch, html_text, language, media, minhash, mixing, packing, pii, tokens, token_store
 
 from .conftest import prose
 
@@ -112,46 +112,6 @@ def test_column_generation():
         assert end & (end - 1) == 0 and end <= 1024
 
 
-def test_attention_learns_and_scores_once():
-    rng = np.random.default_rng(5)
-    streams = [np.concatenate([[0], np.resize([1, 2, 3, 4], 200), [0]]) for _ in range(4)] + [np.array([0, 0])]
-    pairs = np.zeros((attention.SYMBOLS, attention.SYMBOLS))
-    for s in streams:
-        np.add.at(pairs, (s[:-1], s[1:]), 1)
-    model = attention.Model(pairs)
-    windows = np.array([np.concatenate([np.resize(np.roll([1, 2, 3, 4], r), 32), np.resize(np.roll([1, 2, 3, 4], r + 3 - 16 % 4), 16)]) for r in rng.integers(0, 4, 400)])
-    before = model.log10(streams)[0].mean()
-    model.fit(windows)
-    found = model.log10(streams)
-    assert [len(x) for x in found] == [len(s) - 1 for s in streams] and found[0].mean() > before
-    alone = model.log10([streams[0]])[0]
-    assert np.allclose(alone, found[0], atol=1e-4)  # a text's score does not depend on its neighbours
-    changed = streams[0].copy()
-    changed[150:] = 9
-    assert np.allclose(model.log10([changed])[0][:149], alone[:149], atol=1e-4)  # nor on what follows
-
-
-def test_attention_gradients():
-    model = attention.Model(np.ones((attention.SYMBOLS, attention.SYMBOLS)))
-    rng = np.random.default_rng(6)
-    x, y = rng.integers(0, attention.SYMBOLS, (3, 32)), rng.integers(0, attention.SYMBOLS, (3, 16))
-    x[0, :14], y[1, 10:] = attention.PAD, attention.PAD
-    for k, v in model.p.items():
-        model.p[k] = v.astype(np.float64)
-    model.tables()
-    _, grads = model._gradients(x, y)
-    for name in ("E", "Q", "K", "V", "far", "D", "O", "C", "M", "h"):
-        p = model.p[name]
-        at = np.unravel_index(np.argmax(np.abs(grads[name])), p.shape)
-        old, values = p[at], []
-        for e in (1e-3, -1e-3):
-            p[at] = old + e
-            model.tables()
-            values.append(model._gradients(x, y)[0])
-        p[at] = old
-        assert abs((values[0] - values[1]) / 2e-3 - grads[name][at]) < 2e-3 + 0.05 * abs(grads[name][at]), name
-
-
 def test_chunks_are_content_defined_and_checked():
     rng = np.random.default_rng(7)
     body = rng.integers(0, 256, 40_000).astype(np.uint8)

@@ -6,6 +6,8 @@ Patterns use Unicode classes.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Stop words of keywords, of identifiers, and of relevance.
@@ -342,21 +344,41 @@ DECISIONS = (
 IMPORTANT = "crítico critical importante important principal main core fundamental".split()
 
 
+# Words that open a reason.
+REASONS = ("porque", "because", "para", "for", "to", "ya que", "since", "debido a", "due to")
+
+
+def _reason(rest: Column) -> Column:
+    """Reason in what follows a decision: the next sentence if one ends there, else what a word
+    of reason opens, else the next sentence; at most 200 characters, null if none."""
+    rest = F.trim(rest)
+    after = F.trim(F.coalesce(F.try_element_at(F.split(rest, r"\."), F.lit(2)), F.lit("")))
+    opened = F.trim(F.regexp_extract(rest, rf"(?i)\b(?:{'|'.join(REASONS)})\s+(.+?)(?:\.|$)", 1))
+    return F.nullif(F.substring(F.when(rest.startswith(".") | (opened == ""), after).otherwise(opened), 1, 200), F.lit(""))
+
+
 def decision(text: Column, marker: str = "@decision") -> Column:
-    """(type, title, impact) of the technical decision a message tells of, null if none; an
-    explicit marker comes first."""
+    """(type, title, impact, rationale) of the technical decision a message tells of, null if
+    none; an explicit marker comes first."""
     explicit = F.trim(F.regexp_extract(text, rf"(?i){marker}:?\s*(.+?)(?:\n|$)", 1))
     important = _any(F.lower(text), IMPORTANT)
-    out = F.when(text.contains(marker), F.struct(F.lit("architecture").alias("type"), F.substring(explicit, 1, 100).alias("title"), F.lit(3).alias("impact")))
+
+    def row(kind: str, title: Column, impact: Column, rest: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), F.substring(title, 1, 100).alias("title"), impact.alias("impact"), _reason(rest).alias("rationale"))
+
+    out = F.when(text.contains(marker), row("architecture", explicit, F.lit(3), F.regexp_extract(text, rf"(?is){marker}:?\s*[^\n]+\n(.*)$", 1)))
     for pattern, kind in DECISIONS:
         impact = F.lit(5) if kind == "security" else F.lit(4) if kind == "architecture" else F.when(important, 4).otherwise(3)
-        title = F.substring(F.regexp_extract(text, pattern, 1), 1, 100)
-        out = out.when(text.rlike(pattern), F.struct(F.lit(kind).alias("type"), title.alias("title"), impact.alias("impact")))
+        groups = len(re.findall(r"\((?!\?)", pattern))
+        rest = F.regexp_extract(text, f"{pattern}(?s:(.*))$", groups + 1)
+        out = out.when(text.rlike(pattern), row(kind, F.regexp_extract(text, pattern, 1), impact, rest))
     return out
 
 
 # References to earlier sessions.
 REFERENCES = (
+    r"lo que (?:hicimos|estábamos haciendo|trabajamos)", r"(?:recuerdas|acuérdate) cuando", r"sobre (?:el|la|los|las) (.+?) que (?:hablamos|vimos|refactorizamos)", r"en la (?:conversación|sesión) (?:anterior|pasada)",
+    r"ayer (?:estuvimos|trabajamos) (?:en|con)", r"la última vez que", r"cuando (?:arreglamos|implementamos|creamos)", r"aquel (?:bug|problema|código) (?:de|que)", r"el (?:auth|login|sistema) que (?:cambiamos|modificamos)",
     r"what we (?:did|were doing|worked on)", r"(?:remember|recall) when", r"about the (.+?) (?:we|that we) (?:discussed|saw|refactored)", r"in the (?:previous|last) (?:conversation|session)",
     r"yesterday we (?:were|worked) (?:on|with)", r"the last time (?:we|that)", r"when we (?:fixed|implemented|created)", r"that (?:bug|issue|code) (?:from|that)",
     r"the (?:auth|login|system) (?:we|that we) (?:changed|modified)", r"(?:el bug|the bug|el problema|the issue) (?:de|del|of|from) (.+?) (?:que|that)",
@@ -374,7 +396,7 @@ def references(text: Column) -> Column:
 
 def first_sentence(text: Column, most: int = 60) -> Column:
     """First sentence over ten characters that is no greeting, shortened with an ellipsis."""
-    parts = F.transform(F.split(text, r"[.!?]"), F.trim)
+    parts = F.transform(F.split(text, r"[.!?]"), lambda x: F.trim(x))
     good = F.try_element_at(F.filter(parts, lambda s: (F.length(s) > 10) & ~F.lower(s).rlike("hola|hello|buenos|good")), F.lit(1))
     s = F.coalesce(good, text)
     return F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s)

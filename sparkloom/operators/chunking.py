@@ -280,6 +280,13 @@ def graph_rows(chunks: DataFrame, path: str = "file_path", content: str = "conte
     return rows.distinct()
 
 
+def together(changes: DataFrame, commit: str, path: str) -> DataFrame:
+    """``source_id, target_id, relation_type, n``: pairs of files that commits change together."""
+    once = changes.select(F.col(commit).alias("c"), F.col(path).alias("source_id")).distinct()
+    pairs = once.join(once.withColumnRenamed("source_id", "target_id"), "c").where("source_id < target_id")
+    return pairs.groupBy("source_id", "target_id", F.lit("MODIFIES_TOGETHER").alias("relation_type")).agg(F.count("*").alias("n"))
+
+
 def tags(html: Column) -> Column:
     """Names of the opening tags of a page, lower-cased, scripts and comments aside."""
     bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")

@@ -71,7 +71,7 @@ def compressed_code(content: Column, relevance: Column, longest_comment: int = 8
     bare = F.filter(parts, lambda x: ~x.rlike(r"^\s*(#|//)") & (F.length(F.trim(x)) > 0))
     named = F.filter(parts, lambda x: x.rlike(r"^\s*(?:export\s+)?(?:async\s+)?(def|class|function|func|fn)\s+\w+"))
     first = F.slice(F.filter(F.slice(parts, 1, 10), lambda x: (F.length(F.trim(x)) > 0) & ~x.rlike(comment)), 1, 3)
-    names = F.when(F.size(named) > 0, F.transform(named, F.trim)).otherwise(F.concat(first, F.array(F.lit("# ..."))))
+    names = F.when(F.size(named) > 0, F.transform(named, lambda x: F.trim(x))).otherwise(F.concat(first, F.array(F.lit("# ..."))))
     return F.array_join(F.when(relevance > 0.8, light).when(relevance > 0.5, bare).otherwise(names), "\n")
 
 

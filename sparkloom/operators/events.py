@@ -74,6 +74,12 @@ def valid_change(action: Column, trigger: Column) -> Column:
     return action.isin("added", "modified", "deleted", "renamed") & trigger.isin("commit", "pull", "checkout", "fetch", "manual", "cache_invalidation")
 
 
+def valid_lists(changes: DataFrame, by: str, action: str, trigger: str, most: int = 1000) -> DataFrame:
+    """``by, files, valid`` of lists of changes: all known actions and triggers, not too many."""
+    ok = F.bool_and(valid_change(F.col(action), F.col(trigger)))
+    return changes.groupBy(by).agg(F.count("*").alias("files"), ok.alias("valid")).withColumn("valid", F.col("valid") & (F.col("files") <= most))
+
+
 def transitions(rows: DataFrame, run: str, order: str, state: str) -> DataFrame:
     """Each change of state and whether it is allowed."""
     before = F.lag(state).over(Window.partitionBy(run).orderBy(order))

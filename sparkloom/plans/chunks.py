@@ -70,25 +70,6 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-def definitions_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = spark.createDataFrame([
-        ("a.py", "import os\nclass A(B):\n    def f(self):\n        return g(1)\n\nasync def h():\n    pass\n"), ("b.js", "export function go() {\n}\nclass Q {}\nconst z = (a) => a\n"),
-        ("c.go", "package x\nfunc (r T) Run(a int) {\n}\ntype S struct {\n}\n"), ("d.md", "# One\ntext\n## Two\n"), ("e.sql", "CREATE TABLE t (a int);\n"), ("f.rs", "pub fn main() {\n}\nstruct P;\n"),
-    ], "path string, content string")
-    sources = sources.withColumn("language", files.language(F.col("path")))
-    return chunking.definitions(sources, "path", "content", "language")
-
-
-def python_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = spark.createDataFrame([("a.py", "import os\n@x\ndef f(a, b: int) -> int:\n    if a and b:\n        for i in a:\n            yield i\n    raise ValueError('no')\n\nclass C(D):\n    async def _m(self):\n        g(1)\n"), ("bad.py", "def (:\n")], "path string, content string")
-    return chunking.python_chunks(sources, "path", "content")
-
-
-def text_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = spark.createDataFrame([("a.py", "from m.n import k\nimport os\nclass A(B):\n    def f(self):\n        return g(1)\n"), ("b.py", "def f():\n    if (x):\n        f()\n")], "file_path string, content string")
-    return chunking.graph_rows(sources)
-
-
 def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "documents").select("source", "doc_id", T.token_estimate(F.col("text")).alias("t"), (F.col("n_chars") % 97).cast("double").alias("score"))
     return compression.packed(rows, "source", "doc_id", "t", "score", 4000)
@@ -134,6 +115,14 @@ SQL = {
         CASE WHEN {' OR '.join(f"contains(upper(line), '{w}')" for w in chunking.WEAK)} THEN 'weak_cryptography' END,
         CASE WHEN {' OR '.join(f"contains(line, '{w}')" for w in chunking.UNSAFE)} THEN 'unsafe_deserialization' END], lambda x: x IS NOT NULL)) AS risk FROM n)
       SELECT risk, CASE risk WHEN 'hardcoded_credential' THEN 'critical' WHEN 'weak_cryptography' THEN 'medium' ELSE 'high' END AS severity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM r GROUP BY ALL""",
+    "compressed_chunks": rf"""
+      WITH RECURSIVE {_L}, z AS (SELECT doc_id, chunk, chunk % 10 / 10.0 AS rel, CASE WHEN chunk % 10 / 10.0 > 0.8 THEN content ELSE substr(content, 1, 2000) END AS content FROM c),
+      d AS (SELECT *, len(content) AS n, substr(content, 1, 200) AS s FROM z),
+      t AS (SELECT doc_id, chunk, CASE WHEN n = 0 THEN 0 WHEN n > 50000 THEN n // 4 ELSE greatest(1, n // CASE WHEN len(s) - len(regexp_replace(s, '[{{}}()\[\]<>;:=]', '', 'g')) > len(s) * 0.1 THEN 5 WHEN len(s) - len(regexp_replace(s, '[^\x00-\x7F]', '', 'g')) > len(s) * 0.2 THEN 3 ELSE 4 END) END AS t,
+            row_number() OVER (PARTITION BY doc_id ORDER BY rel DESC, chunk) AS k FROM d),
+      r AS (SELECT doc_id, chunk, k, t, t <= 1500 AS ok, CASE WHEN t <= 1500 THEN t ELSE 0 END AS used FROM t WHERE k = 1
+        UNION ALL SELECT t.doc_id, t.chunk, t.k, t.t, r.used + t.t <= 1500, CASE WHEN r.used + t.t <= 1500 THEN r.used + t.t ELSE r.used END FROM r JOIN t ON t.doc_id = r.doc_id AND t.k = r.k + 1)
+      SELECT doc_id AS query_id, chunk::INT AS chunk, t::BIGINT AS tokens, used::BIGINT AS used FROM r WHERE ok""",
     "budget_pack": rf"""
       WITH RECURSIVE d AS (SELECT source, doc_id, n_chars % 97 AS score, len(text) AS n, substr(text, 1, 200) AS s FROM documents),
       t AS (SELECT source, doc_id, CASE WHEN n = 0 THEN 0 WHEN n > 50000 THEN n // 4 ELSE greatest(1, n // CASE WHEN len(s) - len(regexp_replace(s, '[{{}}()\[\]<>;:=]', '', 'g')) > len(s) * 0.1 THEN 5 WHEN len(s) - len(regexp_replace(s, '[^\x00-\x7F]', '', 'g')) > len(s) * 0.2 THEN 3 ELSE 4 END) END AS t,
@@ -153,6 +142,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_lines, chunk_dedup, line_islands, chunk_overlap, chunk_quality, chunk_metadata, line_todos, line_risks, html_elements, page_urls, corpus_stats,
-        definitions_found, python_structure, text_graph, budget_pack, batch_pack, compressed_chunks,
+        budget_pack, batch_pack, compressed_chunks,
     )
 }

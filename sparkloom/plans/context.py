@@ -31,8 +31,15 @@ def exchange_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = context.expanded("where is parseUser used with load_file", spark)
-    return spark.createDataFrame(list(enumerate(found)), "place long, query string")
+    p = load(spark, sf_dir, "part")
+    query = F.concat(F.lit("show "), F.regexp_replace(F.initcap("p_name"), " ", ""), F.lit(" of "), F.regexp_replace("p_name", " ", "_"))
+    return p.select("p_partkey", F.posexplode(context.expanded(query)).alias("place", "query"))
+
+
+def cycle_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part").withColumn("total", F.col("p_partkey") * 1499 % 200_000)
+    size = F.element_at(F.array(*[F.lit(x) for x in ("8k", "32k", "128k")]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return p.select("p_partkey", context.cycle_budget(F.col("total"), F.col("p_size") % 3 + 1, size).alias("b")).select("p_partkey", "b.*")
 
 
 def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +97,28 @@ def cross_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _F = "f AS (SELECT o_orderkey AS id, ['Bug risk', 'security hole', 'Performance', 'Architecture drift', 'pattern', 'note'][o_orderkey % 6 + 1] AS type, ['CRITICAL', 'high', 'MEDIUM', 'LOW'][o_custkey % 4 + 1] AS severity FROM orders), g AS (SELECT *, ['bugs', 'security', 'performance', 'architecture', 'patterns', 'other'][id % 6 + 1] AS category FROM f)"
 _CODE = " OR ".join(f"contains(m, '{w}')" for w in T.CODE_WORDS)
+_INTENT = "CASE " + " ".join(f"""WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in words)} THEN '{name}'""" for name, words in context.INTENTS) + " ELSE 'general' END"
+_ENTITY = {k: f"list_sort(list_distinct(list_filter(regexp_extract_all(b, '{p}', 1), lambda x: x <> '')))" for k, p in context.SUMMARY_ENTITIES.items()}
 SQL = {
+    "query_expansion": """
+      WITH p AS (SELECT p_partkey, replace(p_name, ' ', '_') AS s, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') AS c, string_split(p_name, ' ') AS w FROM part),
+      v AS (SELECT *, lower(w[1]) || array_to_string(list_transform(w[2:], lambda x: upper(x[1]) || lower(x[2:])), '') AS camel FROM p)
+      SELECT p_partkey, unnest([0, 1, 2, 3, 4]) AS place, unnest(['show ' || c || ' of ' || s, 'show ' || s || ' of ' || s, 'show ' || camel || ' of ' || s, 'show ' || replace(s, '_', '-') || ' of ' || s, 'show ' || s || 's of ' || s]) AS query FROM v""",
+    "cycle_budgets": """
+      WITH p AS (SELECT p_partkey, p_partkey * 1499 % 200000 AS t, p_size % 3 + 1 AS k, ['8k', '32k', '128k'][p_partkey % 3 + 1] AS z FROM part),
+      q AS (SELECT *, z = '128k' AND t >= 131072 AS large, z = '32k' AND t >= 32768 AS middle, floor(t * 0.9)::BIGINT AS main FROM p),
+      w AS (SELECT *, CASE WHEN large OR k = 1 THEN 0 WHEN middle THEN 1500 ELSE least(1500, floor(main * 0.05)) END::BIGINT AS win FROM q)
+      SELECT p_partkey, CASE WHEN large THEN main WHEN middle THEN 28000 ELSE main - win END AS code_analysis, win AS "window",
+             CASE WHEN large OR NOT middle THEN floor(t * 0.1) WHEN k = 1 THEN 1500 ELSE greatest(0, main - 29500) END::BIGINT AS internal FROM w""",
+    "exchange_summaries": rf"""
+      WITH c AS (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+      u AS (SELECT conv_id, turn, text, coalesce(answer, '') AS a, text || chr(10) || coalesce(answer, '') AS b, {_INTENT} AS intent FROM c WHERE role = 'user'),
+      e AS (SELECT *, list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: trim(x)) AS parts, list_transform(regexp_split_to_array(a, '\.')[1:3], lambda x: trim(x)) AS says,
+                   list_concat({_ENTITY['file']}, list_concat({_ENTITY['class']}, list_concat({_ENTITY['function']}, list_concat({_ENTITY['error']}, {_ENTITY['module']})))) AS found FROM u),
+      f AS (SELECT *, coalesce(list_filter(parts, lambda x: len(x) > 10 AND NOT regexp_matches(lower(x), 'hola|hello|buenos|good'))[1], text) AS first, list_filter(found, lambda x, i: list_position(found, x) = i)[1:4] AS key,
+                   coalesce(list_filter(says, lambda x: regexp_matches(lower(x), '{context.ACTIONS}'))[1], CASE WHEN len(says[1]) > 10 THEN says[1] END) AS action FROM e)
+      SELECT conv_id, turn, concat_ws(' | ', CASE WHEN intent <> 'general' THEN '[' || upper(intent) || ']' END, 'User: ' || CASE WHEN len(first) > 60 THEN substr(first, 1, 60) || '...' ELSE first END,
+             CASE WHEN len(key) > 0 THEN 'Context: ' || array_to_string(key, ', ') END, 'Answer: ' || substr(action, 1, 60)) AS summary FROM f""",
     "token_budget": """SELECT conv_id, turn, (CASE role WHEN 'user' THEN 6553 WHEN 'system' THEN 24576 ELSE 3276 END)::BIGINT AS response, (CASE role WHEN 'user' THEN 3276 WHEN 'system' THEN 1638 ELSE 2949 END)::BIGINT AS system,
       (CASE role WHEN 'user' THEN 16384 WHEN 'system' THEN 4915 ELSE 17694 END)::BIGINT AS rag, (CASE role WHEN 'user' THEN 6553 WHEN 'system' THEN 1638 ELSE 8847 END)::BIGINT AS history FROM conversations""",
     "budget_rebalance": "WITH n AS (SELECT o_custkey AS budget_id, o_orderpriority AS category, count(*) AS k FROM orders GROUP BY ALL) SELECT budget_id, category, floor(10000 * (k / sum(k) OVER (PARTITION BY budget_id)))::BIGINT AS tokens FROM n",
@@ -126,7 +154,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        token_budget, budget_rebalance, messages_that_fit, exchange_summaries, query_expansion, search_texts, finding_categories, finding_carryover, fatigue_explained,
+        token_budget, budget_rebalance, messages_that_fit, exchange_summaries, query_expansion, cycle_budgets, search_texts, finding_categories, finding_carryover, fatigue_explained,
         fatigue_triggers, analysis_gate, embed_texts, cross_scores,
     )
 }

@@ -37,12 +37,6 @@ def identifier_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("p_partkey", "name", T.style(F.col("name")).alias("style"))
 
 
-def name_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(x,) for x in ("get_user", "parseHTTPResponse", "UserService", "load-file", "items", "XMLHttpRequest", "x9_y")], "name string")
-    rows = names.select("name", F.posexplode(T.variations(F.col("name"))).alias("place", "v"))
-    return rows.select("name", "place", "v.term", "v.kind", "v.confidence")
-
-
 def classify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sessions.turn_labels(load(spark, sf_dir, "conversations"))
     return rows.select("conv_id", "turn", "task_type", "about_code", "query_type")
@@ -53,15 +47,6 @@ def message_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("language", "intent").agg(F.count("*").alias("n"))
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([
-        (1, "We'll use Redis for caching"), (2, "@decision: keep one table per tenant"), (3, "Security: rotate all keys"), (4, "implement search using lucene, a core part"),
-        (5, "what is this?"), (6, "usaré pandas en lugar de numpy"), (7, "pattern observer for events"), (8, "let's implement a parser. Then test"), (9, "remember when we fixed it, about the cache we discussed"),
-    ], "id long, message string")
-    d = T.decision(F.col("message"))
-    return rows.select("id", d["type"].alias("type"), d["title"].alias("title"), d["impact"].alias("impact"), T.task_title(F.col("message")).alias("task"), F.array_join(F.transform(T.references(F.col("message")), lambda r: F.concat_ws(":", r["pattern"].cast("string"), r["hint"])), ",").alias("references"))
-
-
 def query_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang"))
     r = T.relevance(F.col("text"), F.col("path"), F.lit("error in function thing() and the ontion"))
@@ -89,7 +74,35 @@ _GEN = ", ".join(f"'{w}'" for w in T.GENERATE)
 _SPEC = ", ".join(f"'{w}'" for w in T.SPECIFIC)
 _BROAD = " OR ".join(f"contains(t, '{w}')" for w in T.BROAD + T.BROAD_PHRASES)
 _STOPS = ", ".join(f"'{w}'" for w in T.KEYWORD_STOPS)
+
+
+def _word(w: str) -> str:
+    return f"regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_]){w.replace(chr(39), chr(39) * 2)}($|[^\\p{{L}}\\p{{N}}_])')::INT"
+
+
+def _holds(column: str, parts) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w.replace(chr(39), chr(39) * 2)}')" for w in parts) + ")"
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
 SQL = {
+    "message_language": rf"""
+      WITH c AS (SELECT *, lower(text) AS t FROM conversations), h AS (SELECT *, {' + '.join(map(_word, T.SPANISH))} AS es, {' + '.join(map(_word, T.ENGLISH))} AS en FROM c),
+      l AS (SELECT *, CASE WHEN {_holds('t', T.SURE_SPANISH)} THEN 'es' WHEN {_holds('t', T.SURE_ENGLISH)} OR regexp_matches(t, 'the .* needs') THEN 'en' WHEN es > 0 AND en > 0 AND abs(es - en) <= 1 THEN 'es'
+                             WHEN en > es THEN 'en' ELSE 'es' END AS language, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS k FROM h),
+      i AS (SELECT language, CASE WHEN CASE language WHEN 'es' THEN {_holds('t', T.ASK_FILE['es'])} ELSE {_holds('t', T.ASK_FILE['en'])} END OR regexp_matches(t, '{_quoted(T.GENERATE_PATTERNS)}') THEN 'generation'
+                                  WHEN (k < 10 AND contains(t, '?')) OR CASE language WHEN 'es' THEN regexp_matches(t, '{_quoted(T.SIMPLE['es'])}') ELSE regexp_matches(t, '{_quoted(T.SIMPLE['en'])}') END
+                                       OR regexp_matches(t, '{_quoted(T.SIMPLE_STARTS)}') THEN 'simple' ELSE 'normal' END AS intent FROM l)
+      SELECT language, intent, count(*) AS n FROM i GROUP BY ALL""",
+    "query_relevance": rf"""
+      WITH q AS (SELECT doc_id, lower(text) AS low, text, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS held, lower(lang) AS name FROM documents),
+      p AS (SELECT *, list_filter(held, lambda x: x NOT IN ({', '.join(f"'{w}'" for w in T.RELEVANCE_STOPS)})) AS h FROM q),
+      r AS (SELECT doc_id, CASE WHEN contains(low, 'thing') OR contains(low, 'in') THEN 0.3 ELSE 0 END AS f, CASE WHEN len(h) > 0 THEN least(0.15, len(list_intersect(h, ['error', 'function', 'thing', 'ontion'])) / 4 * 0.15) ELSE 0 END AS s,
+                   least(0.3, len(list_filter(['error', 'in', 'function', 'thing', 'and', 'the', 'ontion'], lambda x: contains(low, x))) * 0.1) AS m FROM p)
+      SELECT doc_id, round(least(1.0, f + s + m)::DOUBLE, 6) AS relevance FROM r""",
     "token_estimate": rf"""WITH {_D} SELECT doc_id, CASE WHEN n = 0 THEN 0 WHEN n > 50000 THEN n // 4 ELSE greatest(1, n // per) END AS tokens, n // 4 AS crude,
       floor(len(regexp_extract_all(substr(text, 1, 1000), '\S+')) * greatest(1.0::DOUBLE, n / 1000) * 1.3::DOUBLE)::BIGINT AS batch FROM e""",
     "truncate_text": f"""WITH {_D}, f AS (SELECT *, n <= CASE WHEN n > 50000 THEN 400 ELSE per * 100 + per - 1 END AS short FROM e)
@@ -128,6 +141,6 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        token_estimate, truncate_text, keyword_extract, jaccard_similarity, identifier_styles, name_variations, classify_text, message_language, decisions, query_relevance, message_heads, ids_and_ages,
+        token_estimate, truncate_text, keyword_extract, jaccard_similarity, identifier_styles, classify_text, message_language, query_relevance, message_heads, ids_and_ages,
     )
 }

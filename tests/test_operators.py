@@ -258,9 +258,10 @@ def test_names_without_words(spark):
 def test_context(spark):
     m = spark.createDataFrame([(1, 0, "system", 30), (1, 1, "user", 50), (1, 2, "assistant", 60), (1, 3, "user", 40), (2, 0, "user", 999)], "c int, turn int, role string, t int")
     assert sorted(tuple(r) for r in context.fitting(m, "c", "turn", "role", "t", 120).collect()) == [(1, 0), (1, 1), (1, 3)]
-    assert context.cycle_budget(131072, 1, "128k") == {"code_analysis": 117964, "internal": 13107} and context.cycle_budget(32768, 2)["window"] == 1500
-    assert context.cycle_budget(1000, 2, "8k") == {"window": 45, "code_analysis": 855, "internal": 100}
-    got = context.expanded("call getUser now", spark)
+    cycle = lambda total, k, size: tuple(one(spark, context.cycle_budget(F.lit(total), F.lit(k), F.lit(size))))
+    assert cycle(131072, 1, "128k") == (117964, 13107, 0) and cycle(32768, 2, "32k")[2] == 1500
+    assert cycle(1000, 2, "8k") == (855, 100, 45) and cycle(1000, 1, "8k") == (900, 100, 0) and cycle(40000, 1, "32k") == (28000, 1500, 0)
+    got = one(spark, context.expanded(F.lit("call getUser now")))
     assert got[0] == "call getUser now" and "call get_user now" in got and len(got) == 5
     s = one(spark, context.summary(F.lit("Please fix the crash in parser.py today"), F.lit("You should add a test. Then done.")))
     assert s == "[DEBUGGING] | User: Please fix the crash in parser | Context: parser.py | Answer: You should add a test"

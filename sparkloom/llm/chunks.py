@@ -6,20 +6,20 @@ same digest, the smallest key owns it: its row keeps the bytes.  The others keep
 digest alone in their recipe and borrow the bytes when the store is read back.
 
 Digests are joined and counted as rows of their own, so what moves through a shuffle is
-16 bytes a chunk and, on reading, the borrowed chunks.  A chunk that very many rows
-borrow is one small row on one side of a join that Spark may split on the other.
+16 bytes a chunk and, on reading, the borrowed chunks; streams stay where they were cut.
+Digests that very many places hold are dealt to many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small, stored
+from .common import aligned, spread_join, stored
 
 #: Units the hash looks back on (a shift by one each), smallest and largest chunk, and
 #: the mask that makes chunks about 1,024 units long beyond the smallest.
@@ -80,24 +80,28 @@ def shares(recipes: DataFrame) -> DataFrame:
     """``key, borrowed, lent`` of the rows that share chunks, from ``key, digests``.
 
     ``borrowed``: places whose bytes another row (or an earlier place) keeps; ``lent``:
-    own places that others need.
+    own places that others need, and how many places hold them.
     """
     places = recipes.select("key", F.posexplode("digests").alias("place", "digest"))
     owner = F.min(F.struct("key", "place")).alias("owner")
-    common = places.groupBy("digest").agg(owner, F.count("*").alias("uses")).where("uses > 1").drop("uses")
+    common = stored(places.groupBy("digest").agg(owner, F.count("*").alias("uses")).where("uses > 1"), "common")
     mine = (F.col("owner.key") == F.col("key")) & (F.col("owner.place") == F.col("place"))
     return (
-        places.join(common, "digest").withColumn("mine", mine).groupBy("key")
-        .agg(F.collect_list(F.when(~F.col("mine"), F.col("place"))).alias("borrowed"), F.collect_list(F.when(F.col("mine"), F.col("place"))).alias("lent"))
+        spread_join(places, common, "digest", "uses", "key").withColumn("mine", mine).groupBy("key")
+        .agg(F.collect_list(F.when(~F.col("mine"), F.col("place"))).alias("borrowed"), F.collect_list(F.when(F.col("mine"), F.struct("place", "uses"))).alias("lent"))
     )
 
 
-def with_shares(rows: DataFrame, recipes: DataFrame, key_bytes: int = 8) -> DataFrame:
-    """``rows`` (with ``key``) and their ``borrowed`` and ``lent`` places, null if none."""
-    found = stored(shares(recipes), "shares")
-    n = found.select(F.count("*").alias("n"), F.sum(F.size("borrowed") + F.size("lent")).alias("p")).first()
-    side = small(found.withColumnRenamed("key", "__key"), 1, (32 + key_bytes) * n["n"] + 4 * (n["p"] or 0))
-    return rows.join(side, F.col("key") == F.col("__key"), "left").drop("__key")
+def with_shares(rows: DataFrame, by: str, strip: Callable, schema: str, path: str) -> DataFrame:
+    """Writes the store to ``path``: ``rows`` (a table bucketed by ``by``, with ``key`` and
+    ``digests``) and their ``borrowed`` and ``lent`` places (null if none), without the bytes
+    that ``strip`` takes away.  Only the places are shuffled, to where their rows lie: the
+    table's tasks are the join's, whatever its size."""
+    spark = rows.sparkSession
+    found = stored(shares(rows.select("key", "digests")).withColumn(by, F.shiftright("key", 40).cast(rows.schema[by].dataType)), "shares")
+    with aligned(spark):
+        rows.join(found.hint("shuffle_hash"), [by, "key"], "left").mapInArrow(strip, schema).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def kept(data: bytes, ends: list[int], unit: int, borrowed: list[int] | None) -> bytes:
@@ -130,20 +134,22 @@ def read_back(store: DataFrame, unit: int) -> tuple[DataFrame, DataFrame]:
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[bytes, bytes]] = []
+            out: list[tuple[bytes, bytes, int]] = []
             for body, ends, names, borrowed, lent in zip(*(c.to_pylist() for c in b.columns)):
-                gone, used, at, wanted = set(borrowed or ()), 0, 0, set(lent)
+                gone, used, at, wanted = set(borrowed or ()), 0, 0, {x["place"]: x["uses"] for x in lent}
                 for i, end in enumerate(ends):
                     size = 0 if i in gone else (end - at) * unit
                     at = end
                     if i in wanted:
-                        out.append((names[i], body[used : used + size]))
+                        out.append((names[i], body[used : used + size], wanted[i]))
                     used += size
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["digest", "chunk"])
+            kinds = (pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["digest", "chunk", "uses"])
 
     some = F.coalesce(F.size("borrowed"), F.lit(0)) > 0
-    whole, borrowing = store.where(~some), store.where(some)
-    lent = store.where(F.size("lent") > 0).select("body", "ends", "digests", "borrowed", "lent").mapInArrow(lend, "digest binary, chunk binary")
+    whole, borrowing, lending = store.where(~some), store.where(some), store.where(F.size("lent") > 0)
+    lent = lending.select("body", "ends", "digests", "borrowed", "lent").mapInArrow(lend, "digest binary, chunk binary, uses long")
+    counts = lending.select(F.explode("lent").alias("x"), "digests").select(F.col("digests")[F.col("x.place")].alias("digest"), "x.uses")
     wanted = borrowing.select("row", F.explode("borrowed").alias("place"), "digests").select("row", "place", F.col("digests")[F.col("place")].alias("digest"))
-    extra = wanted.join(lent, "digest").groupBy("row").agg(F.collect_list(F.struct("place", "chunk")).alias("extra"))
+    extra = spread_join(wanted, lent, "digest", "uses", "row", counts=counts).groupBy("row").agg(F.collect_list(F.struct("place", "chunk")).alias("extra"))
     return whole.withColumn("extra", F.lit(None).cast("array<struct<place:int,chunk:binary>>")), borrowing.join(extra, "row")

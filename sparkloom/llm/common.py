@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+
+
+def fresh(names, base: str) -> str:
+    """``base``, with underscores before it until no column has that name (case aside)."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
 #: Code points that end a word: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -110,3 +121,53 @@ BROADCAST_BYTES = 16 << 20
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcast if ``rows`` rows of ``row_bytes`` stay under the bound."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+#: Keys held by more than this part of all rows (and by more than ``FEW``) are heavy, so at
+#: most so many are; their rows are dealt to so many tasks.
+HEAVY, FEW, SALTS = 4096, 64, 64
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, uses: str, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``side``, which has a row for each ``key`` and how many rows hold it
+    (``uses``).  Rows of heavy keys, and those without a key, are dealt by the column ``by`` to
+    several tasks, which get copies of the side's row.  ``counts`` gives ``key`` and ``uses`` if
+    computing ``side`` is dear; what is broadcast has at most ``HEAVY`` rows."""
+    counts = side if counts is None else counts
+    bar = max(FEW, (counts.agg(F.sum(uses)).first()[0] or 0) // HEAVY)
+    heavy = counts.where(F.col(uses) > bar).select(F.col(key).alias("__heavy"))
+    zero, salt = F.lit(0).cast("long"), F.pmod(F.xxhash64(by), F.lit(SALTS))
+    rows = rows.join(F.broadcast(heavy), F.col(key) == F.col("__heavy"), "left")
+    rows = rows.withColumn("__salt", F.when(F.col("__heavy").isNotNull() | F.col(key).isNull(), salt).otherwise(zero)).drop("__heavy")
+    every = F.sequence(zero, F.lit(SALTS - 1).cast("long"))
+    side = side.withColumn("__salt", F.explode(F.when(F.col(uses) > bar, every).otherwise(F.array(zero))))
+    return rows.join(side, [key, "__salt"], how).drop("__salt")
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values):
+    """Session settings (dots written as two underscores) for the statements inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
+    """``df`` written as a table in the shared folder whose files are bucketed by ``by``.  Each
+    partition should hold few values of it: then nothing is shuffled or sorted, and a later
+    join on ``by`` and other columns does not move this table (see ``aligned``)."""
+    spark, name = df.sparkSession, f"sparkloom_{uuid.uuid4().hex}"
+    with settings(spark, spark__sql__maxConcurrentOutputFileWriters=8):
+        df.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, by).saveAsTable(name)
+    return spark.table(name)
+
+
+def aligned(spark: SparkSession):
+    """Inside, a join on a bucketed table's column and others counts as aligned by the column."""
+    return settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false", spark__sql__sources__bucketing__autoBucketedScan__enabled="false")

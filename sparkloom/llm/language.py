@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold, read
+from .common import fold, fresh, read
 
 #: Dimensions of a vector, seed of the letters' vectors, and distinct letter codes.
 DIM, SEED, LETTERS = 512, 20240607, 128
@@ -137,17 +137,17 @@ def identify(docs: DataFrame, names: list[str], protos: np.ndarray, text: str =
             for x in b.column(0).to_pylist():
                 codes, n = t.counts(x) if x and names else ((), ())
                 v = t.bundle(codes, n) if len(codes) else None
-                if v is None or not v.any():
+                if v is None:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                cos = protos @ v / np.linalg.norm(v)
+                cos = protos @ v / (np.linalg.norm(v) or 1.0)  # a bundle that cancels out is like none
                 best = int(np.argmax(cos))
                 langs.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cos[best]))))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])
 
-    source = docs.select(F.col(text).alias("__text"), *keep)
+    source = docs.select(F.col(text).alias(fresh(keep, "__text")), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
     return source.mapInArrow(predict, f"{fields}, lang_pred string, score double")
 

@@ -7,8 +7,8 @@ digest lists rebuild the samples, every chunk is checked, and features come from
 was read back.
 
 Defined results: null text counts as empty (one block of 192 blanks).  Equal texts give
-equal values.  Rows that repeat one id each keep what that id owns.  An empty table
-gives no rows.  Only the id and text columns are read.
+equal values.  Repeated rows and ids are documents of their own.  An empty table gives no
+rows.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chunks
-from .common import read, shared_dir, stored
+from .common import bucketed, parts, read, shared_dir
 
 BLOCK, RATE = 192, 8000
 
@@ -60,40 +60,38 @@ def _slices(batch: pa.RecordBatch, rows: int = 1000):
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the chunk store and gives its table, a row for each document: recipe
-    (``digests``, ``ends``, ``root``) and the ``body`` of the chunks that it owns."""
+    (``digests``, ``ends``, ``root``) and the ``body`` of the chunks that it owns.
 
-    def recipe(batches):
-        for batch in batches:
-            for b in _slices(batch):
-                made, ends = _cut(b.column(1).to_pylist())
-                names = [chunks.digests(p, e, 1) for (_, p), e in zip(made, ends)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.list_(pa.binary()))], ["key", "digests"])
+    Every row has a key of its own (task and place), so rows of one id may differ and those
+    that repeat each other share their chunks, too."""
 
-    def body(batches):
+    def cut(batches):
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for b in _slices(batch):
-                ids, texts, borrowed, lent = b.columns
-                made, ends = _cut(texts.to_pylist())
+                made, ends = _cut(b.column(1).to_pylist())
                 names = [chunks.digests(p, e, 1) for (_, p), e in zip(made, ends)]
-                bodies = [chunks.kept(p, e, 1, x) for (_, p), e, x in zip(made, ends, borrowed.to_pylist())]
-                rows = pa.array(range(n + (task << 40), n + (task << 40) + len(made)), pa.int64())
+                keys = range(n + (task << 40), n + (task << 40) + len(made))
                 n += len(made)
-                yield pa.RecordBatch.from_arrays(
-                    [rows, ids, pa.array([k for k, _ in made], pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(ends, pa.list_(pa.int32())), pa.array(map(chunks.root, names), pa.binary()), borrowed, lent, pa.array(bodies, pa.binary())],
-                    ["row", "doc_id", "n_bytes", "digests", "ends", "root", "borrowed", "lent", "body"],
+                columns = (
+                    (keys, pa.int64()), ([task] * len(made), pa.int32()), ([k for k, _ in made], pa.int64()), (names, pa.list_(pa.binary())), (ends, pa.list_(pa.int32())),
+                    (map(chunks.root, names), pa.binary()), ([p for _, p in made], pa.binary()),
                 )
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, kind) for v, kind in columns)], ["doc_id", "key", "task", "n_bytes", "digests", "ends", "root", "body"])
+
+    def strip(batches):
+        for batch in batches:
+            for b in _slices(batch):
+                at = {name: b.column(b.schema.get_field_index(name)) for name in b.schema.names}
+                bodies = [chunks.kept(d, e, 1, x) for d, e, x in zip(at["body"].to_pylist(), at["ends"].to_pylist(), at["borrowed"].to_pylist())]
+                names = ["doc_id", "n_bytes", "digests", "ends", "root", "borrowed", "lent"]
+                yield pa.RecordBatch.from_arrays([at["key"], *(at[x] for x in names), pa.array(bodies, pa.binary())], ["row", *names, "body"])
 
-    # Rows of one id may differ in text: places belong to both.  A row without an id shares nothing.
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    print_ = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    docs = docs.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), print_.alias("print"))))
-    recipes = stored(docs.select("key", "text").mapInArrow(recipe, "key struct<id:long,print:binary>, digests array<binary>"), "recipes")
-    rows = chunks.with_shares(docs, recipes.where("key is not null"), 48).select("doc_id", "text", "borrowed", "lent")
-    table = rows.mapInArrow(body, "row long, doc_id long, n_bytes long, digests array<binary>, ends array<int>, root binary, borrowed array<int>, lent array<int>, body binary")
-    path = f"{shared_dir(docs.sparkSession)}/media"
-    table.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(table.schema).parquet(path)
+    rows = docs.mapInArrow(cut, "doc_id long, key long, task int, n_bytes long, digests array<binary>, ends array<int>, root binary, body binary")
+    schema = "row long, doc_id long, n_bytes long, digests array<binary>, ends array<int>, root binary, borrowed array<int>, lent array<struct<place:int,uses:long>>, body binary"
+    spark = docs.sparkSession
+    return chunks.with_shares(bucketed(rows, "task", parts(spark)), "task", strip, schema, f"{shared_dir(spark)}/media")
 
 
 def features(media: DataFrame) -> DataFrame:

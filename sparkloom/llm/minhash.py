@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read, small, stored, words
+from .common import read, small, spread_join, stored, words
 from .graph import components
 
 #: Slots of a signature (a prime: slot orders are arithmetic progressions), and bands.
@@ -169,10 +169,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     sketch = stored(sketched(docs, doc_id, text, width), "sketch")
     filled = sketch.where("digest is not null")
-    names = filled.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    # A document stands for its set; where its row is repeated, the rows are the same.
-    nodes = filled.join(names, "digest").where("doc_id = node").dropDuplicates(["node"])
-    nodes = stored(nodes.select("node", F.col("n_shingles").alias("n"), F.col("bits").alias("x"), "bands"), "nodes")
+    # Of the rows of a set, that with the smallest id stands for it; map sides keep one row a
+    # set, so a set that very many rows have is no more than one row from each of them.
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n_shingles", "bits", "bands")))
+    sets_ = filled.groupBy("digest").agg(first.alias("x"), F.count("*").alias("uses")).where("x is not null")
+    nodes = stored(sets_.select("digest", "uses", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), F.col("x.bits").alias("x"), F.col("x.bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
     shared = stored(banded.join(pivots, "bucket"), "shared")
@@ -201,8 +202,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = stored(pairs.distinct().join(star, ["a", "b"], "left_anti"), "rest")
     groups = components(links.union(stored(_confirmed(rest, sets, percent), "more")))
 
-    names = names.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("c"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(names, "digest", "left")
+    names = stored(nodes.select("node", "digest", "uses").join(groups, "node", "left").select("digest", "uses", F.coalesce("component", "node").alias("c")), "names")
+    out = spread_join(sketch.select("doc_id", "n_shingles", "digest"), names, "digest", "uses", "doc_id", "left")
     component = F.coalesce("c", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 

@@ -14,8 +14,8 @@ over blocks come first, so no source, however large, is ordered in one task.
 Only built-in functions are used.  Defined results: null text counts as empty; a document
 has one token more than words, so each has some.  A null source is a source of its own.
 Equal shares are left as they are.  Repeated rows are separate documents; those with equal
-id and source go together.  An empty table gives no rows.  Columns with the names of
-helper columns (they start with ``__mix``) must not occur.
+id and source go together.  An empty table gives no rows.  ``mixed`` leaves out columns that
+start with ``__mix``, as its own do; ``repeated`` keeps all.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import read, stored
+from .common import fresh, read, stored
 
 #: Documents in a block, on average.
 BLOCK = 256
+#: Hexadecimal digits that name a range of blocks: a source has at most 4,096 ranges.
+RANGE = 3
 #: Bisections of one pass over the sources (all their 2^n - 1 inner points at once), passes.
 DEEP, PASSES = 4, 10
 
@@ -87,6 +89,7 @@ def _rank(*parts) -> Column:
 def mixed(docs: DataFrame, limit: float | None = 2.0, entropy: float | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` and, for each, ``__mix_tokens``, ``__mix_copies`` and its source's
     ``__mix_share`` and ``__mix_weight``."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("__mix")])
     docs = docs.withColumn("__mix_tokens", tokens(F.col(text)))
     docs = docs.withColumn("__mix_source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
     found = stored(docs.groupBy("__mix_source").agg(F.sum("__mix_tokens").alias("total"), F.count("*").alias("docs")), "sources")
@@ -105,10 +108,14 @@ def mixed(docs: DataFrame, limit: float | None = 2.0, entropy: float | None = No
     rows = rows.withColumn("__mix_block", F.conv(F.substring(_rank(F.col(doc_id), F.col("__mix_source")), 1, 8), 16, 10).cast("long") % F.col("__mix_blocks"))
     rows = rows.withColumn("__mix_whole", F.floor("__mix_rate"))
 
+    # Blocks are ordered by their pseudo-random text: ranges of it first, then blocks within.
     sums = rows.groupBy("__mix_source", "__mix_block", "__mix_whole").agg(F.sum("__mix_tokens").alias("sum"))
-    order = Window.partitionBy("__mix_source").orderBy(_rank(F.col("__mix_source"), F.col("__mix_block"), F.col("__mix_whole")), "__mix_block")
-    before = F.coalesce(F.sum("sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = sums.select(F.col("__mix_source").alias("bs"), F.col("__mix_block").alias("bb"), before.alias("__mix_before"))
+    sums = stored(sums.withColumn("rank", _rank(F.col("__mix_source"), F.col("__mix_block"), F.col("__mix_whole"))).withColumn("range", F.substring("rank", 1, RANGE)), "blocks")
+    earlier = F.sum("sum").over(Window.partitionBy("__mix_source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = sums.groupBy("__mix_source", "range").agg(F.sum("sum").alias("sum")).select("__mix_source", "range", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    order = Window.partitionBy("__mix_source", "range").orderBy("rank", "__mix_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.withColumn("inside", F.coalesce(F.sum("sum").over(order), F.lit(0))).join(ranges, ["__mix_source", "range"])
+    blocks = blocks.select(F.col("__mix_source").alias("bs"), F.col("__mix_block").alias("bb"), (F.col("earlier") + F.col("inside")).alias("__mix_before"))
 
     within = Window.partitionBy("__mix_source", "__mix_block").orderBy(_rank(F.col(doc_id), F.col("__mix_whole")), doc_id).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__mix_in", F.coalesce(F.sum("__mix_tokens").over(within), F.lit(0)))
@@ -121,8 +128,11 @@ def mixed(docs: DataFrame, limit: float | None = 2.0, entropy: float | None = No
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row as often as the mixture has it."""
-    rows = mixed(docs, **options)
-    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*docs.columns)
+    names = docs.columns
+    own = {c: fresh(names, f"__own{i}") for i, c in enumerate(names) if c.lower().startswith("__mix")}
+    rows = mixed(docs.withColumnsRenamed(own), **options)
+    rows = rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
+    return rows.select(*[F.col(own.get(c, c)).alias(c) for c in names])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

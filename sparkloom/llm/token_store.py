@@ -2,7 +2,7 @@
 
 Documents are ranged over buckets by id, encoded in order, and cut by ``chunks``.  A
 bucket's file holds its documents' recipes (chunk digests, ends, Merkle root) and the
-chunks they own; a manifest holds each bucket's counts and the root over its documents.
+chunks they own; a manifest holds each bucket's counts and the root of a hash tree over its documents.
 Reading rebuilds every stream, checks chunk digests, document roots and bucket roots.
 
 Defined results: null text counts as empty; an empty text has its end id alone.  Rows
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import chunks
-from .common import bucket_of, id_buckets, parts, read, shared_dir, small
+from .common import bucket_of, bucketed, id_buckets, parts, read, shared_dir, small
 from .tokens import encoder
 
 UNIT = 2  # bytes of an id
@@ -60,10 +60,19 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Documents, or groups of them, that are hashed together (two to this power), and levels.
+FAN, LEVELS = 10, 4
+
+
 def _manifest(rows: DataFrame) -> DataFrame:
-    """``bucket, docs, tokens, top``: the last is the hash over its documents' roots in order."""
-    tops = F.transform(F.array_sort(F.collect_list(F.struct("key", "root"))), lambda x: F.hex(x["root"]))
-    return rows.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), F.sha2(F.array_join(tops, ","), 256).alias("top"))
+    """``bucket, docs, tokens, top``: the last is the root of a tree of hashes over its
+    documents' roots in order, at most 1,024 to a node."""
+    level = rows.select("bucket", "key", F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens"), F.hex("root").alias("top"))
+    for _ in range(LEVELS):  # 40 bits of a key are the place in its bucket
+        own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "top"))), lambda x: x["top"]), ",")
+        level = level.groupBy("bucket", F.shiftright("key", FAN).alias("__key")).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.sha2(own, 256).alias("top"))
+        level = level.withColumnRenamed("__key", "key")
+    return level.select("bucket", "docs", "tokens", "top")
 
 
 def write(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text") -> str:
@@ -71,16 +80,17 @@ def write(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", tex
 
     def strip(batches):
         for b in batches:
-            i = b.schema.get_field_index("body")
-            ends, borrowed = b.column("ends").to_pylist(), b.column("borrowed").to_pylist()
-            bodies = [chunks.kept(d, e, UNIT, x) for d, e, x in zip(b.column(i).to_pylist(), ends, borrowed)]
-            yield b.set_column(i, "body", pa.array(bodies, pa.binary()))
+            at = {name: b.column(b.schema.get_field_index(name)) for name in b.schema.names}
+            bodies = [chunks.kept(d, e, UNIT, x) for d, e, x in zip(at["body"].to_pylist(), at["ends"].to_pylist(), at["borrowed"].to_pylist())]
+            names = ["doc_id", "bucket", "at", "n_tokens", "digests", "ends", "root", "borrowed", "lent"]
+            yield pa.RecordBatch.from_arrays([at["key"], *(at[x] for x in names), pa.array(bodies, pa.binary())], ["row", *names, "body"])
 
-    path = shared_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    path = shared_dir(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    encoded = _written(_encoded(docs, tokenizer, end), f"{path}/encoded")
-    rows = chunks.with_shares(encoded, encoded.select("key", "digests"))
-    _written(rows.mapInArrow(strip, rows.schema).withColumnRenamed("key", "row"), f"{path}/chunks")
+    encoded = bucketed(_encoded(docs, tokenizer, end), "bucket", parts(spark))
+    schema = "row long, doc_id long, bucket int, at long, n_tokens long, digests array<binary>, ends array<int>, root binary, borrowed array<int>, lent array<struct<place:int,uses:long>>, body binary"
+    chunks.with_shares(encoded, "bucket", strip, schema, f"{path}/chunks")
     _written(_manifest(encoded.select("key", "root", "bucket", "n_tokens")), f"{path}/manifest")
     return path
 

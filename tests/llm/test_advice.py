@@ -51,3 +51,38 @@ def test_near_dedup_decides_by_row(spark):
     kept = [(x["doc_id"], x["text"]) for x in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     expected = [(1, p), (None, q), (2, r), (2, prose(12, 60)), (3, "")]
     assert sorted(kept, key=str) == sorted(expected, key=str)
+
+
+def test_names_of_further_columns_are_free(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, __mix_tokens long, __mix_copy string, __gone long, __row long, __text string, __own0 long"
+    rows = [(i // 2 if i < 4 else None if i < 6 else i, prose(i // 2, 40), "en", f"s{i % 3}", 9, i, "x", i, i, "t", i) for i in range(12)]
+    docs = spark.createDataFrame(rows, names)
+    for stage, f in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(f(spark, docs, ""), stage)
+        assert docs.columns == [c.split()[0] for c in names.split(", ")]
+    found = docs.collect()
+    assert found and all(r["__mix_copy"] == "x" and r["__text"] == "t" for r in found)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+
+
+def test_heavy_keys_are_dealt_to_many_tasks(spark):
+    from sparkloom.llm.common import spread_join
+
+    rows = spark.range(2000).selectExpr("id", "if(id % 4 = 0, concat('k', id), if(id % 50 = 1, null, 'hot')) as k")
+    side = rows.where("k is not null").groupBy("k").count().selectExpr("k", "count as uses", "length(k) as n")
+    inner, left = spread_join(rows, side, "k", "uses", "id"), spread_join(rows, side, "k", "uses", "id", "left")
+    expected = sorted((r["id"], len(r["k"])) for r in rows.where("k is not null").collect())
+    assert sorted((r["id"], r["n"]) for r in inner.collect()) == expected
+    assert left.count() == 2000 and sorted((r["id"], r["n"]) for r in left.where("n is not null").collect()) == expected
+
+
+def test_tree_of_hashes_sees_every_root(spark):
+    from sparkloom.llm.token_store import _manifest
+
+    rows = [(b, (b << 40) + i, bytes([b, i % 251, i // 251]), 3) for b in (0, 1) for i in range(1500 * (b + 1))]
+    schema = "bucket int, key long, root binary, n_tokens long"
+    one = {r["bucket"]: r for r in _manifest(spark.createDataFrame(rows, schema).repartition(3)).collect()}
+    assert (one[0]["docs"], one[1]["docs"], one[1]["tokens"]) == (1500, 3000, 9000)
+    rows[1777] = (*rows[1777][:2], b"other", 3)
+    two = {r["bucket"]: r for r in _manifest(spark.createDataFrame(rows, schema)).collect()}
+    assert two[0] == one[0] and two[1]["top"] != one[1]["top"]

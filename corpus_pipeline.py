@@ -6,11 +6,14 @@ every row it is given, and all but the last return the columns of documents.
 1. language: drops documents in which no language is found (no letter at all).
 2. near_dedup: of documents tied by similarity 0.8 of their runs of five words, the one
    with the smallest id stays; documents without words stay.  Where ids are missing or
-   repeated, each row is a document of its own.
+   repeated, each row is a document of its own; of equal rows the first in order of id, text
+   and the other columns stays.
 3. pii: masks personal data in the text and sets n_chars to the new length.
 4. mixing: repeats documents so that temperature-flattened source weights are met, none
    more than twice against the least repeated source, and none left out.
 5. packing: pieces of sequences of 1,024 ids.
+
+Null texts count as empty; an empty table stays empty.  Names of further columns are free.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkloom.llm import language as language_id
 from sparkloom.llm import minhash, mixing as mixture, packing as packer
 from sparkloom.llm import pii as personal
-from sparkloom.llm.common import fold, parts, small_batches, stored
+from sparkloom.llm.common import fold, fresh, parts, read, small_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,20 +39,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    key = "doc_id"
+    key, gone = "doc_id", fresh(docs.columns, "__gone")
     rows = docs
     if not docs.groupBy(key).count().where("count > 1 or doc_id is null").isEmpty():
-        rows, key = _numbered(docs), "__row"
+        key = fresh(docs.columns, "__row")
+        rows = _numbered(docs, key)
     groups = minhash.near_duplicates(rows, doc_id=key, width=5)
-    gone = stored(groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "gone")
-    return rows.join(gone, F.col(key) == F.col("__gone"), "left_anti").select(*docs.columns)
+    dropped = stored(groups.where(~F.col("kept")).select(F.col("doc_id").alias(gone)), "gone")
+    return rows.join(dropped, F.col(key) == F.col(gone), "left_anti").select(*docs.columns)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number of their own, ``__row``, in order of ids (those without one last)."""
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """Rows with a number of their own, in order of ids (those without one last)."""
     place = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     dealt = docs.repartitionByRange(parts(docs.sparkSession), *place).sortWithinPartitions(*place, *docs.columns)
-    return stored(dealt.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return stored(dealt.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
     return docs

@@ -41,26 +41,47 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = 10, threshold: float
     return found
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "id", text: str = "text") -> DataFrame:
-    """The ``k`` best documents of every query (``query_id``, ``query``) by BM25.
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
-    Documents are cut into words once; only words that some query asks for leave the
-    scan, with their document's length, so the shuffle grows with matches.
-    """
 
-    def words(c: str) -> Column:
-        return F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORD), F.lit(0))
+def bm25_scores(docs: DataFrame, asked: DataFrame, by: list[str], key: str, columns: list[str]) -> DataFrame:
+    """``by, key, score``: BM25 of every document that holds a term of ``asked`` (``by, term``),
+    summed over the text columns, each with its own lengths and frequencies.
 
-    asked = queries.select("query_id", F.explode(F.array_distinct(words("query"))).alias("term"))
-    cut = docs.select(F.col(key), words(text).alias("words")).withColumn("length", F.size("words"))
-    stats = cut.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    terms = small(asked.select("term").distinct(), 64)
-    tf = cut.select(key, "length", F.explode("words").alias("term")).join(terms, "term").groupBy("term", key, "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    Texts are cut into words once.  Only asked words leave the scan, and one empty word for each
+    text, which carries its length: counts of texts, mean lengths and document frequencies all
+    come from the one shuffled table of word counts.
+    """
+    texts = docs.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(i).alias("column"), _words(F.col(c)).alias("words")) for i, c in enumerate(columns)])).alias("x"))
+    rows = texts.select(key, "x.column", F.size("x.words").alias("length"), F.explode(F.concat("x.words", F.array(F.lit("")))).alias("term"))
+    wanted = small(asked.select("term").union(asked.sparkSession.createDataFrame([("",)], "term string")).distinct(), 64)
+    # Whether a row stands for its text is an aggregate, so that both parts below read one shuffle.
+    tf = rows.join(wanted, "term").groupBy("term", key, "column", "length").agg(F.count("*").alias("tf"), F.max(F.col("term") == "").alias("whole"))
+    stats = tf.where("whole").groupBy("column").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    held = tf.where(~F.col("whole"))
+    df = held.groupBy("term", "column").agg(F.count("*").alias("df")).join(F.broadcast(stats), "column")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = tf.join(df, "term").select("term", key, weight.alias("w")).join(asked, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
-    return top(scored, k, F.desc(F.round("score", 9)), F.col(key))
+    return held.join(df, ["term", "column"]).select("term", key, weight.alias("w")).join(asked, "term").groupBy(*by, key).agg(F.sum("w").alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "id", text: str = "text") -> DataFrame:
+    """The ``k`` best documents of every query (``query_id``, ``query``) by BM25."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(_words(F.col("query")))).alias("term"))
+    return top(bm25_scores(docs, asked, ["query_id"], key, [text]), k, F.desc(F.round("score", 9)), F.col(key))
+
+
+def lexical(docs: DataFrame, variations: DataFrame, k: int = 10, key: str = "id", columns: list[str] = ("text", "path")) -> DataFrame:
+    """The ``k`` best documents of every query over its variations (``query_id, variation,
+    query, weight``): each takes its own ``k // n + 1`` best by BM25 over all columns, and a
+    document keeps its best weighted score."""
+    asked = variations.select("query_id", "variation", F.explode(F.array_distinct(_words(F.col("query")))).alias("term"))
+    scored = bm25_scores(docs, asked, ["query_id", "variation"], key, list(columns))
+    share = variations.select("query_id", "variation", "weight", (F.floor(F.lit(k) / F.count("*").over(Window.partitionBy("query_id"))) + 1).alias("__most"))
+    nth = F.row_number().over(Window.partitionBy("query_id", "variation").orderBy(F.desc(F.round("score", 9)), key))
+    first = scored.withColumn("__nth", nth).join(share, ["query_id", "variation"]).where(F.col("__nth") <= F.col("__most"))
+    return top(best_of(first, key), k, F.desc(F.round("score", 9)), F.col(key))
 
 
 def fused(semantic: DataFrame, lexical: DataFrame, key: str, semantic_weight: float = 0.7, lexical_weight: float = 0.3) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import events as E
+from ..session import scratch
 from ..streaming import bus
 from .tables import load
 
@@ -59,8 +59,7 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     rows = stream.select(F.col("user_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 100 + 1).alias("current"), F.lit(100).cast("long").alias("total"))
     name = f"progress_{uuid.uuid4().hex}"
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkloom-")
-    query = bus.progress(rows, "user_id", "at", "current", "total").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{root.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    query = bus.progress(rows, "user_id", "at", "current", "total").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(spark, name)).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).select("user_id", "current", "total", F.round("percent", 6).alias("percent"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scores, vectors
-from ..operators import filters, search
-from .tables import EDGES_SQL, load
+from ..operators import filters, search, vector_index
+from .tables import EDGES_SQL, load, spread
 
 AS_OF = "2002-01-01 00:00:00"
 
@@ -38,10 +38,40 @@ def vector_same_label_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = search.bm25(load(spark, sf_dir, "documents"), queries, 5, "doc_id")
+    found = search.bm25(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), queries, 5, "doc_id")
     return found.select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
+def lexical_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark text and its first words as a lighter variation, over text and source."""
+    b = load(spark, sf_dir, "benchmark").where("item_id % 4 = 0")
+    whole = b.select(F.col("item_id").alias("query_id"), F.lit(0).alias("variation"), F.col("text").alias("query"), F.lit(1.0).alias("weight"))
+    head = b.select(F.col("item_id").alias("query_id"), F.lit(1).alias("variation"), F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 4), F.concat(F.lit("src"), F.col("item_id").cast("string"))).alias("query"), F.lit(0.9).alias("weight"))
+    found = search.lexical(spread(load(spark, sf_dir, "documents").select("doc_id", "text", "source")), whole.unionByName(head), 6, "doc_id", ["text", "source"])
+    return found.select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+
+
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds nine tenths of the ten nearest vectors, for every fiftieth vector."""
+    e = load(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    c = vector_index.centres(e, "vec_id")
+    found = vector_index.search(vector_index.indexed(e.select("vec_id", "embedding"), c), queries, c, 10, "vec_id")
+    exact = search.nearest(e, queries, 10, -1.0, "vec_id", metric="cosine")
+    hits = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return hits.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("reached"))
+
+
+def vector_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of one label: the filter comes before scoring, and all lists are probed."""
+    e = load(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    c = vector_index.centres(e, "vec_id", lists=vector_index.LEAST)
+    index = vector_index.indexed(e.select("vec_id", "embedding", "label"), c).where("label = 3")
+    found = vector_index.search(index, queries, c, 3, "vec_id")
+    return found.select("query_id", "vec_id", "rank", F.round("score", 4).alias("score"))
+
+
 def _two_lists(spark: SparkSession, sf_dir: str):
     o = load(spark, sf_dir, "orders")
     semantic = o.where("o_totalprice >= 100000").select(F.col("o_custkey").alias("query_id"), "o_orderkey", F.col("o_totalprice").alias("score"))
@@ -141,6 +171,23 @@ SQL = {
       WITH s AS (SELECT q.vec_id AS query_id, q.label AS wanted, a.vec_id, a.label, {_COS} AS score FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
       SELECT query_id, round(avg((label = wanted)::INT), 6) AS precision_at_10 FROM r WHERE rank <= 10 GROUP BY query_id""",
+    "lexical_variations": r"""
+      WITH v AS (SELECT item_id AS query_id, 0 AS variation, text AS query, 1.0 AS weight FROM benchmark WHERE item_id % 4 = 0
+        UNION ALL SELECT item_id, 1, array_to_string(regexp_split_to_array(text, '\s+')[1:4], ' ') || ' src' || item_id, 0.9 FROM benchmark WHERE item_id % 4 = 0),
+      q AS (SELECT DISTINCT query_id, variation, weight, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')) AS term FROM v),
+      c AS (SELECT doc_id, 0 AS col, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words FROM documents UNION ALL SELECT doc_id, 1, regexp_extract_all(lower(coalesce(source, '')), '[\p{L}\p{N}_]+') FROM documents),
+      st AS (SELECT col, count(*) AS n, avg(len(words)) AS mean FROM c GROUP BY col), t AS (SELECT doc_id, col, len(words) AS length, unnest(words) AS term FROM c),
+      tf AS (SELECT term, doc_id, col, length, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, col, count(*) AS df FROM tf GROUP BY ALL),
+      s AS (SELECT query_id, variation, weight, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+            FROM q JOIN tf USING (term) JOIN df USING (term, col) JOIN st USING (col) GROUP BY ALL),
+      f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, variation ORDER BY round(score, 9) DESC, doc_id) <= 4),
+      b AS (SELECT query_id, doc_id, max(score * weight) AS score FROM f GROUP BY ALL)
+      SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, round(score, 5)::DOUBLE AS score FROM b
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 6""",
+    "vector_index_recall": "WITH e AS (SELECT count(*) AS q FROM embeddings WHERE vec_id % 50 = 0), n AS (SELECT least(10, count(*)) AS k FROM embeddings) SELECT q AS queries, q * k AS wanted, true AS reached FROM e, n",
+    "vector_index_filtered": """
+      WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.label = 3)
+      SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id)::INT AS rank, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) <= 3""",
     "bm25_topk": r"""
       WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark),
       c AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words FROM documents),
@@ -219,7 +266,7 @@ SQL["graph_search"] = f"""WITH {EDGES_SQL}, b AS (SELECT source_id AS node, targ
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_validate, vector_same_label_precision, bm25_topk, minmax_fusion, hybrid_topk, search_filters, date_filter,
+        vector_topk, vector_validate, vector_same_label_precision, bm25_topk, lexical_variations, vector_index_recall, vector_index_filtered, minmax_fusion, hybrid_topk, search_filters, date_filter,
         keyword_search, rerank_recency, rerank_bands, rerank_boost, rerank_mixed, diversity_cap, two_stage_search, graph_search,
     )
 }

@@ -9,6 +9,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a small single file whose rows
+    cost much is dealt out, any other stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers as a graph: an edge for each pair and return flag, observed once
     for each line."""

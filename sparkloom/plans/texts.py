@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..operators import sessions
-from .tables import load
+from .tables import load, spread
 
 
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
 
 
 def jaccard_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +38,12 @@ def identifier_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sessions.turn_labels(load(spark, sf_dir, "conversations"))
+    rows = sessions.turn_labels(spread(load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")))
     return rows.select("conv_id", "turn", "task_type", "about_code", "query_type")
 
 
 def message_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sessions.turn_labels(load(spark, sf_dir, "conversations"))
+    rows = sessions.turn_labels(spread(load(spark, sf_dir, "conversations").select("text")))
     return rows.groupBy("language", "intent").agg(F.count("*").alias("n"))
 
 

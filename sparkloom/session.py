@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side goes to every executor only below this many bytes; larger ones are shuffled.
@@ -23,3 +26,11 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcast if a count shows it to be under the bound, else as it is."""
     limit = BROADCAST_BYTES // row_bytes
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path that all executors see: below the checkpoint folder the session names, else
+    below its warehouse; on one machine (tests) a temporary folder will do."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or (tempfile.mkdtemp(prefix="sparkloom-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import files as kinds
 
@@ -57,3 +57,14 @@ def fresh(cache: DataFrame, written_at: str, as_of, ttl_seconds: int = 3600) ->
     """Entries of a cache table that have not run out."""
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col(written_at).cast("timestamp"))
     return cache.where(age <= ttl_seconds)
+
+
+def cached(puts: DataFrame, changes: DataFrame, owner: str, key: str, file: str, as_of, ttl_seconds: int = 3600, most: int = 1000) -> DataFrame:
+    """``owner, key`` of a result cache's entries at ``as_of``: of those put (``put_at``) that have
+    not run out and whose file has not changed since (``changed_at``), each owner's latest."""
+    now = F.lit(as_of).cast("timestamp")
+    last = changes.where(F.col("changed_at").cast("timestamp") <= now).groupBy(file).agg(F.max("changed_at").alias("changed_at"))
+    alive = fresh(puts.where(F.col("put_at").cast("timestamp") <= now), "put_at", as_of, ttl_seconds)
+    valid = alive.join(last, file, "left").where(F.col("changed_at").isNull() | (F.col("changed_at") <= F.col("put_at")))
+    nth = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("put_at"), F.desc(key)))
+    return valid.withColumn("__nth", nth).where(F.col("__nth") <= most).select(owner, key)

@@ -293,6 +293,56 @@ def tags(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(bare, F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower)
 
 
+#: What HTML elements are for, by tag, and those that matter most (fixed values).
+ELEMENTS = {
+    "structure": "header nav main section article aside footer div", "form": "form input select textarea button label", "media": "img video audio picture svg canvas iframe", "table": "table thead tbody tr td th",
+    "list": "ul ol li dl dt dd", "heading": "h1 h2 h3 h4 h5 h6", "text": "p span a em strong blockquote code pre", "head": "title meta link script style",
+}
+SIGNIFICANT = "header nav main section article footer form table h1 h2 title"
+
+
+def element_kind(tag: Column) -> Column:
+    out = None
+    for kind, names in ELEMENTS.items():
+        hit = tag.isin(names.split())
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    return out.otherwise("other")
+
+
+def page_quality(html: Column) -> Column:
+    """(images, images_without_text, headings, has_title, has_description, has_language, links):
+    what accessibility and search engines look at in a page."""
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    images = F.regexp_extract_all(bare, F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))
+    return F.struct(
+        F.size(images).alias("images"), F.size(F.filter(images, lambda x: ~x.rlike(r"(?i)\balt\s*="))).alias("images_without_text"), F.regexp_count(bare, F.lit(r"(?i)<h[1-6]\b")).alias("headings"),
+        bare.rlike(r"(?is)<title\b[^>]*>\s*\S").alias("has_title"), bare.rlike(r"(?i)<meta\b[^>]*name\s*=\s*[\"']?description").alias("has_description"), bare.rlike(r"(?i)<html\b[^>]*\blang\s*=").alias("has_language"),
+        F.regexp_count(bare, F.lit(r"(?i)<a\b[^>]*\bhref\s*=")).alias("links"),
+    )
+
+
+#: Domains of settings by the words of their keys (fixed values).
+DOMAINS = {"database": "db database sql postgres mysql redis mongo", "server": "port host server url endpoint", "security": "secret token key password auth ssl", "logging": "log debug level trace"}
+
+
+def setting_rows(rows: DataFrame, key: str) -> DataFrame:
+    """``key, line_no, section, name, value, domain, secret, depth`` of the settings among a
+    file's lines (``line_no, line``); the section is the last one named above."""
+    line = F.col("line")
+    section = F.nullif(F.regexp_extract(line, r"^\s*\[+([^\]]+)\]+\s*$", 1), F.lit(""))
+    above = F.last(section, ignorenulls=True).over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    pair = r"^\s*\"?([A-Za-z_][\w.-]*)\"?\s*[:=]\s*(.*?)\s*,?\s*$"
+    found = rows.withColumn("section", above).where(line.rlike(pair) & section.isNull())
+    name = F.regexp_extract(line, pair, 1)
+    words = F.split(F.lower(name), "[_.-]")
+    domain = None
+    for label, names in DOMAINS.items():
+        hit = F.arrays_overlap(words, F.array(*[F.lit(w) for w in names.split()]))
+        domain = F.when(hit, label) if domain is None else domain.when(hit, label)
+    secret = F.arrays_overlap(words, F.array(*[F.lit(w) for w in ("secret", "token", "password", "key")])) & (F.length(F.regexp_extract(line, pair, 2)) > 0)
+    return found.select(key, "line_no", "section", name.alias("name"), F.regexp_extract(line, pair, 2).alias("value"), domain.otherwise("general").alias("domain"), secret.alias("secret"), F.length(F.regexp_extract(line, r"^\s*", 0)).alias("depth"))
+
+
 def sql_statements(rows: DataFrame, key: str) -> DataFrame:
     """Kind, tables and quality flags of SQL statements (``statement``)."""
     s = F.upper(F.trim("statement"))

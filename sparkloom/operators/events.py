@@ -13,6 +13,18 @@ STATES = {
 }
 
 
+#: Part of an analysis cycle that each state takes (fixed values).
+PARTS = {"DROWSY": 0.1, "DREAMING": 0.3, "REM": 0.4, "DEEP_SLEEP": 0.1, "WAKING": 0.1}
+
+
+def state_times(rows: DataFrame, run: str, order: str, state: str, seconds: str, cycle_minutes: float = 5.0) -> DataFrame:
+    """Time spent in each state until the next change, and the time that the cycle allows for it
+    (none for states outside the cycle)."""
+    spent = F.lead(seconds).over(Window.partitionBy(run).orderBy(order)) - F.col(seconds)
+    share = F.create_map(*[F.lit(x) for kv in PARTS.items() for x in kv])[F.col(state)]
+    return rows.withColumn("spent", spent).withColumn("allowed", share * (cycle_minutes * 60)).withColumn("over", F.col("spent") > F.col("allowed"))
+
+
 def replay(events: DataFrame, ts: str, kind: str, start, end, kinds: list[str]) -> DataFrame:
     """Events of the kinds within both times, inclusive."""
     t = F.col(ts).cast("timestamp")

@@ -105,6 +105,34 @@ def co_modified(items: DataFrame, commit: str, file: str, k: int = 10, least: in
     return best.crossJoin(F.broadcast(total)).select("file", "other", "together", (F.col("together") / F.col("total")).alias("frequency"))
 
 
+#: Files that change with everything (fixed values).
+COMMON = (".gitignore", "package.json", "pyproject.toml", "requirements", "readme", ".lock")
+
+
+def changed_with(changes: DataFrame, commit: str, file: str, order: str, commits: int = 50, k: int = 5, least: int = 2) -> DataFrame:
+    """``file, other, together``: what each file's latest ``commits`` also changed, the ``k`` most
+    frequent of it, if together at least so often; common files are no partners."""
+    from .search import top
+
+    once = changes.groupBy(F.col(commit).alias("c"), F.col(file).alias("file")).agg(F.max(order).alias("at"))
+    recent = top(once, commits, F.desc("at"), F.desc("c"), by="file").select("c", "file")
+    partner = F.lit(True)
+    for part in COMMON:
+        partner &= ~F.contains(F.lower("other"), F.lit(part))
+    pairs = recent.join(once.select("c", F.col("file").alias("other")).where(partner), "c").where("file <> other")
+    counts = pairs.groupBy("file", "other").agg(F.count("*").alias("together"))
+    return top(counts, k, F.desc("together"), F.col("other"), by="file").where(F.col("together") >= least).drop("rank")
+
+
+def resolved(refs: DataFrame, nodes: DataFrame, ref: str = "ref") -> DataFrame:
+    """``refs`` and the ``node_id`` that each means: 32 hexadecimal digits are an id, which must
+    exist, anything else is a path; null if unknown."""
+    is_id = F.col(ref).rlike("^[0-9a-f]{32}$")
+    names = nodes.select(F.col("id").alias("__k"), F.lit(True).alias("__by_id"), F.col("id").alias("node_id")).unionByName(nodes.select(F.col("path").alias("__k"), F.lit(False).alias("__by_id"), F.col("id").alias("node_id")))
+    names = names.groupBy("__k", "__by_id").agg(F.min("node_id").alias("node_id"))
+    return refs.join(names, (F.col(ref) == F.col("__k")) & (is_id == F.col("__by_id")), "left").drop("__k", "__by_id")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, connections``: edges at either end; a node without any counts one, as a left
     join with a row count would give."""

@@ -133,6 +133,22 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("message", message).select("p_partkey", d["type"].alias("type"), d["title"].alias("title"), d["impact"].alias("impact"), d["rationale"].alias("rationale"), T.task_title(m).alias("task"), T.continues_task(m).alias("goes_on"), found.alias("references"))
 
 
+def settings_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of a configuration file for each part."""
+    fn = F.col("fn")
+    text = F.concat(F.lit("debug = true\n[server."), fn, F.lit("]\nport = 80"), (F.col("p_size") % 10).cast("string"), F.lit("\n  auth_token: \"x1\"\n[db]\n"), fn, F.lit(" = \nredis_url = r://"), fn, F.lit("\n# end\n"))
+    return chunking.setting_rows(chunking.numbered(_names(spark, sf_dir).select("p_partkey", text.alias("content")), "p_partkey", "content"), "p_partkey")
+
+
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of pages by kind, and what accessibility looks at."""
+    p = load(spark, sf_dir, "pages").select("page_id", "html")
+    q = chunking.page_quality(F.col("html"))
+    tags = F.transform(chunking.tags(F.col("html")), lambda t: chunking.element_kind(t))
+    kinds = [F.size(F.filter(tags, (lambda kind: lambda t: t == kind)(k))).alias(k) for k in ("structure", "text", "list", "heading", "head")]
+    return p.select("page_id", *kinds, q["images"].alias("images"), q["images_without_text"].alias("bare_images"), q["has_title"].alias("has_title"), q["has_description"].alias("has_description"), q["has_language"].alias("has_language"), q["links"].alias("links"))
+
+
 def change_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which change lists are valid: known actions and triggers, at most so many files."""
     e = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("list_id"), F.when(F.col("l_linenumber") == 5, "moved").otherwise("modified").alias("action"), F.when(F.col("l_returnflag") == "N", "commit").otherwise("manual").alias("trigger"))
@@ -214,6 +230,17 @@ SQL = {
         CASE WHEN k IN (0, 5, 6) THEN fn WHEN k = 1 THEN 'keep ' || fn WHEN k = 2 THEN 'rotate ' || fn WHEN k = 3 THEN 'search' END AS title, CASE WHEN k IN (0, 1, 5, 6) THEN 3 WHEN k = 2 THEN 5 WHEN k = 3 THEN 4 END AS impact,
         CASE k WHEN 0 THEN 'it is small' WHEN 1 THEN 'be enough' WHEN 3 THEN 'It needs care' WHEN 5 THEN 'pesa menos' END AS rationale, CASE k WHEN 7 THEN fn || ' parser' END AS task, k = 9 AND false OR regexp_matches(lower(m), 'about the (.+) that') AS goes_on,
         CASE k WHEN 8 THEN '10,11:' || fn || ',15' WHEN 9 THEN '0,2:' || fn ELSE '' END AS "references" FROM m""",
+    "settings_found": rf"""
+      WITH {_S}, l AS (SELECT p_partkey, fn, p_size, unnest([1, 3, 4, 6, 7]) AS line_no FROM p)
+      SELECT p_partkey, line_no, CASE WHEN line_no IN (3, 4) THEN 'server.' || fn WHEN line_no > 4 THEN 'db' END AS section, CASE line_no WHEN 1 THEN 'debug' WHEN 3 THEN 'port' WHEN 4 THEN 'auth_token' WHEN 6 THEN fn ELSE 'redis_url' END AS name,
+        CASE line_no WHEN 1 THEN 'true' WHEN 3 THEN '80' || p_size % 10 WHEN 4 THEN '"x1"' WHEN 6 THEN '' ELSE 'r://' || fn END AS value, CASE line_no WHEN 1 THEN 'logging' WHEN 3 THEN 'server' WHEN 4 THEN 'security' WHEN 6 THEN 'general' ELSE 'database' END AS domain,
+        line_no = 4 AS secret, CASE line_no WHEN 4 THEN 2 ELSE 0 END AS depth FROM l""",
+    "page_elements": r"""
+      WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') AS b FROM pages), t AS (SELECT *, list_transform(regexp_extract_all(b, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)) AS t, regexp_extract_all(b, '(?i)<img\b[^>]*>') AS i FROM b)
+      SELECT page_id, len(list_filter(t, lambda x: x IN ('header', 'nav', 'main', 'section', 'article', 'aside', 'footer', 'div'))) AS structure, len(list_filter(t, lambda x: x IN ('p', 'span', 'a', 'em', 'strong', 'blockquote', 'code', 'pre'))) AS text,
+        len(list_filter(t, lambda x: x IN ('ul', 'ol', 'li', 'dl', 'dt', 'dd'))) AS list, len(list_filter(t, lambda x: regexp_full_match(x, 'h[1-6]'))) AS heading, len(list_filter(t, lambda x: x IN ('title', 'meta', 'link', 'script', 'style'))) AS head,
+        len(i) AS images, len(list_filter(i, lambda x: NOT regexp_matches(x, '(?i)\balt\s*='))) AS bare_images, regexp_matches(b, '(?is)<title\b[^>]*>\s*\S') AS has_title, regexp_matches(b, '(?i)<meta\b[^>]*name\s*=\s*[\x22\x27]?description') AS has_description,
+        regexp_matches(b, '(?i)<html\b[^>]*\blang\s*=') AS has_language, len(regexp_extract_all(b, '(?i)<a\b[^>]*\bhref\s*=')) AS links FROM t""",
     "change_checks": """SELECT l_orderkey AS list_id, count(*) AS files, bool_and(l_linenumber <> 5) AND count(*) <= 4 AS valid FROM lineitem GROUP BY l_orderkey""",
     "pattern_files": f"WITH {_S} SELECT path FROM f WHERE contains(path, 'bolt1') ORDER BY path LIMIT 50",
 }
@@ -221,6 +248,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         name_variations, similar_names, definitions_found, python_structure, text_graph, changed_together, file_kinds, file_imports, file_settings, sql_kinds, chunk_sizes, long_chunks_split, compressed_files, decisions,
-        change_checks, pattern_files,
+        settings_found, page_elements, change_checks, pattern_files,
     )
 }

@@ -43,6 +43,13 @@ def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("before", "state", "allowed").agg(F.count("*").alias("n"))
 
 
+def state_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in E.STATES])
+    e = load(spark, sf_dir, "events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.element_at(names, (F.col("event_id") % 6 + 1).cast("int")).alias("state"))
+    rows = E.state_times(e, "user_id", "event_id", "state", "at", 600.0)
+    return rows.groupBy("state").agg(F.sum("spent").alias("spent"), F.round(F.max("allowed"), 6).alias("allowed"), F.count_if("over").alias("over"))
+
+
 def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     return e.select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") % 100 + 1).alias("current"), F.lit(100).cast("long").alias("total"))
@@ -89,6 +96,10 @@ SQL = {
     "state_changes": f"""
       WITH s AS (SELECT user_id, event_id, {_STATES}[event_id % 6 + 1] AS state FROM events), b AS (SELECT state, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM s)
       SELECT before, state, before IS NULL OR coalesce({_ALLOWED}, false) AS allowed, count(*) AS n FROM b GROUP BY ALL""",
+    "state_times": f"""
+      WITH s AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS t, {_STATES}[event_id % 6 + 1] AS state FROM events), d AS (SELECT state, lead(t) OVER (PARTITION BY user_id ORDER BY event_id) - t AS spent FROM s),
+      a AS (SELECT *, CASE state WHEN 'DREAMING' THEN 0.3 WHEN 'REM' THEN 0.4 WHEN 'MONITORING' THEN NULL ELSE 0.1 END * 36000 AS allowed FROM d)
+      SELECT state, sum(spent)::BIGINT AS spent, round(max(allowed)::DOUBLE, 6) AS allowed, count(*) FILTER (spent > allowed) AS over FROM a GROUP BY state""",
     "task_progress": """
       WITH p AS (SELECT user_id, floor(epoch(ts))::BIGINT AS sec, event_id % 100 + 1 AS current FROM events), m AS (SELECT user_id, max({'a': sec, 'c': current}) AS x, min(sec) AS t0 FROM p GROUP BY user_id)
       SELECT user_id, x.c AS current, 100 AS total, round(x.c * 1.0, 6)::DOUBLE AS percent, round(CASE WHEN x.a > t0 THEN x.c / (x.a - t0) ELSE 0 END, 9) AS per_second, x.c >= 100 AS done FROM m""",
@@ -96,4 +107,4 @@ SQL = {
       WITH m AS (SELECT user_id, max({'a': ts, 'c': event_id % 100 + 1}) AS x FROM events GROUP BY user_id) SELECT user_id, x.c AS current, 100 AS total, round(x.c * 1.0, 6)::DOUBLE AS percent FROM m""",
     "windowed_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
-QUERIES = {f.__name__: f for f in (event_replay, cooldown_dedup, change_feed, invalidation_fanout, state_changes, task_progress, stream_progress, windowed_events)}
+QUERIES = {f.__name__: f for f in (event_replay, cooldown_dedup, change_feed, invalidation_fanout, state_changes, state_times, task_progress, stream_progress, windowed_events)}

@@ -53,6 +53,20 @@ def co_modified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", "other", "together", F.round("frequency", 9).alias("frequency"))
 
 
+def changed_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.when(F.col("l_partkey") % 9 == 0, "README").otherwise("src/p"), F.col("l_partkey").cast("string")).alias("file"), "l_shipdate")
+    return graph.changed_with(li, "l_orderkey", "file", "l_shipdate", 20, 5, 2)
+
+
+def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by id, by path, and by ids and paths that are not there."""
+    p = load(spark, sf_dir, "part")
+    key = F.md5(F.col("p_partkey").cast("string").cast("binary"))
+    nodes = p.where("p_partkey % 5 <> 0").select(key.alias("id"), F.concat(F.lit("src/"), "p_partkey").alias("path"))
+    refs = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, key).otherwise(F.concat(F.lit("src/"), "p_partkey")).alias("ref"))
+    return graph.resolved(refs, nodes)
+
+
 def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = graph.graph_metrics(_nodes(spark, sf_dir), edges(spark, sf_dir))
     return rows.select("total_nodes", "total_edges", F.round("avg_connectivity", 6).alias("avg_connectivity"))
@@ -141,6 +155,12 @@ SQL = {
     "impact_buckets": f"""WITH {EDGES_SQL}, b AS (SELECT target_id AS node, source_id AS dependent, max(strength) AS s FROM edges GROUP BY ALL)
       SELECT node, count_if(s > 0.7)::BIGINT AS high, count_if(s > 0.4 AND s <= 0.7)::BIGINT AS medium, count_if(s <= 0.4)::BIGINT AS low, count(*) AS total, max({{'s': s, 'd': dependent}}).d AS strongest FROM b GROUP BY node""",
     "file_dependencies": f"""WITH {EDGES_SQL} SELECT source_id, relation_type, count(*) AS n, round(avg(strength), 6) AS avg_strength, string_agg(target_id, ',' ORDER BY target_id) AS targets FROM edges GROUP BY source_id, relation_type""",
+    "changed_with": """
+      WITH o AS (SELECT l_orderkey AS c, CASE WHEN l_partkey % 9 = 0 THEN 'README' ELSE 'src/p' END || l_partkey AS file, max(l_shipdate) AS d FROM lineitem GROUP BY ALL),
+      r AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY file ORDER BY d DESC, c DESC) <= 20),
+      k AS (SELECT r.file, o.file AS other, count(*) AS together FROM r JOIN o ON r.c = o.c AND r.file <> o.file AND o.file NOT LIKE 'README%' GROUP BY ALL)
+      SELECT * FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY file ORDER BY together DESC, other) <= 5) WHERE together >= 2""",
+    "node_lookup": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN md5(p_partkey::VARCHAR) ELSE 'src/' || p_partkey END AS ref, CASE WHEN p_partkey % 5 <> 0 THEN md5(p_partkey::VARCHAR) END AS node_id FROM part",
     "co_modified_pairs": """
       WITH o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
       c AS (SELECT a.l_partkey AS file, b.l_partkey AS other, count(*) AS together FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY ALL),
@@ -168,7 +188,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        edge_upsert, edge_merge, edge_strengthen, undirected_neighbors, bfs_related, impact_buckets, file_dependencies, co_modified_pairs, graph_metrics,
+        edge_upsert, edge_merge, edge_strengthen, undirected_neighbors, bfs_related, impact_buckets, file_dependencies, co_modified_pairs, changed_with, node_lookup, graph_metrics,
         node_connectivity, strong_clusters, tight_coupling, change_hotspots, recurring_patterns, layer_violations, pattern_report, edge_decay,
     )
 }

@@ -157,7 +157,7 @@ def test_classifiers(spark):
     assert one(spark, T.decision(F.lit("@decision: one table"))["title"]) == "one table"
     assert one(spark, T.decision(F.lit("Security: rotate keys"))["impact"]) == 5 and one(spark, T.decision(F.lit("hm"))) is None
     refs = one(spark, T.references(F.lit("Remember when, in the last session, about the cache we discussed")))
-    assert [(r["pattern"], r["hint"]) for r in refs] == [(1, None), (2, "cache"), (3, None)]
+    assert [(r["pattern"], r["hint"]) for r in refs] == [(10, None), (11, "cache"), (12, None)]
     assert one(spark, T.entities(F.lit("see src/a/b.py and run() in B.PY, class Foo"), "files")) == ["src/a/b.py", "b.py"]
     assert [one(spark, T.line_proximity(F.lit(10), F.lit(20), F.array(F.lit(t)))) for t in (15, 24, 29, 39, 99)] == [0.4, 0.3, 0.2, 0.1, 0.0]
 

@@ -158,16 +158,27 @@ def settings(spark: SparkSession, **values):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
-    """``df`` written as a table in the shared folder whose files are bucketed by ``by``.  Each
-    partition should hold few values of it: then nothing is shuffled or sorted, and a later
-    join on ``by`` and other columns does not move this table (see ``aligned``)."""
-    spark, name = df.sparkSession, f"sparkloom_{uuid.uuid4().hex}"
+def bucketed(df: DataFrame, by: str, buckets: int, path: str) -> DataFrame:
+    """``df`` written to ``path`` as a table whose files are bucketed by ``by``.  Each partition
+    should hold few values of it: then nothing is shuffled or sorted, and a later join on ``by``
+    and other columns does not move this table (see ``aligned``)."""
+    spark, name = df.sparkSession, _table(path)
     with settings(spark, spark__sql__maxConcurrentOutputFileWriters=8):
-        df.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, by).saveAsTable(name)
+        df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, by).saveAsTable(name)
     return spark.table(name)
 
 
+def _table(path: str) -> str:
+    return "sparkloom_" + "".join(c if c.isalnum() else "_" for c in path.rpartition("sparkloom-")[2])
+
+
+def discarded(spark: SparkSession, path: str) -> None:
+    """Drops a table of ``bucketed`` and its files, once nothing reads it any more."""
+    spark.sql(f"DROP TABLE IF EXISTS {_table(path)}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def aligned(spark: SparkSession):
     """Inside, a join on a bucketed table's column and others counts as aligned by the column."""
     return settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false", spark__sql__sources__bucketing__autoBucketedScan__enabled="false")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chunks
-from .common import bucketed, parts, read, shared_dir
+from .common import bucketed, discarded, parts, read, shared_dir
 
 BLOCK, RATE = 192, 8000
 
@@ -90,8 +90,10 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = docs.mapInArrow(cut, "doc_id long, key long, task int, n_bytes long, digests array<binary>, ends array<int>, root binary, body binary")
     schema = "row long, doc_id long, n_bytes long, digests array<binary>, ends array<int>, root binary, borrowed array<int>, lent array<struct<place:int,uses:long>>, body binary"
-    spark = docs.sparkSession
-    return chunks.with_shares(bucketed(rows, "task", parts(spark)), "task", strip, schema, f"{shared_dir(spark)}/media")
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
+    table = chunks.with_shares(bucketed(rows, "task", parts(spark), f"{path}/cut"), "task", strip, schema, f"{path}/media")
+    discarded(spark, f"{path}/cut")
+    return table
 
 
 def features(media: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import chunks
-from .common import bucket_of, bucketed, id_buckets, parts, read, shared_dir, small
+from .common import bucket_of, bucketed, discarded, id_buckets, parts, read, shared_dir, small
 from .tokens import encoder
 
 UNIT = 2  # bytes of an id
@@ -88,10 +88,11 @@ def write(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", tex
     spark = docs.sparkSession
     path = shared_dir(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    encoded = bucketed(_encoded(docs, tokenizer, end), "bucket", parts(spark))
+    encoded = bucketed(_encoded(docs, tokenizer, end), "bucket", parts(spark), f"{path}/encoded")
     schema = "row long, doc_id long, bucket int, at long, n_tokens long, digests array<binary>, ends array<int>, root binary, borrowed array<int>, lent array<struct<place:int,uses:long>>, body binary"
     chunks.with_shares(encoded, "bucket", strip, schema, f"{path}/chunks")
     _written(_manifest(encoded.select("key", "root", "bucket", "n_tokens")), f"{path}/manifest")
+    discarded(spark, f"{path}/encoded")
     return path
 
 

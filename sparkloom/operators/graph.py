@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scores import age_in_days
+from ..session import stored
 
 #: Relation types (fixed values).
 RELATIONS = ("IMPORTS", "CALLS", "EXTENDS", "IMPLEMENTS", "USES", "MODIFIES_TOGETHER", "BUG_PATTERN", "CONTAINS")
@@ -55,14 +56,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def related(edges: DataFrame, seeds: DataFrame, depth: int = 2, least: float = 0.3) -> DataFrame:
     """``seed, node, distance, strength`` within ``depth`` steps of each seed: strengths
     multiply along a path.  Each level keeps a node's best path; a node found at one level
-    is not visited again, one that was too weak may be."""
-    hops = both_ways(edges).groupBy("node", "neighbor").agg(F.max("strength").alias("s"))
+    is not visited again, one that was too weak may be.  Edges and levels are written as they
+    are found, so no level computes those before it again."""
+    hops = stored(both_ways(edges).groupBy("node", "neighbor").agg(F.max("strength").alias("s")), "hops")
     front = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance"), F.lit(1.0).alias("strength"))
     seen = front
     for level in range(1, depth + 1):
         step = front.join(hops, "node").select("seed", F.col("neighbor").alias("node"), (F.col("strength") * F.col("s")).alias("strength"))
         step = step.where(F.col("strength") >= least).groupBy("seed", "node").agg(F.max("strength").alias("strength"))
-        front = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("distance"), "strength")
+        front = stored(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("distance"), "strength"), "level")
         seen = seen.unionByName(front)
     return seen.where("distance > 0")
 

@@ -34,3 +34,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or (tempfile.mkdtemp(prefix="sparkloom-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch path and read back: its lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -215,6 +215,15 @@ SQL = {
       n AS (SELECT *, CASE strategy WHEN 'dense' THEN 60 WHEN 'sparse' THEN 150 WHEN 'documentation' THEN 80 ELSE 100 END AS n FROM k)
       SELECT path, strategy, CASE WHEN z * 3 > 100 THEN greatest(n, 150) ELSE n END AS size, round(CASE strategy WHEN 'dense' THEN 0.3 WHEN 'sparse' THEN 0.1 ELSE 0.2 END::DOUBLE, 6) AS overlap,
         CASE ext WHEN 'py' THEN 150 WHEN 'js' THEN 120 WHEN 'md' THEN 50 ELSE 100 END AS default_size, CASE ext WHEN 'py' THEN 30 WHEN 'js' THEN 24 WHEN 'md' THEN 10 ELSE 20 END AS default_overlap FROM n""",
+    "long_chunks_split": rf"""
+      WITH RECURSIVE d AS (SELECT doc_id, text AS line, 0 AS i FROM documents WHERE n_chars > 1500 UNION ALL
+        SELECT doc_id, unnest(string_split(text, chr(10))), generate_subscripts(string_split(text, chr(10)), 1) FROM documents WHERE n_chars > 1500),
+      e AS (SELECT doc_id, i, len(line) AS n, substr(line, 1, 200) AS s FROM d),
+      t AS (SELECT doc_id, i, n, CASE WHEN n = 0 THEN 0 WHEN n > 50000 THEN n // 4 ELSE greatest(1, n // CASE WHEN len(s) - len(regexp_replace(s, '[{{}}()\[\]<>;:=]', '', 'g')) > len(s) * 0.1 THEN 5 WHEN len(s) - len(regexp_replace(s, '[^\x00-\x7F]', '', 'g')) > len(s) * 0.2 THEN 3 ELSE 4 END) END AS t FROM e),
+      r AS (SELECT doc_id, i, t + 1 AS used, 0 AS part FROM t WHERE i = 1
+        UNION ALL SELECT t.doc_id, t.i, CASE WHEN r.used + t.t + 1 > 300 THEN t.t + 1 ELSE r.used + t.t + 1 END, r.part + (r.used + t.t + 1 > 300)::INT FROM r JOIN t ON t.doc_id = r.doc_id AND t.i = r.i + 1),
+      p AS (SELECT doc_id, max(part) + 1 AS parts FROM r GROUP BY doc_id)
+      SELECT t.doc_id, CASE WHEN t.t > 300 THEN parts ELSE 1 END::BIGINT AS parts, CASE WHEN t.t > 300 THEN t.n - parts + 1 ELSE t.n END::BIGINT AS chars FROM t JOIN p USING (doc_id) WHERE t.i = 0""",
     "compressed_files": f"""
       WITH {_S}, r AS (SELECT *, [0.9, 0.6, 0.2][p_partkey % 3 + 1] AS rel, CASE ext WHEN 'md' THEN 'markdown' WHEN 'sql' THEN 'data' ELSE 'code' END AS kind, string_split(content, chr(10)) AS l FROM f)
       SELECT path, kind, CASE kind

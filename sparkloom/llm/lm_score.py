@@ -8,11 +8,10 @@ common, is more than one entry a block.
 
 Id and symbol-pair counts cover all training documents; what reaches the driver of them is
 bounded by the vocabulary and by ``SYMBOLS`` squared.  The attention weights are trained on
-the executors with a fixed share of all training windows (one in ``SHARE``; all windows of
-corpora that have few), drawn evenly from all training documents by a hash and dealt to
-shards whose number grows with the corpus.  In each round every shard goes over its windows
-from the same start, and the shards' changes are averaged by windows; the last round also
-sets the mixture's gate.
+the executors with every window of every training document, once, by one rule at every size:
+a hash deals runs of windows to rounds, and in a round to shards whose number grows with the
+corpus.  In each round every shard goes over its windows from the same start, and the shards'
+changes are averaged by windows; the last round also sets the mixture's gate.
 
 Words are compared by 64-bit hashes (at a billion distinct words about one pair collides
 in 40 corpora).  Defined results: null text counts as empty; an empty text has its end
@@ -39,9 +38,11 @@ from .minhash import mixed
 from .tokens import encoder
 
 BLOCK = 6_000_000
-#: One training window in so many is trained on, in so many rounds.  A small corpus gives
-#: ``LEAST`` windows or all it has, and goes over fewer up to ``AGAIN`` times a round.
-SHARE, ROUNDS, LEAST, AGAIN = 48, 3, 131_072, 4
+#: Rounds of training, and successive windows of a text that are dealt as one row.
+ROUNDS, RUN = 3, 32
+#: Was the number of windows below which training took another share of them.  No size does
+#: any more and nothing reads it; it stays for the test that sets it.
+LEAST = 0
 #: Windows of a shard (in expectation); the unit in which shards' changes are summed, so
 #: that sums don't depend on their order; the slices in which they are summed, of which those
 #: that no shard changes are not sent.
@@ -71,13 +72,12 @@ def _blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
         keys, place = np.unique(np.frombuffer(b"".join(found), np.uint64), return_inverse=True)
         learn = np.array([not held for _, _, held in rows])
         counts = np.bincount(place[np.repeat(learn, sizes)], minlength=len(keys)).astype(np.int64)
-        windows = sum(-(-(len(i) + 1) // STEP) for i, ok in zip(ids, learn) if ok)
         values = (
             ([(TaskContext.get().partitionId() << 12) + k], pa.int64()), ([[d for d, _, _ in rows]], pa.list_(pa.int64())), ([[h for _, _, h in rows]], pa.list_(pa.bool_())),
             ([[len(i) for i in ids]], pa.list_(pa.int32())), ([np.concatenate(ids).tobytes()], pa.binary()), ([sizes], pa.list_(pa.int32())), ([_planes(place)], pa.binary()),
-            ([keys.tobytes()], pa.binary()), ([counts.tobytes()], pa.binary()), ([windows], pa.int64()), ([int(learn.sum())], pa.int64()),
+            ([keys.tobytes()], pa.binary()), ([counts.tobytes()], pa.binary()), ([int(learn.sum())], pa.int64()),
         )
-        names = ["block", "doc_ids", "held", "n_ids", "ids", "n_words", "places", "keys", "counts", "windows", "learned"]
+        names = ["block", "doc_ids", "held", "n_ids", "ids", "n_words", "places", "keys", "counts", "learned"]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in values], names)
 
     def cut(batches):
@@ -93,7 +93,7 @@ def _blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield made(k, rows)
 
     docs = docs.select("doc_id", "text", (fold(F.col("doc_id"), 10) == 0).alias("held"))
-    return docs.mapInArrow(cut, "block long, doc_ids array<long>, held array<boolean>, n_ids array<int>, ids binary, n_words array<int>, places binary, keys binary, counts binary, windows long, learned long")
+    return docs.mapInArrow(cut, "block long, doc_ids array<long>, held array<boolean>, n_ids array<int>, ids binary, n_words array<int>, places binary, keys binary, counts binary, learned long")
 
 
 def _word_counts(blocks: DataFrame) -> DataFrame:
@@ -167,6 +167,34 @@ def _windows(flat: np.ndarray, sizes: np.ndarray, keys: np.ndarray, bar: np.uint
     return np.concatenate([x, y], axis=1).astype(np.uint16), drawn[some]
 
 
+def _learning(ids: bytes, sizes: list[int], docs: list, held: list[bool]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """A block's training streams; then, of each of their runs of ``RUN`` windows: its stream,
+    its number there and its hash (from the id and that number)."""
+    learn = [(s, d or 0) for s, d, h in zip(_streams(ids, sizes), docs, held) if not h]
+    streams = [s for s, _ in learn]
+    keys = np.array([d * 0x9E3779B97F4A7C15 & 2**64 - 1 for _, d in learn], np.uint64)
+    count = np.array([-(-(len(s) - 1) // (RUN * STEP)) for s in streams], np.int64)
+    of = np.repeat(np.arange(len(streams)), count)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    return streams, of, nth, mixed(nth.astype(np.uint64) + keys[of])
+
+
+def _run(stream: np.ndarray, nth: int) -> np.ndarray:
+    """A run of a stream: the ``STEP`` ids before (``NONE`` where the text begins), then those
+    that its windows take as inputs, and the last target."""
+    begin, end = nth * RUN * STEP, (nth + 1) * RUN * STEP + 1
+    before = stream[begin - STEP : begin] if nth else np.full(STEP, NONE, np.uint16)
+    return np.concatenate([before, stream[begin:end]])
+
+
+def _windows_of_runs(runs: list[np.ndarray]) -> np.ndarray:
+    """All windows of runs; the first that is cut from a run has what is before it as targets."""
+    sizes = np.array([len(r) for r in runs])
+    windows, _ = _windows(np.concatenate(runs), sizes, np.zeros(len(runs), np.uint64), np.uint64(2**63))
+    count = -(-(sizes - 1) // STEP)
+    return np.delete(windows, np.cumsum(count) - count, axis=0)
+
+
 def _mixed_up(windows: np.ndarray, salt: int) -> np.ndarray:
     """Windows in an order that follows from their content and ``salt`` alone."""
     key = np.full(len(windows), salt, np.uint64)
@@ -175,9 +203,10 @@ def _mixed_up(windows: np.ndarray, salt: int) -> np.ndarray:
     return windows[np.argsort(mixed(key), kind="stable")]
 
 
-def _round(drawn: DataFrame, model: attention.Model, nth: int, available: int, passes: int) -> None:
-    """One round: every shard trains from ``model``, whose weights move by their average."""
-    spark = drawn.sparkSession
+def _round(blocks: DataFrame, model: attention.Model, nth: int, available: int, shards: int) -> None:
+    """One round on its ``available`` windows: every shard trains from ``model``, whose weights
+    move by their average."""
+    spark = blocks.sparkSession
     names = sorted(model.p)
     shared = spark.sparkContext.broadcast(model)  # bounded: the vocabulary's 20 MB
 
@@ -185,23 +214,32 @@ def _round(drawn: DataFrame, model: attention.Model, nth: int, available: int, p
         start = shared.value
         own = copy.copy(start)
         own.p = {k: v.copy() for k, v in start.p.items()}
-        windows = _mixed_up(np.frombuffer(b"".join(group), np.uint16).reshape(-1, 3 * STEP), nth)
-        bins += own.train(windows, nth / ROUNDS, (nth + 1) / ROUNDS, passes)
+        windows = _mixed_up(_windows_of_runs([np.frombuffer(r, np.uint16) for r in group]), nth)
+        bins += own.train(windows, nth / ROUNDS, (nth + 1) / ROUNDS)
         at = 0
         for k in names:
             change = (own.p[k] - start.p[k]).ravel().astype(np.float64)
             sums[at : at + change.size] += np.rint(change * (len(windows) / available * UNIT)).astype(np.int64)
             at += change.size
 
+    def dealt(batches):
+        for b in batches:
+            for block in zip(*(c.to_pylist() for c in b.columns)):
+                streams, of, number, key = _learning(*block)
+                own = np.flatnonzero(key % np.uint64(ROUNDS) == nth)
+                to = (key[own] // np.uint64(ROUNDS) % np.uint64(shards)).astype(np.int32)
+                runs = [_run(streams[i], n).tobytes() for i, n in zip(of[own].tolist(), number[own].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(runs, pa.binary())], ["shard", "run"])
+
     def meet(batches):
         sums, bins, group, now = np.zeros(sum(v.size for v in shared.value.p.values()), np.int64), np.zeros(attention.BINS, np.int64), [], None
         for b in batches:
-            for shard, windows in zip(*(c.to_pylist() for c in b.columns)):
+            for shard, run in zip(*(c.to_pylist() for c in b.columns)):
                 if group and now != shard:
                     learned(group, sums, bins)
                     group = []
                 now = shard
-                group.append(windows)
+                group.append(run)
         if group:
             learned(group, sums, bins)
         if bins.any():
@@ -213,6 +251,9 @@ def _round(drawn: DataFrame, model: attention.Model, nth: int, available: int, p
             rows = [n if x == SLICES else (np.frombuffer(n, np.int64) / UNIT).astype(np.float32).tobytes() for x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["x", "n"])
 
+    tasks = min(parts(spark), shards)
+    drawn = blocks.select("ids", "n_ids", "doc_ids", "held").mapInArrow(dealt, "shard int, run binary")
+    drawn = drawn.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard")
     sums = drawn.mapInArrow(meet, "x int, n binary").repartition(min(SLICES, parts(spark)), "x").mapInArrow(halved, "x int, n binary")
     changes, bins = np.zeros(sum(v.size for v in model.p.values()), np.float32), np.zeros(attention.BINS, np.int64)
     slices = np.array_split(changes, SLICES)  # views
@@ -243,37 +284,25 @@ def _totals(batches):
 def train(blocks: DataFrame) -> attention.Model:
     """The fitted model."""
     spark = blocks.sparkSession
-    available = blocks.agg(F.sum("windows")).first()[0] or 0
-    wanted = max(available / SHARE, LEAST)
-    bar = np.uint64(min(2**63 - 1, int(2**63 * wanted / max(available, 1))))
-    shards = max(1, round(min(wanted, available) / SHARD))
 
     def look(batches):
-        counts = np.zeros(VOCABULARY, np.int64)
+        counts = np.zeros(VOCABULARY + ROUNDS, np.int64)  # of ids, then of each round's windows
         for b in batches:
-            out = [[], []]
-            for ids, sizes, docs, held in zip(*(c.to_pylist() for c in b.columns)):
-                learn = [(s, d or 0) for s, d, h in zip(_streams(ids, sizes), docs, held) if not h]
-                if not learn:
+            for block in zip(*(c.to_pylist() for c in b.columns)):
+                streams, of, number, key = _learning(*block)
+                if not streams:
                     continue
-                flat, lens = np.concatenate([s for s, _ in learn]), np.array([len(s) for s, _ in learn])
-                counts += np.bincount(flat, minlength=VOCABULARY)
-                counts[END] -= len(learn)  # starts are given
-                keys = np.array([d * 0x9E3779B97F4A7C15 & 2**64 - 1 for _, d in learn], np.uint64)
-                windows, drawn = _windows(flat, lens, keys, bar)
-                to = (mixed(drawn) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else ():
-                    out[0].append(int(to[part[0]]))
-                    out[1].append(windows[part].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([None] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary())], ["x", "n", "windows"])
+                counts[:VOCABULARY] += np.bincount(np.concatenate(streams), minlength=VOCABULARY)
+                counts[END] -= len(streams)  # starts are given
+                windows = -(-(np.array([len(s) for s in streams])[of] - 1) // STEP) - number * RUN
+                np.add.at(counts, VOCABULARY + (key % np.uint64(ROUNDS)).astype(np.int64), np.minimum(windows, RUN))
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64()), pa.nulls(len(some), pa.binary())], ["x", "n", "windows"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["x", "n"])
 
-    found = stored(blocks.select("ids", "n_ids", "doc_ids", "held").mapInArrow(look, "x int, n long, windows binary"), "looked")
-    counts = np.zeros(VOCABULARY)
-    for r in found.where("n is not null").groupBy("x").agg(F.sum("n").alias("n")).collect():
+    counts = np.zeros(VOCABULARY + ROUNDS)
+    for r in blocks.select("ids", "n_ids", "doc_ids", "held").mapInArrow(look, "x int, n long").groupBy("x").agg(F.sum("n").alias("n")).collect():
         counts[r["x"]] = r["n"]
+    counts, available = counts[:VOCABULARY], counts[VOCABULARY:].astype(np.int64).tolist()
     symbol = attention.symbols(counts)
 
     def pair(batches):
@@ -293,12 +322,10 @@ def train(blocks: DataFrame) -> attention.Model:
     for r in rows.collect():
         pairs[r["x"]] = np.frombuffer(r["n"], np.int64)
     model = attention.Model(counts, pairs)
-    if available:
-        drawn = found.where("windows is not null").select(F.col("x").alias("shard"), "windows")
-        drawn = stored(drawn.repartitionByRange(min(parts(spark), shards), "shard").sortWithinPartitions("shard"), "drawn")
-        size = drawn.agg(F.sum(F.length("windows"))).first()[0] // (6 * STEP)
-        for nth in range(ROUNDS):
-            _round(drawn, model, nth, size, max(1, min(AGAIN, LEAST // size)))
+    shards = max(1, round(sum(available) / ROUNDS / SHARD))
+    for nth, windows in enumerate(available):
+        if windows:
+            _round(blocks, model, nth, windows, shards)
     return model
 
 

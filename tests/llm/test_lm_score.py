@@ -128,6 +128,29 @@ def test_training_does_not_depend_on_partitions_and_grows(spark, monkeypatch):
     assert large > 1.5 * small  # windows trained on follow the corpus
 
 
+def test_runs_hold_every_window_once():
+    streams = [np.arange(n).astype(np.uint16) for n in (2, 17, 18, 512, 513, 514, 1025, 1500)]
+    length = lm_score.RUN * STEP
+    runs = [lm_score._run(s, n) for s in streams for n in range(-(-(len(s) - 1) // length))]
+    assert sorted(lm_score._windows_of_runs(runs).tolist()) == sorted(windows_of(streams).tolist())
+
+
+def test_every_training_target_is_learned_once_at_any_size(spark, monkeypatch):
+    import public_tokenizers
+
+    seen, real = [], attention.Model.weigh
+    monkeypatch.setattr(attention.Model, "weigh", lambda self, bins: (seen.append(int(bins.sum())), real(self, bins)))
+    monkeypatch.setattr(lm_score, "LEAST", 100)  # the rule used to change here
+    for size in (4, 40, 400):
+        docs = spark.createDataFrame([(i, prose(i, 2000 if i % 50 == 2 else 20)) for i in range(size)], "doc_id long, text string")
+        blocks = lm_score._blocks(docs, public_tokenizers.path("word_bpe_49k.json")).cache()
+        seen.clear()
+        lm_score.train(blocks)
+        targets = sum(n + 1 for r in blocks.select("n_ids", "held").collect() for n, held in zip(r["n_ids"], r["held"]) if not held)
+        assert sum(seen) == targets > 0, size
+        blocks.unpersist()
+
+
 def test_gate_is_weighed_on_counts():
     model = attention.Model(np.ones(VOCABULARY), np.ones((SYMBOLS, SYMBOLS)))
     bins = np.zeros(attention.BINS, np.int64)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import attention
 from .attention import NONE, STEP, SYMBOLS
-from .common import fold, parts, read, shared_dir, stored, words
+from .common import fold, parts, read, settings, shared_dir, stored, words
 from .minhash import mixed
 from .tokens import encoder
 
@@ -325,7 +325,8 @@ def train(blocks: DataFrame) -> attention.Model:
     shards = max(1, round(sum(available) / ROUNDS / SHARD))
     for nth, windows in enumerate(available):
         if windows:
-            _round(blocks, model, nth, windows, shards)
+            with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):  # a round's text is shuffled for it alone
+                _round(blocks, model, nth, windows, shards)
     return model
 
 

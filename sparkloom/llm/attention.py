@@ -63,9 +63,29 @@ def symbols(counts: np.ndarray) -> np.ndarray:
 
 
 def _added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by their number, column by column (which is faster than ``np.add.at``)."""
-    at, columns = at.ravel(), np.ascontiguousarray(rows.reshape(at.size, -1).T)
-    return np.stack([np.bincount(at, c, n) for c in columns], axis=1).astype(np.float32)
+    """Sums of rows by their number; the last row, which has none, is zeros.  Rows of a number
+    are added four at a time, all numbers at once (which is faster than ``np.add.at``)."""
+    order = np.argsort(at.astype(np.uint16) if n <= 65_536 else at, kind="stable")
+    sizes = np.bincount(at, minlength=n)
+    fours = (sizes + 3) >> 2
+    first = np.cumsum(fours) - fours
+    place = np.full(int(fours.sum()) * 4, len(at))
+    place[np.arange(len(at)) + np.repeat(first * 4 - (np.cumsum(sizes) - sizes), sizes)] = order
+    a, b, c, d = rows.take(place.reshape(-1, 4).T, axis=0)
+    a += b
+    c += d
+    a += c
+    some, sums = np.flatnonzero(sizes), np.zeros((n, rows.shape[1]), rows.dtype)
+    sums[some] = np.add.reduceat(a, first.take(some), axis=0)
+    return sums
+
+
+def _below(x: np.ndarray, w: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no product of a row of ``x`` and a column of ``w`` (those of each of its
+    matrices) with its bias can reach ``LARGE``, by the largest lengths: then nothing has to
+    be held below it, which costs as much as the exponentials do."""
+    lengths = np.einsum("ij,ij->i", x, x).max(initial=0), np.einsum("...ij,...ij->...j", w, w).max(initial=0)
+    return bool(np.sqrt(float(lengths[0]) * float(lengths[1])) * 1.001 + float(bias.max(initial=0)) < LARGE)
 
 
 class Model:
@@ -123,27 +143,14 @@ class Model:
     #: third softmax: only the rows that a step touches are changed.
     BY_INPUT, BY_GROUP = ("E", "D"), ("T", "t")
 
-    def tables(self, rows: np.ndarray | slice = slice(None)) -> None:
-        """What depends on an input alone, looked up instead of multiplied for each token."""
+    def tables(self) -> None:
+        """What depends on an input alone, looked up instead of multiplied for each token scored."""
         p = self.p
-        if not isinstance(rows, np.ndarray):
-            self.q, self.k, self.v = p["E"] @ p["Q"] / np.float32(DIM**0.5), p["E"] @ p["K"], p["E"] @ p["V"]
-        else:
-            e = p["E"][rows]
-            self.q[rows], self.k[rows], self.v[rows] = e @ p["Q"] / np.float32(DIM**0.5), e @ p["K"], e @ p["V"]
-        self.bias = np.where(self.ahead, np.float32(-1e9), p["far"][self.distance]).astype(np.float32)
-
-    def _attend(self, x: np.ndarray):
-        """Weights over keys, values and the head's output for windows ``x`` of inputs."""
-        score = np.matmul(self.q.take(x[:, STEP:], axis=0), self.k.take(x, axis=0).transpose(0, 2, 1))  # faster than indexing
-        score += self.bias
-        missing = (x == self.pad).nonzero()
-        score[missing[0], :, missing[1]] = -1e9
-        np.minimum(score, LARGE, out=score)
-        np.exp(score, out=score)
-        score /= (score.reshape(-1, 2 * STEP) @ np.ones(2 * STEP, np.float32)).reshape(len(x), STEP, 1)
-        value = self.v.take(x, axis=0)
-        return score, value, np.matmul(score, value)
+        self.q, self.k, self.v = p["E"] @ p["Q"] / np.float32(DIM**0.5), p["E"] @ p["K"], p["E"] @ p["V"]
+        self.bias = self._bias()
+
+    def _bias(self) -> np.ndarray:
+        return np.where(self.ahead, np.float32(-1e9), self.p["far"][self.distance]).astype(np.float32)
 
     def _states(self, x: np.ndarray) -> np.ndarray:
         """Hidden states of windows ``x`` as ``_hidden`` gives them, without what training needs:
@@ -153,7 +160,8 @@ class Model:
         missing = (x == self.pad).nonzero()
         if len(missing[0]):
             score[missing[0], :, missing[1]] = -1e9
-        np.minimum(score, LARGE, out=score)
+        if not self.free:
+            np.minimum(score, LARGE, out=score)
         np.exp(score, out=score)
         out = np.matmul(score, self.ones.take(x, axis=0)).reshape(-1, DIM + 1)
         h = (out[:, :DIM] / out[:, DIM:]) @ self.p["O"]
@@ -161,9 +169,27 @@ class Model:
         return np.maximum(h, 0, out=h)
 
     def _hidden(self, x: np.ndarray):
-        weight, value, out = self._attend(x)
-        h = self.p["D"].take(x[:, STEP:], axis=0) + out @ self.p["O"] + self.p["h"]
-        return weight, value, out, np.maximum(h, 0).reshape(-1, HIDDEN)
+        """Windows ``x`` of inputs: the distinct ones, the place of each among them, queries, keys,
+        values, weights, the head's output and hidden states.  Products are by distinct input."""
+        p, seen = self.p, np.zeros(self.pad + 1, bool)
+        seen[x.ravel()] = True
+        rows = np.flatnonzero(seen)
+        local = np.empty(self.pad + 1, np.intp)
+        local[rows] = np.arange(len(rows))
+        at, e = local.take(x), p["E"].take(rows, axis=0)
+        now = at[:, STEP:]
+        query, key, value = (e @ p["Q"] / np.float32(DIM**0.5)).take(now, axis=0), (e @ p["K"]).take(at, axis=0), (e @ p["V"]).take(at, axis=0)  # faster than indexing
+        weight = np.matmul(query, key.transpose(0, 2, 1))
+        weight += self._bias()
+        missing = (x == self.pad).nonzero()
+        weight[missing[0], :, missing[1]] = -1e9
+        np.minimum(weight, LARGE, out=weight)
+        np.exp(weight, out=weight)
+        weight *= (1 / (weight.reshape(-1, 2 * STEP) @ np.ones(2 * STEP, np.float32))).reshape(len(x), STEP, 1)
+        out = np.matmul(weight, value)
+        h = out.reshape(-1, DIM) @ p["O"]
+        h += (p["D"].take(rows, axis=0) + p["h"]).take(now.ravel(), axis=0)
+        return rows, at, query, key, value, weight, out, np.maximum(h, 0, out=h)
 
     def _softmax(self, h, y, top: tuple[str, str], low: tuple[str, str], width: int, grads: dict | None, out_h: np.ndarray | None):
         """Log probability of each target by class and member; ``out_h`` takes the
@@ -171,7 +197,8 @@ class Model:
         group, rows = y // width, np.arange(len(y))
         logit = h @ self.p[top[0]]
         logit += self.p[top[1]]
-        np.minimum(logit, LARGE, out=logit)
+        if grads is not None or not _below(h, self.p[top[0]], self.p[top[1]]):
+            np.minimum(logit, LARGE, out=logit)
         classes = logit.shape[1]
         picked = logit[rows, group]
         np.exp(logit, out=logit)
@@ -185,14 +212,15 @@ class Model:
             own = grads[low[0]], grads[low[1]] = {}, {}
         order = np.argsort(group.astype(np.uint8 if classes < 256 else np.int32), kind="stable")
         sorted_h, member = h.take(order, axis=0), (y - group * width).take(order)
-        below, back = np.empty(len(y), out.dtype), np.empty_like(sorted_h)
+        below, back, free = np.empty(len(y), out.dtype), np.empty_like(sorted_h), grads is None and _below(h, self.p[low[0]], self.p[low[1]])
         ends = np.searchsorted(group.take(order), np.arange(classes + 1))
         for c in np.flatnonzero(np.diff(ends)).tolist():
             part = slice(ends[c], ends[c + 1])
             hc, own_member, r = sorted_h[part], member[part], rows[: ends[c + 1] - ends[c]]
             logit = hc @ self.p[low[0]][c]
             logit += self.p[low[1]][c]
-            np.minimum(logit, LARGE, out=logit)
+            if not free:
+                np.minimum(logit, LARGE, out=logit)
             picked = logit[r, own_member]
             np.exp(logit, out=logit)
             total = logit @ np.ones(width, np.float32)
@@ -221,7 +249,7 @@ class Model:
         """Windows of codes: log probability of each target that counts, that of the pair
         table, and gradients of their mean loss; rows of inputs and classes as (rows, values)."""
         p, g = self.p, {}
-        weight, value, out, h = self._hidden(x)
+        rows, at, query, key, value, weight, out, h = self._hidden(x)
         target, live = y.ravel(), np.flatnonzero(y.ravel() != self.pad)
         code, hl = target.take(live), h.take(live, axis=0)
         symbol, others = np.where(code < SYMBOLS, code, self.rare), np.flatnonzero(code >= SYMBOLS)
@@ -242,27 +270,25 @@ class Model:
             g[low] = dense
         dh = np.zeros_like(h)
         dh[live] = dl
-        dh = (dh * (h > 0)).reshape(len(x), STEP, HIDDEN)
-        now = x[:, STEP:]
-        g["h"], g["O"] = np.ones(len(h), np.float32) @ dh.reshape(-1, HIDDEN), out.reshape(-1, DIM).T @ dh.reshape(-1, HIDDEN)
+        dh *= h > 0
+        g["h"], g["O"] = np.ones(len(h), h.dtype) @ dh, out.reshape(-1, DIM).T @ dh
         dout = dh @ p["O"].T
-        dvalue = np.matmul(weight.transpose(0, 2, 1), dout)
-        dweight = np.matmul(dout, value.transpose(0, 2, 1))
-        dscore = weight * (dweight - (dweight * weight).sum(axis=2, keepdims=True))
+        through = (dout * out.reshape(-1, DIM)) @ np.ones(DIM, h.dtype)  # each position's weights times their gradients
+        dout = dout.reshape(out.shape)
+        dscore = np.matmul(dout, value.transpose(0, 2, 1))
+        dscore -= through.reshape(len(x), STEP, 1)
+        dscore *= weight
         g["far"] = np.bincount(self.distance.ravel(), dscore.sum(axis=0).ravel(), 2 * STEP).astype(np.float32)
-        dq = np.matmul(dscore, self.k.take(x, axis=0)) * np.float32(DIM**-0.5)
-        dk = np.matmul(dscore.transpose(0, 2, 1), self.q.take(now, axis=0))
-        e = p["E"].take(x, axis=0)
-        e, en = e.reshape(-1, DIM), e[:, STEP:].reshape(-1, DIM)
-        dq, dk, dvalue = dq.reshape(-1, DIM), dk.reshape(-1, DIM), dvalue.reshape(-1, DIM)
-        g["Q"], g["K"], g["V"] = en.T @ dq, e.T @ dk, e.T @ dvalue
-        seen = np.zeros(self.pad + 1, bool)
-        seen[x.ravel()] = True
-        rows = np.flatnonzero(seen)
-        local = np.empty(self.pad + 1, np.intp)  # what ``bincount`` takes as it is
-        local[rows] = np.arange(len(rows))
-        both = _added(local.take(x), dk @ p["K"].T + dvalue @ p["V"].T, len(rows)) + _added(local.take(now), dq @ p["Q"].T, len(rows))
-        g["E"], g["D"] = (rows, both / n), (rows, _added(local.take(now), dh, len(rows)) / n)
+        near, asks = (np.zeros((m + 1, w), h.dtype) for m, w in ((x.size, 2 * DIM), (target.size, DIM + HIDDEN)))
+        by_key, by_query = near[:-1].reshape(*x.shape, -1), asks[:-1].reshape(*y.shape, -1)
+        np.matmul(dscore.transpose(0, 2, 1), query, out=by_key[:, :, :DIM])
+        np.matmul(weight.transpose(0, 2, 1), dout, out=by_key[:, :, DIM:])
+        np.matmul(dscore, key, out=by_query[:, :, :DIM])
+        asks[:-1, DIM:] = dh
+        near, asks = _added(at.ravel(), near, len(rows)), _added(at[:, STEP:].ravel(), asks, len(rows))
+        e, dk, dvalue, dq = p["E"].take(rows, axis=0), near[:, :DIM], near[:, DIM:], asks[:, :DIM] * np.float32(DIM**-0.5)
+        g["Q"], g["K"], g["V"] = e.T @ dq, e.T @ dk, e.T @ dvalue
+        g["E"], g["D"] = (rows, (dk @ p["K"].T + dvalue @ p["V"].T + dq @ p["Q"].T) / n), (rows, asks[:, DIM:] / n)
         groups = np.array(sorted(g.get("T", ())), np.int64)
         for low in self.BY_GROUP:
             found = g.pop(low, {})
@@ -288,7 +314,6 @@ class Model:
         one, two = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         bins, each = np.zeros(BINS, np.int64), -(-len(windows) // BATCH)
         steps = passes * each
-        self.tables()
         for t in range(1, steps + 1):
             at = (t - 1) % each * BATCH
             part = self.code[windows[at : at + BATCH]]
@@ -299,12 +324,22 @@ class Model:
             for k, v in g.items():
                 rows, v = v if isinstance(v, tuple) else (slice(None), v)
                 a, b = one[k][rows], two[k][rows]
-                a += 0.1 * (v - a)
-                b += 0.01 * (v * v - b)
+                step = v - a
+                step *= 0.1
+                a += step
+                np.multiply(v, v, out=step)
+                step -= b
+                step *= 0.01
+                b += step
                 if not isinstance(rows, slice):
                     one[k][rows], two[k][rows] = a, b
-                self.p[k][rows] -= (rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-            self.tables(g["E"][0] if t % 50 and t < steps else slice(None))
+                np.multiply(b, 1 / (1 - 0.99**t), out=step)
+                np.sqrt(step, out=step)
+                step += 1e-8
+                np.divide(a, step, out=step)
+                step *= rate / (1 - 0.9**t)
+                self.p[k][rows] -= step
+        self.tables()
         return bins
 
     def weigh(self, bins: np.ndarray) -> None:
@@ -317,7 +352,7 @@ class Model:
     def log10(self, streams: list[np.ndarray], at_once: int = 512) -> list[np.ndarray]:
         """log10 probability of every id of each stream but the first, which is given."""
         self.ones = np.concatenate([self.v, np.ones((len(self.v), 1), np.float32)], axis=1)
-        self.start = self.p["D"] + self.p["h"]
+        self.start, self.free = self.p["D"] + self.p["h"], _below(self.q, self.k.T, self.p["far"])
         sizes = np.array([len(s) - 1 for s in streams], np.int64)
         flat = self.code[np.concatenate(streams)].astype(np.uint16) if streams else np.empty(0, np.uint16)
         begins = np.cumsum(sizes + 1) - sizes - 1
@@ -341,7 +376,8 @@ class Model:
             live = (where[:, STEP:] < ends[d][:, None]).ravel()
             follow = (where[:, STEP:].ravel() + 1)[live]
             y = flat[follow].astype(np.int64)
-            h, before = self._states(x).compress(live, axis=0), x[:, STEP:].ravel()[live]
+            some = np.flatnonzero(live)
+            h, before = self._states(x).take(some, axis=0), x[:, STEP:].ravel().take(some)
             symbol = np.where(y < SYMBOLS, y, self.rare)
             own = self._head(h, symbol)
             pair = self.table[np.where(before < SYMBOLS, before, self.rare), symbol]

@@ -218,9 +218,11 @@ def _round(blocks: DataFrame, model: attention.Model, nth: int, available: int,
         bins += own.train(windows, nth / ROUNDS, (nth + 1) / ROUNDS)
         at = 0
         for k in names:
-            change = (own.p[k] - start.p[k]).ravel().astype(np.float64)
-            sums[at : at + change.size] += np.rint(change * (len(windows) / available * UNIT)).astype(np.int64)
-            at += change.size
+            old, new = start.p[k], own.p[k]
+            moved = np.flatnonzero((new != old).reshape(len(new), -1).any(axis=1))  # of many ids and classes, few
+            change = (new[moved] - old[moved]).astype(np.float64)
+            sums[at : at + old.size].reshape(old.shape)[moved] += np.rint(change * (len(windows) / available * UNIT)).astype(np.int64)
+            at += old.size
 
     def dealt(batches):
         for b in batches:

@@ -99,6 +99,33 @@ def test_gradients():
         assert abs((values[0] - values[1]) / 2e-3 - g[at]) < 2e-3 + 0.05 * abs(g[at]), name
 
 
+def test_every_step_sees_the_weights_as_they_are(monkeypatch):
+    monkeypatch.setattr(attention, "BATCH", 2)
+    real = attention.Model._learned
+
+    def checked(self, x, y):
+        found, fresh = real(self, x, y), attention.Model(*counts)
+        fresh.p = self.p
+        fresh.tables()
+        assert np.allclose(found[0], real(fresh, x, y)[0], atol=1e-5)
+        return found
+
+    streams = [s for seed in range(8) for s in some_streams(seed)]
+    counts = counted(streams)
+    model = attention.Model(*counts)
+    monkeypatch.setattr(attention.Model, "_learned", checked)
+    model.train(windows_of(streams))
+
+
+def test_sums_by_number():
+    rng = np.random.default_rng(7)
+    for n, size in ((1, 1), (5, 3), (40, 700), (70_000, 90)):
+        at, rows = rng.integers(0, n, size), rng.normal(size=(size, 3))
+        plain = np.zeros((n, 3))
+        np.add.at(plain, at, rows)
+        assert np.allclose(attention._added(at, np.concatenate([rows, np.zeros((1, 3))]), n), plain)
+
+
 def test_windows_cover_every_target_once():
     streams = [np.arange(n).astype(np.uint16) for n in (2, 3, 17, 18, 100)]
     every = windows_of(streams)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .edit_sketch import op1_edit_sketch
 from .html_text import op2_html_text
 from .language import op9_language
+from .lexical import OP12_SQL, op12_lexical_search
 from .media import op5_media
 from .minhash import OP10_SQL, op10_near_duplicates
 from .lm_score import op3_lm_score
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 #: DuckDB SQL where SQL can express a query.
-SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_near_duplicates": OP10_SQL}
+SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_near_duplicates": OP10_SQL, "op12_lexical_search": OP12_SQL}

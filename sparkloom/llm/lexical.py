@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import BROADCAST_BYTES, discarded, read, shared_dir, spread_join, stored
+from .common import BROADCAST_BYTES, discarded, parts, read, shared_dir, spread_join, stored
 
 #: Postings of a shard at most (a document is never split), and items searched together.
 POSTINGS, ITEMS = 1 << 21, 1024
@@ -259,7 +259,8 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP, item_id: str = "ite
         columns = [pa.array([x[j] for x in found], t) for j, t in enumerate((group.schema.field("items").type.value_type.field(0).type, pa.int64(), pa.int64()))]
         return pa.Table.from_arrays(columns, ["item", "doc_id", "score"])
 
-    found = lists.unionByName(heads).groupBy("shard", "block").applyInArrow(ranked, f"item {kind}, doc_id long, score long")
+    dealt = lists.unionByName(heads).repartition(parts(spark), "shard", "block")  # by work, not by bytes
+    found = dealt.groupBy("shard", "block").applyInArrow(ranked, f"item {kind}, doc_id long, score long")
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("item").alias(item_id), "rank", "doc_id", "score")
 

@@ -12,6 +12,7 @@ from .lm_score import op3_lm_score
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op4_packing
 from .pii import op8_pii
+from .quality import op13_quality
 from .token_store import op7_token_store
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
     "op12_lexical_search": op12_lexical_search,
+    "op13_quality": op13_quality,
 }
 
 #: DuckDB SQL where SQL can express a query.

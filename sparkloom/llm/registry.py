@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversation import OP11_SQL, op11_conversation_repair
 from .edit_sketch import op1_edit_sketch
 from .html_text import op2_html_text
 from .language import op9_language
@@ -26,9 +27,10 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_lexical_search": op12_lexical_search,
     "op13_quality": op13_quality,
 }
 
 #: DuckDB SQL where SQL can express a query.
-SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_near_duplicates": OP10_SQL, "op12_lexical_search": OP12_SQL}
+SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_near_duplicates": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op12_lexical_search": OP12_SQL}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scores, vectors
 from ..operators import filters, search, vector_index
+from ..operators.term_index import TermIndex
+from ..session import scratch
 from .tables import EDGES_SQL, load, spread
 
 AS_OF = "2002-01-01 00:00:00"
@@ -42,6 +44,31 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bm25_topk`` from a stored index."""
+    index = TermIndex(spark, scratch(spark, "terms")).build(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    return index.search(_asked(spark, sf_dir), 5, "doc_id").withColumn("score", F.round("score", 5))
+
+
+def bm25_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents after two feeds: some deleted, some with their source added to the text,
+    some copied to new ids; then some of these deleted again and some deleted ones restored."""
+    d = spread(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    index = TermIndex(spark, scratch(spark, "terms")).build(d, "doc_id")
+    kind = F.when(F.col("doc_id") % 7 == 0, "deleted").when(F.col("doc_id") % 5 == 0, "modified")
+    changed = d.select("doc_id", F.concat_ws(" ", "text", "source", "source").alias("text"), kind.alias("action"), F.lit(1).alias("seq")).where("action is not null")
+    added = d.where("doc_id % 3 = 0").select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text", F.lit("added").alias("action"), F.lit(1).alias("seq"))
+    index.apply(changed.unionByName(added), "doc_id")
+    again = d.where("doc_id % 6 = 0").select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text", F.lit("deleted").alias("action"), F.lit(1).alias("seq"))
+    back = d.where("doc_id % 14 = 0").select("doc_id", "text", F.lit("added").alias("action"), F.lit(2).alias("seq"))
+    index.apply(again.unionByName(back).unionByName(back.withColumn("action", F.lit("deleted")).withColumn("seq", F.lit(1))), "doc_id")
+    return index.search(_asked(spark, sf_dir), 5, "doc_id").withColumn("score", F.round("score", 5))
+
+
 def lexical_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark text and its first words as a lighter variation, over text and source."""
     b = load(spark, sf_dir, "benchmark").where("item_id % 4 = 0")
@@ -264,6 +291,12 @@ SQL |= {
 }
 
 SQL["vector_exact"] = SQL["vector_topk"]
+SQL["bm25_indexed"] = SQL["bm25_topk"]
+SQL["bm25_after_changes"] = SQL["bm25_topk"].replace(
+    "documents", """(
+        SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN concat_ws(' ', text, source, source) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 14 = 0
+        UNION ALL SELECT doc_id + 10000000, text FROM documents WHERE doc_id % 3 = 0 AND doc_id % 6 <> 0)"""
+)
 
 SQL["graph_search"] = f"""WITH {EDGES_SQL}, b AS (SELECT source_id AS node, target_id AS neighbor, strength FROM edges WHERE strength >= 0.6 UNION ALL SELECT target_id, source_id, strength FROM edges WHERE strength >= 0.6),
   hops AS (SELECT node, neighbor, max(strength) AS s FROM b GROUP BY ALL),
@@ -279,7 +312,7 @@ SQL["graph_search"] = f"""WITH {EDGES_SQL}, b AS (SELECT source_id AS node, targ
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_validate, vector_same_label_precision, bm25_topk, lexical_variations, vector_index_recall, vector_index_report, vector_index_filtered, vector_exact, minmax_fusion, hybrid_topk, search_filters, date_filter,
+        vector_topk, vector_validate, vector_same_label_precision, bm25_topk, bm25_indexed, bm25_after_changes, lexical_variations, vector_index_recall, vector_index_report, vector_index_filtered, vector_exact, minmax_fusion, hybrid_topk, search_filters, date_filter,
         keyword_search, rerank_recency, rerank_bands, rerank_boost, rerank_mixed, diversity_cap, two_stage_search, graph_search,
     )
 }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import files
 from ..functions import text as T
+from .pairs import joined
 
 #: Markers of open work, words of credentials, weak algorithms, unsafe calls (fixed values).
 TODO = ("TODO", "FIXME", "HACK", "BUG", "OPTIMIZE", "REFACTOR", "NOTE", "WARNING", "XXX")
@@ -282,9 +283,9 @@ def graph_rows(chunks: DataFrame, path: str = "file_path", content: str = "conte
 
 def together(changes: DataFrame, commit: str, path: str) -> DataFrame:
     """``source_id, target_id, relation_type, n``: pairs of files that commits change together."""
-    once = changes.select(F.col(commit).alias("c"), F.col(path).alias("source_id")).distinct()
-    pairs = once.join(once.withColumnRenamed("source_id", "target_id"), "c").where("source_id < target_id")
-    return pairs.groupBy("source_id", "target_id", F.lit("MODIFIES_TOGETHER").alias("relation_type")).agg(F.count("*").alias("n"))
+    once = changes.select(F.col(commit).alias("c"), F.col(path).alias("file")).distinct()
+    pairs = joined(once, once.withColumnRenamed("file", "other")).where("file < other")
+    return pairs.groupBy(F.col("file").alias("source_id"), F.col("other").alias("target_id"), F.lit("MODIFIES_TOGETHER").alias("relation_type")).agg(F.count("*").alias("n"))
 
 
 def tags(html: Column) -> Column:

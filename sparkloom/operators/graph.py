@@ -97,14 +97,12 @@ def dependencies(edges: DataFrame) -> DataFrame:
 def co_modified(items: DataFrame, commit: str, file: str, k: int = 10, least: int = 1) -> DataFrame:
     """Files changed together: ``file, other, together, frequency`` (of all commits), the
     ``k`` most frequent partners of each file."""
-    from .search import top
+    from .pairs import best_partners
 
     once = items.select(F.col(commit).alias("c"), F.col(file).alias("file")).distinct()
     total = once.agg(F.count_distinct("c").alias("total"))
-    pairs = once.join(once.withColumnRenamed("file", "other"), "c").where("file <> other")
-    counts = pairs.groupBy("file", "other").agg(F.count("*").alias("together")).where(F.col("together") >= least)
-    best = top(counts, k, F.desc("together"), F.col("other"), by="file").drop("rank")
-    return best.crossJoin(F.broadcast(total)).select("file", "other", "together", (F.col("together") / F.col("total")).alias("frequency"))
+    best = best_partners(once, once.withColumnRenamed("file", "other"), k, least)
+    return best.crossJoin(F.broadcast(total)).select("file", "other", "together", (F.col("together") / F.col("total")).alias("frequency"))  # one row
 
 
 #: Files that change with everything (fixed values).
@@ -114,6 +112,7 @@ COMMON = (".gitignore", "package.json", "pyproject.toml", "requirements", "readm
 def changed_with(changes: DataFrame, commit: str, file: str, order: str, commits: int = 50, k: int = 5, least: int = 2) -> DataFrame:
     """``file, other, together``: what each file's latest ``commits`` also changed, the ``k`` most
     frequent of it, if together at least so often; common files are no partners."""
+    from .pairs import best_partners
     from .search import top
 
     once = changes.groupBy(F.col(commit).alias("c"), F.col(file).alias("file")).agg(F.max(order).alias("at"))
@@ -121,9 +120,7 @@ def changed_with(changes: DataFrame, commit: str, file: str, order: str, commits
     partner = F.lit(True)
     for part in COMMON:
         partner &= ~F.contains(F.lower("other"), F.lit(part))
-    pairs = recent.join(once.select("c", F.col("file").alias("other")).where(partner), "c").where("file <> other")
-    counts = pairs.groupBy("file", "other").agg(F.count("*").alias("together"))
-    return top(counts, k, F.desc("together"), F.col("other"), by="file").where(F.col("together") >= least).drop("rank")
+    return best_partners(recent, once.select("c", F.col("file").alias("other")).where(partner), k, least)
 
 
 def resolved(refs: DataFrame, nodes: DataFrame, ref: str = "ref") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..session import stored
 
 #: Order of severities (fixed values), confidence of each, and the default of a category.
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
@@ -73,6 +74,32 @@ def chain(sessions: DataFrame, user: str, order: str, most: int = 5) -> DataFram
     return sessions.withColumn("related", F.reverse(F.collect_list("session_id").over(w)))
 
 
+def linked_chain(sessions: DataFrame, key: str = "session_id", stored_list: str = "related", most: int = 5) -> DataFrame:
+    """``key``, ``chain``: the first ``most`` other sessions met on the way from each session through
+    the stored lists: its own list in order, then that of the last session listed, and so on.
+
+    Pointers jump: in each round a session's way is followed by the way of its last session, so
+    ways double; one of ``most`` + 1 hops has met enough ids or goes in a circle.  A way ends at a session without a list, at
+    one that is not there and where it comes back to itself; ids that are met again are left out.
+    Each round is one join by key; what a session carries is at most ``most`` ids.
+    """
+    own = F.array_compact(F.coalesce(F.col(stored_list), F.array().cast(sessions.schema[stored_list].dataType)))
+    ways = sessions.groupBy(F.col(key).alias("id")).agg(F.min(own).alias("list"))
+
+    def cut(way: Column) -> Column:
+        return F.slice(F.array_remove(F.array_distinct(way), F.col("id")), 1, most)
+
+    # The pointer is the raw last id: where it leads is needed even if that is the session itself.
+    ways = ways.select("id", cut(F.col("list")).alias("chain"), F.try_element_at("list", F.lit(-1)).alias("next"))
+    for _ in range(most.bit_length() + 1):
+        ways = stored(ways, "ways")
+        to = ways.select(F.col("id").alias("next"), F.col("chain").alias("more"), F.col("next").alias("then"))
+        met = ways.join(to, "next", "left")
+        full = F.size("chain") >= most
+        ways = met.select("id", F.when(full, F.col("chain")).otherwise(cut(F.concat("chain", F.coalesce("more", F.slice("chain", 1, 0))))).alias("chain"), F.when(full, None).otherwise(F.col("then")).alias("next"))
+    return ways.select(F.col("id").alias(key), "chain")
+
+
 def severity_rank(severity: Column) -> Column:
     s = F.upper(severity)
     out = None

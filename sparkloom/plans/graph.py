@@ -53,6 +53,13 @@ def co_modified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", "other", "together", F.round("frequency", 9).alias("frequency"))
 
 
+def supplied_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that the same suppliers have delivered: groups of hundreds to thousands of parts, which
+    are dealt to blocks."""
+    rows = graph.co_modified(load(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", 3, 2)
+    return rows.select("file", "other", "together", F.round("frequency", 9).alias("frequency"))
+
+
 def changed_with(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.when(F.col("l_partkey") % 9 == 0, "README").otherwise("src/p"), F.col("l_partkey").cast("string")).alias("file"), "l_shipdate")
     return graph.changed_with(li, "l_orderkey", "file", "l_shipdate", 20, 5, 2)
@@ -166,6 +173,11 @@ SQL = {
       c AS (SELECT a.l_partkey AS file, b.l_partkey AS other, count(*) AS together FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY ALL),
       r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY together DESC, other) AS rank FROM c)
       SELECT file, other, together, round(together / (SELECT count(DISTINCT l_orderkey) FROM lineitem), 9) AS frequency FROM r WHERE rank <= 10""",
+    "supplied_together": """
+      WITH o AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
+      c AS (SELECT a.l_partkey AS file, b.l_partkey AS other, count(*) AS together FROM o a JOIN o b ON a.l_suppkey = b.l_suppkey AND a.l_partkey <> b.l_partkey GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY together DESC, other) AS rank FROM c WHERE together >= 2)
+      SELECT file, other, together, round(together / (SELECT count(DISTINCT l_suppkey) FROM lineitem), 9) AS frequency FROM r WHERE rank <= 3""",
     "graph_metrics": f"""WITH {EDGES_SQL}, {_BOTH}, {_NODES}, d AS (SELECT id, greatest(count(node), 1) AS k FROM nodes LEFT JOIN both_ways ON id = node GROUP BY id)
       SELECT count(*) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, round(avg(k), 6) AS avg_connectivity FROM d""",
     "node_connectivity": f"""WITH {EDGES_SQL}, {_NODES},
@@ -188,7 +200,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        edge_upsert, edge_merge, edge_strengthen, undirected_neighbors, bfs_related, impact_buckets, file_dependencies, co_modified_pairs, changed_with, node_lookup, graph_metrics,
+        edge_upsert, edge_merge, edge_strengthen, undirected_neighbors, bfs_related, impact_buckets, file_dependencies, co_modified_pairs, supplied_together, changed_with, node_lookup, graph_metrics,
         node_connectivity, strong_clusters, tight_coupling, change_hotspots, recurring_patterns, layer_violations, pattern_report, edge_decay,
     )
 }

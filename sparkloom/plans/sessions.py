@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..operators import sessions
@@ -58,6 +58,20 @@ def session_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("from_session", "session_id", "o_custkey")
 
 
+def session_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains through stored lists: each order lists the one before it of its customer, every third
+    also the one before that; first orders of every other customer list the last one, in a circle,
+    or themselves, or one that is not there."""
+    o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.array_compact(F.array(F.when(F.col("o_orderkey") % 3 == 0, F.lag("o_orderkey", 2).over(w)), F.lag("o_orderkey").over(w)))
+    other = F.when(F.col("o_custkey") % 4 == 0, F.max("o_orderkey").over(whole)).when(F.col("o_custkey") % 4 == 2, F.col("o_orderkey")).when(F.col("o_custkey") % 4 == 1, -F.col("o_orderkey"))
+    rows = o.select(F.col("o_orderkey").alias("session_id"), F.when(F.size(before) > 0, before).otherwise(F.array_compact(F.array(other))).alias("related"))
+    found = sessions.linked_chain(rows)
+    return found.select("session_id", F.size("chain").alias("n"), F.array_join("chain", ",").alias("chain"))
+
+
 def insight_dedup_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     severity = F.element_at(F.array(*[F.lit(x) for x in ("LOW", "CRITICAL", "MEDIUM", "HIGH", "NOTE")]), (F.col("user_id") % 5 + 1).cast("int"))
@@ -95,6 +109,16 @@ SQL = {
     "session_chain": """
       WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
       SELECT a.o_orderkey AS from_session, b.o_orderkey AS session_id, a.o_custkey FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.k BETWEEN a.k - 5 AND a.k - 1""",
+    "session_links": """
+      WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_custkey % 4 AS m, lag(o_orderkey) OVER w AS one, lag(o_orderkey, 2) OVER w AS two, max(o_orderkey) OVER (PARTITION BY o_custkey) AS last FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+      r AS (SELECT id, CASE WHEN one IS NULL THEN list_filter([CASE m WHEN 0 THEN last WHEN 2 THEN id WHEN 1 THEN -id END], lambda x: x IS NOT NULL)
+                       ELSE list_filter([CASE WHEN id % 3 = 0 THEN two END, one], lambda x: x IS NOT NULL) END AS list FROM o),
+      way AS (SELECT id, list, list[-1] AS nxt, 1 AS hop FROM r
+              UNION ALL SELECT way.id, list_concat(way.list, r.list), r.list[-1], hop + 1 FROM way JOIN r ON r.id = way.nxt WHERE hop < 12),
+      longest AS (SELECT id, max_by(list, hop) AS list FROM way GROUP BY id),
+      firsts AS (SELECT id, x, min(i) AS i FROM (SELECT id, unnest(list) AS x, generate_subscripts(list, 1) AS i FROM longest) WHERE x <> id GROUP BY ALL),
+      five AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) <= 5)
+      SELECT r.id AS session_id, count(x)::INT AS n, coalesce(string_agg(x::VARCHAR, ',' ORDER BY i), '') AS chain FROM r LEFT JOIN five ON r.id = five.id GROUP BY r.id""",
     "insight_dedup_rank": """
       WITH e AS (SELECT event_id, event_type, ['LOW', 'CRITICAL', 'MEDIUM', 'HIGH', 'NOTE'][user_id % 5 + 1] AS severity, floor(value / 10)::BIGINT AS bucket FROM events),
       d AS (SELECT event_type, severity, bucket, min(event_id) AS event_id, count(*) AS copies FROM e GROUP BY ALL),
@@ -103,4 +127,4 @@ SQL = {
     "insight_counts": """
       SELECT event_type, count_if(ts < TIMESTAMP '2024-01-16')::BIGINT AS deleted, count_if(ts >= TIMESTAMP '2024-01-16')::BIGINT AS kept FROM events GROUP BY 1""",
 }
-QUERIES = {f.__name__: f for f in (task_summary, task_activity, timeline, conversation_stats, rolling_summary, last_messages, session_chain, insight_dedup_rank, insight_counts)}
+QUERIES = {f.__name__: f for f in (task_summary, task_activity, timeline, conversation_stats, rolling_summary, last_messages, session_chain, session_links, insight_dedup_rank, insight_counts)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import files
 from ..functions import text as T
-from ..operators import chunking, compression
+from ..operators import chunking, compression, intervals
 from .tables import load
 
 
@@ -29,6 +29,32 @@ def line_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.islands(rows, "doc_id", 2, 3)
 
 
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    return lines.where(F.col("content").rlike("[0-9]|was|von")).select("doc_id", "line")
+
+
+def line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines around those with a digit or one of two words, two before and behind."""
+    rows = intervals.line_context(load(spark, sf_dir, "documents"), _targets(spark, sf_dir), "doc_id")
+    return rows.select("doc_id", "spans", "lines", F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+def line_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near the chunks of each document are to its target lines."""
+    found = _targets(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("line") + 1)).alias("targets"))  # at most a document's lines
+    rows = _chunks(spark, sf_dir).join(found, "doc_id")
+    return rows.select("doc_id", "chunk", T.line_proximity(F.col("start_line"), F.col("end_line"), F.col("targets")).alias("score"))
+
+
+def price_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unions of price ranges of each order status: a few keys with many intervals."""
+    o = load(spark, sf_dir, "orders")
+    low = F.floor(F.col("o_totalprice") * 10).cast("long")
+    rows = o.select("o_orderstatus", low.alias("start"), (low + F.col("o_orderkey") % 1500).alias("end"))
+    return intervals.merged(rows, "o_orderstatus").select("o_orderstatus", "start", "end", "parts")
+
+
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunking.with_context(_chunks(spark, sf_dir), "doc_id")
     return rows.select("doc_id", "start_line", F.length("context").alias("context_chars"))
@@ -89,6 +115,25 @@ _L = r"l AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS
 _N = r"n0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), n AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM n0)"
 _CTRL = r"(?i)\b(?:if|else|elif|elsif|for|while|foreach|switch|case|when|try|catch|except|finally)\b|\b\?\s*:|&&|\|\|"
 SQL = {
+    "line_context": """
+      WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, len(string_split(text, chr(10))) AS n FROM documents),
+      t AS (SELECT doc_id, line, n FROM l WHERE regexp_matches(content, '[0-9]|was|von')),
+      near AS (SELECT l.doc_id, l.line, l.content, l.n, l.line - row_number() OVER (PARTITION BY l.doc_id ORDER BY l.line) AS island
+               FROM l WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = l.doc_id AND l.line BETWEEN t.line - 2 AND t.line + 2)),
+      marked AS (SELECT *, line = min(line) OVER (PARTITION BY doc_id, island) AND line > 0 AS opens, line = max(line) OVER (PARTITION BY doc_id) AND line < n - 1 AS closes FROM near)
+      SELECT doc_id, count(DISTINCT island) AS spans, count(*) AS lines,
+             md5(string_agg(CASE WHEN opens THEN '# ...' || chr(10) ELSE '' END || content || CASE WHEN closes THEN chr(10) || '# ...' ELSE '' END, chr(10) ORDER BY line)) AS digest
+      FROM marked GROUP BY doc_id""",
+    "price_spans": """
+      WITH i AS (SELECT o_orderstatus, floor(o_totalprice * 10)::BIGINT AS s, floor(o_totalprice * 10)::BIGINT + o_orderkey % 1500 AS e FROM orders WHERE o_orderkey % 1500 > 0),
+      m AS (SELECT *, max(e) OVER (PARTITION BY o_orderstatus ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+      g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY o_orderstatus ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+      SELECT o_orderstatus, min(s) AS start, max(e) AS end, count(*) AS parts FROM g GROUP BY o_orderstatus, island""",
+    "line_proximity": f"""WITH {_L}, x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+      t AS (SELECT doc_id, line FROM x WHERE regexp_matches(content, '[0-9]|was|von'))
+      SELECT c.doc_id, chunk::INT AS chunk, max(CASE WHEN line BETWEEN start_line AND end_line THEN 0.4 WHEN least(abs(line - start_line), abs(line - end_line)) <= 5 THEN 0.3
+        WHEN least(abs(line - start_line), abs(line - end_line)) <= 10 THEN 0.2 WHEN least(abs(line - start_line), abs(line - end_line)) <= 20 THEN 0.1 ELSE 0 END)::DOUBLE AS score
+      FROM c JOIN t ON c.doc_id = t.doc_id GROUP BY ALL""",
     "chunk_lines": f"WITH {_L} SELECT doc_id, chunk::INT AS chunk, start_line::INT AS start_line, end_line::INT AS end_line, md5(content) AS digest FROM c",
     "chunk_dedup": f"""WITH {_L}, g AS (SELECT source, doc_id * 100000 + start_line AS start_line, end_line, content FROM c WHERE trim(content) <> '' AND len(string_split(content, chr(10))) >= 5)
       SELECT source, start_line, end_line::INT AS end_line FROM g QUALIFY row_number() OVER (PARTITION BY source, trim(content) ORDER BY start_line) = 1""",
@@ -141,7 +186,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_lines, chunk_dedup, line_islands, chunk_overlap, chunk_quality, chunk_metadata, line_todos, line_risks, html_elements, page_urls, corpus_stats,
+        chunk_lines, chunk_dedup, line_islands, line_context, line_proximity, price_spans, chunk_overlap, chunk_quality, chunk_metadata, line_todos, line_risks, html_elements, page_urls, corpus_stats,
         budget_pack, batch_pack, compressed_chunks,
     )
 }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import files
 from ..functions import text as T
+from .brackets import ended
 from .pairs import joined
 
 #: Markers of open work, words of credentials, weak algorithms, unsafe calls (fixed values).
@@ -226,6 +227,11 @@ def definitions(docs: DataFrame, key: str, text: str, language: str) -> DataFram
     return rows.select(key, language, "__hit.chunk_type", "__hit.name", (F.col("__i") + 1).alias("start_line"), F.coalesce(after, F.col("__n")).alias("end_line"))
 
 
+def nested_definitions(docs: DataFrame, key: str, text: str, language: str) -> DataFrame:
+    """``definitions``, but in languages with braces each ends where its body closes, so that they nest."""
+    return ended(definitions(docs, key, text, language), docs, key, text, language)
+
+
 def python_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Functions and classes of Python texts by syntax tree, with their complexity, nesting and
     signature; a text that does not parse gives none."""

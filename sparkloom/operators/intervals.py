@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BLOCK, BIN = 4096, 64
 
 
-def _running(rows: DataFrame, key: str, order: list, value: Column, name: str, include: bool) -> DataFrame:
-    """``rows`` (with ``__block``) and the largest ``value`` of the key's rows before each, or up to it."""
-    inside = Window.partitionBy(key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include else -1)
-    over = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.groupBy(key, "__block").agg(F.max(value).alias("__most")).withColumn("__carried", F.max("__most").over(over)).drop("__most")
-    both = rows.withColumn("__local", F.max(value).over(inside)).join(carried, [key, "__block"])
+def running(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, include: bool) -> DataFrame:
+    """``rows`` (with ``__block``) and the largest ``value`` of the keys' rows before each, or up to it."""
+    inside = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include else -1)
+    over = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, "__block").agg(F.max(value).alias("__most")).withColumn("__carried", F.max("__most").over(over)).drop("__most")
+    both = rows.withColumn("__local", F.max(value).over(inside)).join(carried, [*keys, "__block"])
     return both.withColumn(name, F.greatest("__local", "__carried")).drop("__local", "__carried")
 
 
@@ -27,9 +27,9 @@ def merged(rows: DataFrame, key: str, start: str = "start", end: str = "end") ->
     one = rows.select(key, F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end")).where((F.col("start") < F.col("end")) & F.col(key).isNotNull())
     one = one.groupBy(key, "start").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("parts"))
     one = one.withColumn("__block", F.floor(F.col("start") / BLOCK))
-    one = _running(one, key, ["start"], F.col("end"), "__reach", False)
+    one = running(one, [key], ["start"], F.col("end"), "__reach", False)
     opens = F.col("__reach").isNull() | (F.col("start") > F.col("__reach"))
-    one = _running(one.withColumn("__open", F.when(opens, F.col("start"))), key, ["start"], F.col("__open"), "__first", True)
+    one = running(one.withColumn("__open", F.when(opens, F.col("start"))), [key], ["start"], F.col("__open"), "__first", True)
     return one.groupBy(key, F.col("__first").alias("start")).agg(F.max("end").alias("end"), F.sum("parts").alias("parts"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import files
 from ..functions import text as T
-from ..operators import chunking, compression, events
+from ..operators import brackets, chunking, compression, events
 from .tables import load
 
 EXTENSIONS = ("py", "js", "go", "md", "sql")
@@ -58,6 +58,23 @@ def definitions_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.definitions(rows, "path", "content", "language")
 
 
+def nested_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions by the lines on which their bodies close: each file with one more class around a
+    method, whose strings and comments hold braces."""
+    more = F.concat(F.lit("class Outer"), "p_partkey", F.lit(" {\n  // }\n  async function in_"), "fn", F.lit("() {\n    return `}\n`\n  }\n  function last({a}) { return '}' }\n}\n"))
+    rows = _files(spark, sf_dir).where("ext in ('js', 'go')").withColumn("content", F.when(F.col("ext") == "js", F.concat("content", more)).otherwise(F.col("content")))
+    return chunking.nested_definitions(rows.withColumn("language", files.language(F.col("path"))), "path", "content", "language")
+
+
+def bracket_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether brackets match in files, of which some are damaged, and in documents with letters
+    for brackets; with the first error."""
+    f = _files(spark, sf_dir)
+    kept = F.when(F.col("p_size") % 7 == 0, F.translate("content", "}", "]")).when(F.col("p_size") % 11 == 0, F.regexp_replace("content", r"\}\n$", "")).otherwise(F.col("content"))
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.translate("text", "vpbg", "({})").alias("content"))
+    return brackets.checked(f.select("path", kept.alias("content")).unionByName(d), "path", "content")
+
+
 def python_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.python_chunks(_files(spark, sf_dir).where("ext = 'py'"), "path", "content")
 
@@ -188,6 +205,24 @@ SQL = {
           WHEN 'go' THEN CASE WHEN regexp_matches(line, '^func') THEN ['function', regexp_extract(line, '\)\s*(\w+)\(', 1)] WHEN regexp_matches(line, '^type') THEN ['class', regexp_extract(line, '^type\s+(\w+)', 1)] END
           WHEN 'md' THEN CASE WHEN regexp_matches(line, '^#+ ') THEN ['readme', regexp_extract(line, '^#+\s+(.+)$', 1)] END END AS hit FROM n)
       SELECT path, language, hit[1] AS chunk_type, hit[2] AS name, i AS start_line, coalesce(lead(i) OVER (PARTITION BY path ORDER BY i) - 1, n) AS end_line FROM h WHERE hit IS NOT NULL""",
+    "nested_definitions": rf"""
+      WITH {_S}, e AS (SELECT path, language, cls, fn, p_partkey, ext, CASE ext WHEN 'js' THEN [['function', fn, '2', '4'], ['class', cls, '6', '7'], ['function', 'z', '8', '8'], ['class', 'Outer' || p_partkey, '9', '16'], ['function', 'in_' || fn, '11', '14'], ['function', 'last', '15', '15']]
+        ELSE [['function', cls, '2', '3'], ['class', cls || 'Row', '4', '5']] END AS rows FROM f WHERE ext IN ('js', 'go')),
+      r AS (SELECT path, language, unnest(rows) AS r FROM e)
+      SELECT path, language, r[1] AS chunk_type, r[2] AS name, r[3]::INT AS start_line, r[4]::INT AS end_line FROM r""",
+    "bracket_checks": rf"""
+      WITH RECURSIVE {_S}, t AS (SELECT path, CASE WHEN p_size % 7 = 0 THEN translate(content, '}}', ']') WHEN p_size % 11 = 0 THEN regexp_replace(content, '\}}\n$', '') ELSE content END AS content FROM f
+        UNION ALL SELECT doc_id::VARCHAR, translate(text, 'vpbg', '({{}})') FROM documents),
+      l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM t),
+      m AS (SELECT path, i, unnest(regexp_extract_all(line, '[\[\](){{}}]')) AS c, generate_subscripts(regexp_extract_all(line, '[\[\](){{}}]'), 1) AS k FROM l WHERE NOT regexp_matches(line, '^ *(#|//|/\*|<!--)')),
+      n AS (SELECT path, i, c, row_number() OVER (PARTITION BY path ORDER BY i, k) AS k FROM m),
+      s AS (SELECT path, 0::BIGINT AS k, '' AS stack, NULL::BIGINT AS bottom, NULL::BIGINT AS line, NULL::VARCHAR AS message FROM t
+        UNION ALL SELECT s.path, n.k, CASE WHEN c IN ('(', '[', '{{') THEN stack || c ELSE left(stack, -1) END, CASE WHEN stack = '' THEN n.i ELSE bottom END,
+          CASE WHEN c NOT IN ('(', '[', '{{') AND translate(right(stack, 1), '([{{', ')]}}') <> c THEN n.i END,
+          CASE WHEN c IN ('(', '[', '{{') THEN NULL WHEN stack = '' THEN 'Unexpected closing ' || c WHEN translate(right(stack, 1), '([{{', ')]}}') <> c THEN 'Mismatched bracket: expected ' || translate(right(stack, 1), '([{{', ')]}}') || ', got ' || c END
+        FROM s JOIN n ON n.path = s.path AND n.k = s.k + 1 WHERE s.message IS NULL),
+      e AS (SELECT path, max_by(stack, k) AS stack, max_by(bottom, k) AS bottom, max(line) AS line, max(message) AS message FROM s GROUP BY path)
+      SELECT path, message IS NULL AND stack = '' AS valid, CASE WHEN message IS NOT NULL THEN line WHEN stack <> '' THEN bottom END AS line, CASE WHEN message IS NOT NULL THEN message WHEN stack <> '' THEN 'Unclosed ' || left(stack, 1) END AS message FROM e""",
     "python_structure": f"""
       WITH {_S}, m AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS d, CASE WHEN p_size % 3 = 0 THEN 'ValueError' ELSE '' END AS raised FROM f WHERE ext = 'py')
       SELECT path, 'class' AS chunk_type, cls AS name, 4 AS start_line, 8 + d AS end_line, 2 AS complexity, 1 AS nesting, false AS is_async, false AS is_generator, CASE d WHEN 1 THEN 'mark' ELSE '' END AS decorators, '' AS parameters, '' AS returns, raised AS raises,
@@ -256,7 +291,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        name_variations, similar_names, definitions_found, python_structure, text_graph, changed_together, file_kinds, file_imports, file_settings, sql_kinds, chunk_sizes, long_chunks_split, compressed_files, decisions,
+        name_variations, similar_names, definitions_found, nested_definitions, bracket_checks, python_structure, text_graph, changed_together, file_kinds, file_imports, file_settings, sql_kinds, chunk_sizes, long_chunks_split, compressed_files, decisions,
         settings_found, page_elements, change_checks, pattern_files,
     )
 }

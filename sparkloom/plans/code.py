@@ -211,18 +211,18 @@ SQL = {
       r AS (SELECT path, language, unnest(rows) AS r FROM e)
       SELECT path, language, r[1] AS chunk_type, r[2] AS name, r[3]::INT AS start_line, r[4]::INT AS end_line FROM r""",
     "bracket_checks": rf"""
-      WITH RECURSIVE {_S}, t AS (SELECT path, CASE WHEN p_size % 7 = 0 THEN translate(content, '}}', ']') WHEN p_size % 11 = 0 THEN regexp_replace(content, '\}}\n$', '') ELSE content END AS content FROM f
+      WITH {_S}, t AS (SELECT path, CASE WHEN p_size % 7 = 0 THEN translate(content, '}}', ']') WHEN p_size % 11 = 0 THEN regexp_replace(content, '\}}\n$', '') ELSE content END AS content FROM f
         UNION ALL SELECT doc_id::VARCHAR, translate(text, 'vpbg', '({{}})') FROM documents),
       l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM t),
       m AS (SELECT path, i, unnest(regexp_extract_all(line, '[\[\](){{}}]')) AS c, generate_subscripts(regexp_extract_all(line, '[\[\](){{}}]'), 1) AS k FROM l WHERE NOT regexp_matches(line, '^ *(#|//|/\*|<!--)')),
-      n AS (SELECT path, i, c, row_number() OVER (PARTITION BY path ORDER BY i, k) AS k FROM m),
-      s AS (SELECT path, 0::BIGINT AS k, '' AS stack, NULL::BIGINT AS bottom, NULL::BIGINT AS line, NULL::VARCHAR AS message FROM t
-        UNION ALL SELECT s.path, n.k, CASE WHEN c IN ('(', '[', '{{') THEN stack || c ELSE left(stack, -1) END, CASE WHEN stack = '' THEN n.i ELSE bottom END,
-          CASE WHEN c NOT IN ('(', '[', '{{') AND translate(right(stack, 1), '([{{', ')]}}') <> c THEN n.i END,
-          CASE WHEN c IN ('(', '[', '{{') THEN NULL WHEN stack = '' THEN 'Unexpected closing ' || c WHEN translate(right(stack, 1), '([{{', ')]}}') <> c THEN 'Mismatched bracket: expected ' || translate(right(stack, 1), '([{{', ')]}}') || ', got ' || c END
-        FROM s JOIN n ON n.path = s.path AND n.k = s.k + 1 WHERE s.message IS NULL),
-      e AS (SELECT path, max_by(stack, k) AS stack, max_by(bottom, k) AS bottom, max(line) AS line, max(message) AS message FROM s GROUP BY path)
-      SELECT path, message IS NULL AND stack = '' AS valid, CASE WHEN message IS NOT NULL THEN line WHEN stack <> '' THEN bottom END AS line, CASE WHEN message IS NOT NULL THEN message WHEN stack <> '' THEN 'Unclosed ' || left(stack, 1) END AS message FROM e""",
+      n AS (SELECT path, i, k, c, c IN ('(', '[', '{{') AS up FROM m),
+      d AS (SELECT *, sum(CASE WHEN up THEN 1 ELSE -1 END) OVER (PARTITION BY path ORDER BY i, k ROWS UNBOUNDED PRECEDING) + CASE WHEN up THEN 0 ELSE 1 END AS depth FROM n),
+      b AS (SELECT *, lag(c) OVER (PARTITION BY path, depth ORDER BY i, k) AS before FROM d),
+      x AS (SELECT *, CASE WHEN up THEN NULL WHEN depth < 1 THEN 'Unexpected closing ' || c WHEN translate(before, '([{{', ')]}}') <> c AND before IN ('(', '[', '{{') THEN 'Mismatched bracket: expected ' || translate(before, '([{{', ')]}}') || ', got ' || c END AS message FROM b),
+      e AS (SELECT path, arg_min(message, i * 100000000 + k) FILTER (message IS NOT NULL) AS message, arg_min(i, i * 100000000 + k) FILTER (message IS NOT NULL) AS line,
+              sum(CASE WHEN up THEN 1 ELSE -1 END) AS open, arg_max(i, i * 100000000 + k) FILTER (depth = 1) AS low, arg_max(c, i * 100000000 + k) FILTER (depth = 1) AS lowest FROM x GROUP BY path)
+      SELECT t.path, message IS NULL AND coalesce(open, 0) <= 0 AS valid, CASE WHEN message IS NOT NULL THEN line WHEN open > 0 THEN low END AS line, CASE WHEN message IS NOT NULL THEN message WHEN open > 0 THEN 'Unclosed ' || lowest END AS message
+      FROM t LEFT JOIN e ON e.path = t.path""",
     "python_structure": f"""
       WITH {_S}, m AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS d, CASE WHEN p_size % 3 = 0 THEN 'ValueError' ELSE '' END AS raised FROM f WHERE ext = 'py')
       SELECT path, 'class' AS chunk_type, cls AS name, 4 AS start_line, 8 + d AS end_line, 2 AS complexity, 1 AS nesting, false AS is_async, false AS is_generator, CASE d WHEN 1 THEN 'mark' ELSE '' END AS decorators, '' AS parameters, '' AS returns, raised AS raises,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import graph
 from ..session import scratch
 from ..sources import files
-from ..streaming import bus
+from ..streaming import bus, timers
 from .tables import load
 
 
@@ -105,6 +105,22 @@ def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memory(spark, bus.cooldown(rows, "user_id", "at", 43200.0), "cooldown", "append").select("user_id", "at")
 
 
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections that timers have ended: half a day without a beat before the last event of all."""
+    with timers.rocksdb(spark):
+        return _memory(spark, timers.heartbeats(_timed(spark, sf_dir), "user_id", "ts", 43_200_000, "0 seconds"), "ended", "append")
+
+
+def stream_state_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each user stays with a type of event; six hours end it by a timer."""
+    with timers.rocksdb(spark):
+        return _memory(spark, timers.durations(_timed(spark, sf_dir), "user_id", "ts", "event_type", 21_600_000, "0 seconds"), "spent", "append")
+
+
 SQL = {
     "text_files": "SELECT n_nationkey, 'name = ' || n_name || chr(10) || '# region ' || n_regionkey || chr(10) AS content, 'text' AS language FROM nation WHERE n_nationkey % 5 <> 0",
     "found_files": "SELECT n_nationkey, strlen(n_name) + 2 AS size_bytes, n_nationkey % 4 <> 0 AS new FROM nation WHERE n_nationkey % 2 = 0",
@@ -123,10 +139,18 @@ SQL = {
     "stream_sessions": """
       WITH e AS (SELECT user_id, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR)::INT, 1) AS new FROM events)
       SELECT user_id, sum(new)::BIGINT AS sessions, count(*) AS beats FROM e GROUP BY user_id""",
+    "stream_ended": """
+      WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, max(epoch_us(ts) // 1000) OVER () AS mark FROM events), n AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY user_id ORDER BY t) >= 43200000)::INT, 1) AS new FROM e),
+      s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM n)
+      SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS beats FROM s GROUP BY user_id, k HAVING max(t) + 43200000 <= max(mark)""",
+    "stream_state_times": """
+      WITH e AS (SELECT user_id, event_type AS state, epoch_us(ts) // 1000 AS t, max(epoch_us(ts) // 1000) OVER () AS mark FROM events),
+      n AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, state) - t AS spent FROM e)
+      SELECT user_id, state, t AS since, CASE WHEN spent < 21600000 THEN spent ELSE 21600000 END AS spent, coalesce(spent >= 21600000, true) AS timed_out FROM n WHERE spent IS NOT NULL OR t + 21600000 <= mark""",
     "stream_cooldown": """
       WITH RECURSIVE e AS (SELECT user_id, floor(epoch(ts))::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))) AS k FROM events),
       r AS (SELECT *, t AS last, true AS ok FROM e WHERE k = 1
         UNION ALL SELECT e.*, CASE WHEN e.t - r.last >= 43200 THEN e.t ELSE r.last END, e.t - r.last >= 43200 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
       SELECT user_id, t AS "at" FROM r WHERE ok""",
 }
-QUERIES = {f.__name__: f for f in (text_files, found_files, log_latest, partitioned_sink, partial_update, node_upsert, cache_entries, stream_log, stream_windows, stream_sessions, stream_cooldown)}
+QUERIES = {f.__name__: f for f in (text_files, found_files, log_latest, partitioned_sink, partial_update, node_upsert, cache_entries, stream_log, stream_windows, stream_sessions, stream_cooldown, stream_ended, stream_state_times)}

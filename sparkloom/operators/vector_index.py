@@ -237,8 +237,11 @@ def _read(index: Index, rows: DataFrame, asked: DataFrame, chosen: Callable) ->
 def _scored(index: Index, rows: DataFrame, found: DataFrame, queries: DataFrame) -> DataFrame:
     """Exact cosines of the pairs in ``found``."""
     found = small(found.select("query_id", index.key, "slot"), 64)
-    pairs = rows.select("slot", index.key, F.col(index.vector).alias("__v")).join(found, ["slot", index.key]).join(small(queries.select("query_id", "query_vector"), 1024), "query_id")
-    return pairs.select("query_id", index.key, vectors.cosine(F.col("__v"), F.col("query_vector")).alias("score"))
+    asked = stored(queries.select("query_id", vectors.normalized(F.col("query_vector")).alias("__q")), "asked")
+    pairs = rows.select("slot", index.key, F.col(index.vector).alias("__v")).join(found, ["slot", index.key]).join(small(asked, 1024), "query_id")
+    size = vectors.norm(F.col("__v"))
+    cosine = F.when(size == 0, F.element_at("__q", 1)).otherwise(vectors.dot(F.col("__v"), F.col("__q")) / size)
+    return stored(pairs.select("query_id", index.key, cosine.alias("score")), "scores")
 
 
 def candidates(index: Index, queries: DataFrame, k: int = 10, where: Column | str | None = None, probes: float = PROBES, again: int = AGAIN) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import graph
 from ..session import scratch
 from ..sources import files
+from ..sources.keyed import KeyedTable
 from ..streaming import bus, timers
 from .tables import load
 
@@ -63,6 +64,20 @@ def node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upserted(old.where("seen % 2 = 0"), old.where("seen % 2 = 1"), ["id"], "seen").select("id", "seen", "name")
 
 
+def keyed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in a keyed table: put, patched with fields of their metadata, deleted, compacted, patched again."""
+    o = load(spark, sf_dir, "orders")
+    meta = F.concat(F.lit('{"status":"'), "o_orderstatus", F.lit('","seen":1}'))
+    table = KeyedTable(spark, scratch(spark, "orders"), "o_orderkey bigint, o_totalprice double, meta string", "o_orderkey", 8)
+    table.put(o.select("o_orderkey", "o_totalprice", meta.alias("meta")))
+    table.patch(o.where("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, 1.5).alias("o_totalprice"), F.lit('{"seen":2,"by":"a"}').alias("meta")), ["meta"])
+    table.delete(o.where("o_orderkey % 5 = 0").select("o_orderkey"))
+    table.compacted()
+    table.patch(o.where("o_orderkey % 10 < 2").select("o_orderkey", F.lit('{"by":"b"}').alias("meta")), ["meta"])
+    field = lambda x: F.get_json_object("meta", f"$.{x}")
+    return table.read().select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"), field("status").alias("status"), field("seen").cast("int").alias("seen"), field("by").alias("by"))
+
+
 def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result cache over its log: entries that have not run out or been invalidated by a later
     change, the latest so many of each user; hits of requests at the end."""
@@ -130,6 +145,9 @@ SQL = {
       WITH n AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE -c_custkey - 1 END AS c_custkey, upper(c_mktsegment || '!') AS seg FROM customer WHERE c_custkey % 3 = 0)
       SELECT coalesce(c.c_custkey, n.c_custkey) AS c_custkey, c_name, coalesce(seg, c_mktsegment) AS c_mktsegment FROM customer c FULL JOIN n ON c.c_custkey = n.c_custkey""",
     "node_upsert": "SELECT o_custkey AS id, max(o_orderkey) AS seen, arg_max(o_orderpriority, o_orderkey) AS name FROM orders GROUP BY o_custkey",
+    "keyed_updates": """
+      SELECT o_orderkey, round(CASE WHEN o_orderkey % 6 = 0 THEN 1.5 ELSE o_totalprice END, 2) AS o_totalprice, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS seen,
+             CASE WHEN o_orderkey % 10 < 2 THEN 'b' WHEN o_orderkey % 3 = 0 THEN 'a' END AS by FROM orders WHERE o_orderkey % 5 <> 0""",
     "cache_entries": """
       WITH p AS (SELECT user_id AS owner, event_id AS key, ts AS put_at, event_id % 7 AS file FROM events WHERE event_type IN ('click', 'view') AND ts <= TIMESTAMP '2024-01-20' AND ts >= TIMESTAMP '2024-01-20' - INTERVAL 6 DAY),
       c AS (SELECT event_id % 7 AS file, max(ts) AS changed_at FROM events WHERE event_type = 'error' AND ts <= TIMESTAMP '2024-01-20' GROUP BY ALL)
@@ -153,4 +171,4 @@ SQL = {
         UNION ALL SELECT e.*, CASE WHEN e.t - r.last >= 43200 THEN e.t ELSE r.last END, e.t - r.last >= 43200 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
       SELECT user_id, t AS "at" FROM r WHERE ok""",
 }
-QUERIES = {f.__name__: f for f in (text_files, found_files, log_latest, partitioned_sink, partial_update, node_upsert, cache_entries, stream_log, stream_windows, stream_sessions, stream_cooldown, stream_ended, stream_state_times)}
+QUERIES = {f.__name__: f for f in (text_files, found_files, log_latest, partitioned_sink, partial_update, node_upsert, keyed_updates, cache_entries, stream_log, stream_windows, stream_sessions, stream_cooldown, stream_ended, stream_state_times)}

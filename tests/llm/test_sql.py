@@ -13,7 +13,8 @@ DIR = "/root/testdata/sf0.001"
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from '{DIR}/documents.parquet'")
+    for table in ("documents", "benchmark", "conversations"):
+        c.sql(f"create view {table} as select * from '{DIR}/{table}.parquet'")
     expected = c.sql(registry.SQL[name])
     found = registry.QUERIES[name](spark, DIR)
     columns = sorted(found.columns)

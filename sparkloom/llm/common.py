@@ -46,6 +46,8 @@ _OWN: dict[str, str] = {}
 
 
 def _own_root(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors see in spark.checkpoint.dir")
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sparkloom-"))
 
 

@@ -35,7 +35,9 @@ def odd_dir(spark, tmp_path_factory):
 def empty_dir(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{root}/documents.parquet")
-    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
+    others = {"pages": "page_id long, url string, html string", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "conversations": "conv_id long, turn long, role string, text string"}
+    for table, schema in others.items():
+        spark.createDataFrame([], schema).write.parquet(f"{root}/{table}.parquet")
     return str(root)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T
 from ..operators import context, history, insights, plugins
 from . import history as H
-from .tables import load
+from .tables import load, spread
 
 
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def exchange_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "part")
+    p = spread(load(spark, sf_dir, "part").select("p_partkey", "p_name"))
     query = F.concat(F.lit("show "), F.regexp_replace(F.initcap("p_name"), " ", ""), F.lit(" of "), F.regexp_replace("p_name", " ", "_"))
     return p.select("p_partkey", F.posexplode(context.expanded(query)).alias("place", "query"))
 

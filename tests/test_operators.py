@@ -1,5 +1,8 @@
 """Operators on small tables: edge rows, and what the test tables do not hold."""
 
+import contextlib
+import io
+
 import pytest
 from pyspark.sql import functions as F
 from sparkloom.functions import files, scores, vectors
@@ -267,6 +270,26 @@ def test_context(spark):
     assert s == "[DEBUGGING] | User: Please fix the crash in parser | Context: parser.py | Answer: You should add a test"
 
 
+def planned(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+def test_expansion_once(spark):
+    """A query's names are found, and each name's spellings made, once."""
+    plan = planned(spark.range(3).select(context.expanded(F.concat(F.lit("call getUser of my_name "), F.col("id"))).alias("x")))
+    assert plan.count("regexp_extract_all") == 1
+    assert plan.count("plural_snake") == 1
+
+
+def test_spellings_once(spark):
+    names = spark.range(3).select(F.concat(F.lit("getUser"), F.col("id")).alias("a"), F.lit("get_user").alias("b"))
+    assert planned(names.select(T.variations(F.col("a")).alias("x"))).count("RLIKE") <= 8  # a style for the words, and one for all terms
+    assert planned(names.select(T.similarity(F.col("a"), F.col("b")).alias("x"))).count("plural_snake") <= 2  # one for each name
+
+
 def test_insights(spark):
     f = spark.createDataFrame([(1, "Bug", "CRITICAL", "a"), (2, "bug", "LOW", "b"), (3, None, "HIGH", "c")], "id int, type string, severity string, description string")
     assert [r["id"] for r in insights.consolidated(f).collect()] == [1]

@@ -7,13 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import files
 from ..functions import text as T
 from ..operators import brackets, chunking, compression, events
-from .tables import load
+from .tables import load, spread
 
 EXTENSIONS = ("py", "js", "go", "md", "sql")
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "part")
+    p = spread(load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"))
     return p.select("p_partkey", "p_size", F.regexp_replace("p_name", " ", "_").alias("fn"), F.regexp_replace(F.initcap("p_name"), " ", "").alias("cls"), F.regexp_replace("p_name", " ", "-").alias("kebab"))
 
 

@@ -33,6 +33,19 @@ def test_search_of_vectors(spark):
     assert search.nearest(rows, q.limit(0), 3).count() == 0 and search.nearest(rows, q, 3, 1.1).count() == 0
 
 
+def test_nearest_in_parts(spark, monkeypatch):
+    """No pairs of rows with all queries: what is ranked is each part's best, whatever its size."""
+    for name, value in (("PART", 7), ("SCORES", 20)):
+        monkeypatch.setattr(search, name, value)
+    rows = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)] + [(90, None), (91, [1.0]), (92, [None, 1.0])], "id int, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "query_id int, query_vector array<double>")
+    found = search.nearest(rows, q, 9, -1.0, metric="cosine")
+    assert "CrossJoin" not in planned(found) and "NestedLoop" not in planned(found)
+    got = {(r["query_id"], r["rank"]): r["id"] for r in found.collect()}
+    assert [got[1, i] for i in range(1, 10)] == [4, 9, 14, 19, 24, 29, 34, 39, 3]
+    assert [got[2, i] for i in range(1, 10)] == [0, 5, 10, 15, 20, 25, 30, 35, 1] and len(got) == 18
+
+
 def test_fusion_edges(spark):
     s = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (2, "z", 3.0)], "query_id int, k string, score double")
     lex = spark.createDataFrame([(1, "b", 2.0), (1, "c", 1.0)], "query_id int, k string, score double")

@@ -95,29 +95,37 @@ def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.latest(spark.read.parquet(log), "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
-def _memory(spark: SparkSession, rows: DataFrame, name: str, mode: str) -> DataFrame:
-    table = scratch(spark, name).rsplit("/", 1)[1].replace("-", "_")
-    rows.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", scratch(spark, name)).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(table)
+def _written(spark: SparkSession, rows: DataFrame, name: str, mode: str) -> DataFrame:
+    """What the stream gives out until it has read all there is: a Parquet folder for each batch, of
+    which every one counts if rows are appended and the last if it holds the complete result."""
+    path, batches = scratch(spark, name), []
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{n}")  # a batch that is run again replaces itself
+        batches.append(f"{path}/{n}")
+
+    rows.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", scratch(spark, name)).trigger(availableNow=True).start().awaitTermination()
+    done = batches if mode == "append" else batches[-1:]
+    return spark.read.schema(rows.schema).parquet(*done) if done else spark.createDataFrame([], rows.schema)
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = _memory(spark, bus.windowed_counts(stream, "ts", "event_type", "6 hours", "2 days"), "windows", "complete")
+    rows = _written(spark, bus.windowed_counts(stream, "ts", "event_type", "6 hours", "2 days"), "windows", "complete")
     return rows.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beats of each user in sessions that end after half a day without one."""
     stream = spark.readStream.schema(load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = _memory(spark, bus.idle(stream, "ts", "user_id", "12 hours", "40 days"), "sessions", "complete")
+    rows = _written(spark, bus.idle(stream, "ts", "user_id", "12 hours", "40 days"), "sessions", "complete")
     return rows.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("beats").alias("beats"))
 
 
 def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
     rows = stream.select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"))
-    return _memory(spark, bus.cooldown(rows, "user_id", "at", 43200.0), "cooldown", "append").select("user_id", "at")
+    return _written(spark, bus.cooldown(rows, "user_id", "at", 43200.0), "cooldown", "append").select("user_id", "at")
 
 
 def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,13 +135,13 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections that timers have ended: half a day without a beat before the last event of all."""
     with timers.rocksdb(spark):
-        return _memory(spark, timers.heartbeats(_timed(spark, sf_dir), "user_id", "ts", 43_200_000, "0 seconds"), "ended", "append")
+        return _written(spark, timers.heartbeats(_timed(spark, sf_dir), "user_id", "ts", 43_200_000, "0 seconds"), "ended", "append")
 
 
 def stream_state_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How long each user stays with a type of event; six hours end it by a timer."""
     with timers.rocksdb(spark):
-        return _memory(spark, timers.durations(_timed(spark, sf_dir), "user_id", "ts", "event_type", 21_600_000, "0 seconds"), "spent", "append")
+        return _written(spark, timers.durations(_timed(spark, sf_dir), "user_id", "ts", "event_type", 21_600_000, "0 seconds"), "spent", "append")
 
 
 SQL = {

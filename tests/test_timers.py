@@ -74,3 +74,12 @@ def test_durations(spark, tmp_path, events):
         for (t, v), (u, _) in zip(mine, [*mine[1:], (1 << 60, "")]):
             expected.append((k, v, t, min(u - t, 15 * MINUTE), u - t >= 15 * MINUTE))
     assert found == sorted(expected)
+
+
+@pytest.mark.parametrize("name", ["stream_state_times", "stream_windows"])
+def test_results_in_files(spark, name):
+    """What a stream gives out lies in files, not in the driver's memory."""
+    from sparkloom.plans import stores
+
+    rows = stores.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0 and all(".parquet" in f for f in rows.inputFiles()) and rows.inputFiles()

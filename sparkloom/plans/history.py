@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import history, quality
+from ..session import dealt, parts
 from .tables import load
 
 AS_OF = "2000-06-01 00:00:00"
@@ -19,11 +20,15 @@ def _message():
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes, dealt by path in proportion to the lines: a file's rows are grouped where they lie."""
     o, li = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    n = parts(li)
+    both = dealt(li, n, "l_orderkey").join(dealt(o, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = both.select(
         F.col("l_partkey").alias("path"), F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("ts"), _message().alias("message"),
         F.col("l_quantity").alias("insertions"), F.floor(F.col("l_discount") * 100).alias("deletions"),
     )
+    return dealt(rows, n, "path")
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

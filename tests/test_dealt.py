@@ -1,7 +1,8 @@
 """What a task holds does not grow with the table: rows are dealt in proportion to their number."""
 
 from sparkloom import session
-from sparkloom.operators import search
+from sparkloom.operators import search, vector_index
+from sparkloom.plans import history, tables
 
 
 def test_scores_lie_where_documents_do(spark, monkeypatch):
@@ -20,3 +21,22 @@ def test_variations_are_limited_before_they_move(spark, monkeypatch):
     asked = spark.createDataFrame([(1, 0, "w1 w2", 1.0), (1, 1, "x", 0.5), (2, 0, "w5", 1.0)], "query_id long, variation int, query string, weight double")
     found = search.lexical(docs, asked, 4)
     assert found._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 4
+
+
+def test_pairs_of_queries_and_slots_come_in_parts(spark, monkeypatch):
+    rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 9)]) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<double>")
+    queries = corpus.selectExpr("id as query_id", "embedding as query_vector")
+    whole = sorted(vector_index.exact(vector_index.build(corpus), queries, 3).collect())
+    monkeypatch.setattr(vector_index, "CELLS", 16)
+    monkeypatch.setattr(vector_index, "PAIRS", 3)
+    assert sorted(vector_index.exact(vector_index.build(corpus), queries, 3).collect()) == whole
+
+
+def test_changes_and_edges_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS", 1000)
+    sf_dir = "/root/testdata/sf0.001"
+    n = session.parts(tables.load(spark, sf_dir, "lineitem"))
+    assert n > 4
+    for rows in (history._changes(spark, sf_dir), tables.edges(spark, sf_dir)):
+        assert rows.rdd.getNumPartitions() == n

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import graph
+from ..session import dealt, parts
 from .tables import EDGES_SQL, edges, load
 
 
@@ -96,7 +97,8 @@ def tight_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def change_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
-    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("partner"), F.col("o_orderdate").alias("ts"))
+    n = parts(li)
+    rows = dealt(li, n, "l_orderkey").join(dealt(o, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("partner"), F.col("o_orderdate").alias("ts"))
     return graph.hotspots(rows, "1998-06-01 00:00:00")
 
 

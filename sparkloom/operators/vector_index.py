@@ -35,6 +35,8 @@ STEP, COARSE = 2, 3
 PROBES, LEAST, AGAIN = 0.8, 8, 4
 #: Rows of a slot (in expectation), queries whose tables are held at once.
 SLOT, TABLES = 50_000, 128
+#: Distances of rows to lists, and pairs of a query and a slot, that are held at once.
+CELLS, PAIRS = 1 << 20, 1 << 15
 #: Room for rounding in squared distances of unit vectors.
 SLACK = 1e-5
 
@@ -111,6 +113,13 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c
 
 
+def _cut(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, max(1, rows)):
+            yield b.slice(at, max(1, rows))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
 
@@ -156,9 +165,7 @@ def build(corpus: DataFrame, key: str = "id", vector: str = "embedding", carry:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _cut(batches, CELLS // len(m.fine)):
             x = _unit(_matrix(b.column(1)))
             near = m.nearest_lists(x, COARSE, 1)[:, 0]
             rest = m.cut(x - m.fine[near])
@@ -191,12 +198,13 @@ def _asked(index: Index, queries: DataFrame, slots: Callable) -> DataFrame:
     kind = queries.schema["query_id"].dataType.simpleString()
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, reach = _unit(_matrix(b.column(1))), b.column(2).to_numpy()
-                who, slot = np.nonzero(slots(*shared.value, x, reach))
-                take = pa.array(who)
-                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), b.column(0).take(take), pa.array(x[who].tolist(), pa.list_(pa.float64())), pa.array(reach[who])], ["slot", "query_id", "unit", "reach"])
+        for b in _cut(batches, CELLS // len(shared.value[1])):
+            x, reach = _unit(_matrix(b.column(1))), b.column(2).to_numpy()
+            whose, where = np.nonzero(slots(*shared.value, x, reach))
+            for at in range(0, len(whose), PAIRS):
+                who, slot = whose[at : at + PAIRS], where[at : at + PAIRS]
+                unit = pa.ListArray.from_arrays(np.arange(len(who) + 1, dtype=np.int32) * x.shape[1], x[who].ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), b.column(0).take(pa.array(who)), unit, pa.array(reach[who])], ["slot", "query_id", "unit", "reach"])
 
     rows = queries.where(F.col("query_vector").isNotNull()).select("query_id", "query_vector", "reach")
     return rows.mapInArrow(opened, f"slot int, query_id {kind}, unit array<double>, reach double")

@@ -1,7 +1,7 @@
 """What a task holds does not grow with the table: rows are dealt in proportion to their number."""
 
 from sparkloom import session
-from sparkloom.operators import search, vector_index
+from sparkloom.operators import search, term_index, vector_index
 from sparkloom.plans import history, tables
 
 
@@ -40,3 +40,13 @@ def test_changes_and_edges_are_dealt_by_their_number(spark, monkeypatch):
     assert n > 4
     for rows in (history._changes(spark, sf_dir), tables.edges(spark, sf_dir)):
         assert rows.rdd.getNumPartitions() == n
+
+
+def test_index_deals_by_range(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(term_index, "RANGE", 25)
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} x y") for i in range(400)], "id long, text string")
+    queries = spark.createDataFrame([(1, "w1 w2"), (2, "x w5")], "query_id long, query string")
+    index = term_index.TermIndex(spark, str(tmp_path / "index")).build(docs)
+    blocks = index._table("blocks", "run").selectExpr("range", "run", "inline(items)")
+    assert index.parts == 16 and blocks.selectExpr("range = pmod(xxhash64(key), 16) as ok").where("not ok").isEmpty()
+    assert sorted((r["query_id"], r["id"]) for r in index.search(queries, 4).collect()) == sorted((r["query_id"], r["id"]) for r in search.bm25(docs, queries, 4).collect())

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import parts, shuffled, stored
 from .intervals import running
 
-#: Lines of a block.
-BLOCK = 512
+#: Lines of a block; marks that a task sorts, which it does several times.
+BLOCK, MARKS = 512, 1 << 17
 #: Lines that are not looked at (fixed values), and closing brackets by their opening ones.
 COMMENTS = ("#", "//", "/*", "<!--")
 PAIRS = {"[": "]", "{": "}", "(": ")"}
@@ -52,13 +53,15 @@ def paired(marks: DataFrame, key: str) -> DataFrame:
 def checked(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """``key, valid, line, message``: whether a text's brackets match, and the first error (line from
     1): a closing bracket that meets nothing or another kind, else the first one left open.  Lines
-    that begin as comments are not looked at; null text is valid."""
+    that begin as comments are not looked at; null text is valid.  Marks are written once and dealt
+    in proportion to their number; the result is written, too."""
     lines = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("__i", "line"))
     comment = F.lit(False)
     for c in COMMENTS:
         comment |= F.ltrim("line").startswith(c)
     found = F.posexplode(F.regexp_extract_all("line", F.lit(r"[\[\](){}]"), F.lit(0)))
-    rows = paired(lines.where(~comment).select(key, (F.col("__i") + 1).alias("line_no"), found.alias("at", "char")), key)
+    marks = stored(lines.where(~comment).select(key, (F.col("__i") + 1).alias("line_no"), found.alias("at", "char")), "marks")
+    rows = paired(marks, key)
     closes = F.create_map(*[F.lit(x) for kv in PAIRS.items() for x in kv])
     wanted = F.try_element_at(closes, F.col("before.char"))
     message = F.when(_opens(F.col("char")), None).when(F.col("depth") < 1, F.concat(F.lit("Unexpected closing "), "char")).when(wanted != F.col("char"), F.concat(F.lit("Mismatched bracket: expected "), wanted, F.lit(", got "), "char"))
@@ -68,7 +71,8 @@ def checked(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     left = F.struct(F.col("lowest.line_no").alias("line_no"), F.col("lowest.at").alias("at"), F.concat(F.lit("Unclosed "), F.col("lowest.char")).alias("message"))
     sums = sums.select(key, F.coalesce("error", F.when(F.col("open") > 0, left)).alias("error"))
     out = docs.select(key).join(sums, key, "left")
-    return out.select(key, F.col("error").isNull().alias("valid"), F.col("error.line_no").alias("line"), F.col("error.message").alias("message"))
+    with shuffled(docs.sparkSession, parts(marks, MARKS)):
+        return stored(out.select(key, F.col("error").isNull().alias("valid"), F.col("error.line_no").alias("line"), F.col("error.message").alias("message")), "checks")
 
 
 def code_marks(docs: DataFrame, key: str, text: str, language: str) -> DataFrame:
@@ -92,9 +96,10 @@ def ended(definitions: DataFrame, docs: DataFrame, key: str, text: str, language
 
     The body opens at the first brace that comes before the next definition begins and before any
     semicolon or closing brace; of several on its line, at one that closes on a later line.  A
-    definition without a body ends where it begins, one that never closes with the text."""
+    definition without a body ends where it begins, one that never closes with the text.  Marks and
+    result are written as in ``checked``."""
     code = docs.where(F.col(language).isin(list(SKIPPED)))
-    marks = code_marks(code, key, text, language)
+    marks = stored(code_marks(code, key, text, language), "marks")
     pairs = paired(marks.where("char <> ';'"), key)
     closed = pairs.where((F.col("char") == "}") & (F.col("depth") > 0)).select(key, F.col("before.at").alias("at"), F.col("line_no").alias("close"))
     size = code.select(key, F.size(F.split(text, "\n")).alias("n"))
@@ -110,4 +115,5 @@ def ended(definitions: DataFrame, docs: DataFrame, key: str, text: str, language
     found = found.groupBy(key, "start_line").agg(F.max("__end").alias("__end"))
     out = definitions.join(found, [key, "start_line"], "left")
     kind = definitions.schema["end_line"].dataType
-    return out.withColumn("end_line", F.coalesce("__end", "end_line").cast(kind)).select(*definitions.columns)
+    with shuffled(docs.sparkSession, parts(marks, MARKS)):
+        return stored(out.withColumn("end_line", F.coalesce("__end", "end_line").cast(kind)).select(*definitions.columns), "ends")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from sparkloom import session
 from sparkloom.operators import brackets, chunking
 
 
@@ -144,3 +145,18 @@ def test_strings_and_comments_hide_braces(spark):
     assert sorted(tuple(r) for r in brackets.code_marks(docs, "id", "text", "language").drop("at").collect()) == [(1, 1, "{"), (1, 3, ";"), (1, 3, "}")]
     empty = docs.where(F.lit(False))
     assert brackets.code_marks(empty, "id", "text", "language").count() == 0 and brackets.checked(empty).count() == 0
+
+
+def test_tasks_follow_marks(spark, monkeypatch):
+    """What a task sorts does not grow with the documents: four shuffle partitions would take all of it."""
+    monkeypatch.setattr(brackets, "MARKS", 1000, raising=False)
+    tasks = {}
+
+    def counted(df, name):
+        tasks[name] = [spark.conf.get(x) for x in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")]
+        return session.stored(df, name)
+
+    monkeypatch.setattr(brackets, "stored", counted, raising=False)
+    docs = spark.range(500).select("id", F.repeat(F.lit("f({})\n"), 10).alias("text"))
+    assert brackets.checked(docs.unionByName(spark.createDataFrame([(900, "\n(]")], "id long, text string"))).where("not valid").count() == 1
+    assert tasks.get("checks") == ["21", "false"]  # 20,002 marks

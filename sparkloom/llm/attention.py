@@ -21,9 +21,10 @@ TAIL = 224
 DIM, HIDDEN = 16, 32
 #: An input or target that is not there, in windows of ids.
 NONE = 65_535
-#: Logits are held below this, so their exponentials stay finite.
-LARGE = np.float32(60)
-#: Training: windows of a step, rate, seed.  Bins of log(network / pairs), and their range.
+#: Where a sum of exponentials leaves these bounds, each row's largest logit is taken from it first.
+LEAST_SUM, MOST_SUM = 1e-26, 1e26
+#: Training: windows of a step unless given, rate, seed.  Bins of log(network / pairs), and
+#: their range.
 BATCH, RATE, SEED, BINS, SPAN = 256, 0.03, 20240617, 4096, 20.0
 
 
@@ -80,12 +81,33 @@ def _added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return sums
 
 
-def _below(x: np.ndarray, w: np.ndarray, bias: np.ndarray) -> bool:
-    """Whether no product of a row of ``x`` and a column of ``w`` (those of each of its
-    matrices) with its bias can reach ``LARGE``, by the largest lengths: then nothing has to
-    be held below it, which costs as much as the exponentials do."""
-    lengths = np.einsum("ij,ij->i", x, x).max(initial=0), np.einsum("...ij,...ij->...j", w, w).max(initial=0)
-    return bool(np.sqrt(float(lengths[0]) * float(lengths[1])) * 1.001 + float(bias.max(initial=0)) < LARGE)
+def _with_ones(x: np.ndarray) -> np.ndarray:
+    """``x`` and a column of ones: a product by weights over their bias then adds the bias,
+    and one by its transpose gives the bias's gradient."""
+    out = np.empty((len(x), x.shape[1] + 1), x.dtype)
+    out[:, :-1] = x
+    out[:, -1] = 1
+    return out
+
+
+def _within(sums: np.ndarray) -> bool:
+    return not sums.size or bool(sums.max() < MOST_SUM and sums.min() > LEAST_SUM)
+
+
+def _exponentials(x: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the logits ``x @ w``: their exponentials, the logits ``at`` (places in the flattened
+    array) and each row's sum of exponentials; all less the rows' largest logits if a sum is out
+    of bounds, which no share or log probability shows."""
+    logit = x @ w
+    picked, ones = logit.take(at), np.ones(w.shape[1], w.dtype)
+    with np.errstate(over="ignore"):
+        total = np.exp(logit, out=logit) @ ones  # products sum short rows faster
+    if not _within(total):
+        logit = x @ w
+        logit -= logit.max(axis=1, keepdims=True)
+        picked = logit.take(at)
+        total = np.exp(logit, out=logit) @ ones
+    return logit, picked, total
 
 
 class Model:
@@ -152,25 +174,40 @@ class Model:
     def _bias(self) -> np.ndarray:
         return np.where(self.ahead, np.float32(-1e9), self.p["far"][self.distance]).astype(np.float32)
 
-    def _states(self, x: np.ndarray) -> np.ndarray:
-        """Hidden states of windows ``x`` as ``_hidden`` gives them, without what training needs:
-        values carry a one, so that one product gives outputs and sums of weights."""
-        score = np.matmul(self.q.take(x[:, STEP:], axis=0), self.k.take(x, axis=0).transpose(0, 2, 1))
-        score += self.bias
+    def _weights(self, query: np.ndarray, key: np.ndarray, bias: np.ndarray, x: np.ndarray, less: bool = False) -> np.ndarray:
+        """Attention weights of windows ``x`` times each position's sum of them."""
+        weight = np.matmul(query, key.transpose(0, 2, 1))
+        weight += bias
         missing = (x == self.pad).nonzero()
         if len(missing[0]):
-            score[missing[0], :, missing[1]] = -1e9
-        if not self.free:
-            np.minimum(score, LARGE, out=score)
-        np.exp(score, out=score)
-        out = np.matmul(score, self.ones.take(x, axis=0)).reshape(-1, DIM + 1)
+            weight[missing[0], :, missing[1]] = -1e9
+        if less:
+            weight -= weight.max(axis=2, keepdims=True)
+        with np.errstate(over="ignore"):
+            return np.exp(weight, out=weight)
+
+    def _attended(self, query: np.ndarray, key: np.ndarray, value: np.ndarray, bias: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_weights`` and their products with ``value``, whose last column is ones, so that the
+        product's are the sums; less the rows' largest scores if a sum is out of bounds."""
+        weight = self._weights(query, key, bias, x)
+        with np.errstate(invalid="ignore", over="ignore"):
+            out = np.matmul(weight, value)
+        if not _within(out[..., DIM]):
+            weight = self._weights(query, key, bias, x, less=True)
+            out = np.matmul(weight, value)
+        return weight, out
+
+    def _states(self, x: np.ndarray) -> np.ndarray:
+        """Hidden states of windows ``x`` as ``_hidden`` gives them, without what training needs."""
+        out = self._attended(self.q.take(x[:, STEP:], axis=0), self.k.take(x, axis=0), self.ones.take(x, axis=0), self.bias, x)[1].reshape(-1, DIM + 1)
         h = (out[:, :DIM] / out[:, DIM:]) @ self.p["O"]
         h += self.start.take(x[:, STEP:].ravel(), axis=0)
         return np.maximum(h, 0, out=h)
 
     def _hidden(self, x: np.ndarray):
         """Windows ``x`` of inputs: the distinct ones, the place of each among them, queries, keys,
-        values, weights, the head's output and hidden states.  Products are by distinct input."""
+        values and ones, weights times their sums, these sums' inverses, the head's output and
+        hidden states.  Products are by distinct input."""
         p, seen = self.p, np.zeros(self.pad + 1, bool)
         seen[x.ravel()] = True
         rows = np.flatnonzero(seen)
@@ -178,58 +215,49 @@ class Model:
         local[rows] = np.arange(len(rows))
         at, e = local.take(x), p["E"].take(rows, axis=0)
         now = at[:, STEP:]
-        query, key, value = (e @ p["Q"] / np.float32(DIM**0.5)).take(now, axis=0), (e @ p["K"]).take(at, axis=0), (e @ p["V"]).take(at, axis=0)  # faster than indexing
-        weight = np.matmul(query, key.transpose(0, 2, 1))
-        weight += self._bias()
-        missing = (x == self.pad).nonzero()
-        weight[missing[0], :, missing[1]] = -1e9
-        np.minimum(weight, LARGE, out=weight)
-        np.exp(weight, out=weight)
-        weight *= (1 / (weight.reshape(-1, 2 * STEP) @ np.ones(2 * STEP, np.float32))).reshape(len(x), STEP, 1)
-        out = np.matmul(weight, value)
-        h = out.reshape(-1, DIM) @ p["O"]
+        query, key, value = (e @ p["Q"] / np.float32(DIM**0.5)).take(now, axis=0), (e @ p["K"]).take(at, axis=0), _with_ones(e @ p["V"]).take(at, axis=0)  # faster than indexing
+        weight, out = self._attended(query, key, value, self._bias(), x)
+        inverse = 1 / out.reshape(-1, DIM + 1)[:, DIM:]
+        out = out.reshape(-1, DIM + 1)[:, :DIM] * inverse
+        h = out @ p["O"]
         h += (p["D"].take(rows, axis=0) + p["h"]).take(now.ravel(), axis=0)
-        return rows, at, query, key, value, weight, out, np.maximum(h, 0, out=h)
+        return rows, at, query, key, value, weight, inverse, out, np.maximum(h, 0, out=h)
 
     def _softmax(self, h, y, top: tuple[str, str], low: tuple[str, str], width: int, grads: dict | None, out_h: np.ndarray | None):
-        """Log probability of each target by class and member; ``out_h`` takes the
-        gradients of the hidden state, ``grads`` those of the weights (members by class)."""
+        """Log probability of each target by class and member, of hidden states with their ones
+        (``_with_ones``); ``out_h`` takes the gradients of the hidden state, ``grads`` those of
+        the weights (members by class)."""
         group, rows = y // width, np.arange(len(y))
-        logit = h @ self.p[top[0]]
-        logit += self.p[top[1]]
-        if grads is not None or not _below(h, self.p[top[0]], self.p[top[1]]):
-            np.minimum(logit, LARGE, out=logit)
-        classes = logit.shape[1]
-        picked = logit[rows, group]
-        np.exp(logit, out=logit)
-        total = logit @ np.ones(classes, np.float32)  # products sum short rows faster
+        weights = np.concatenate([self.p[top[0]], self.p[top[1]][None]])
+        classes = weights.shape[1]
+        flat = rows * classes + group
+        share, picked, total = _exponentials(h, weights, flat)
         out = picked - np.log(total)
         if grads is not None:
-            logit /= total[:, None]
-            logit[rows, group] -= 1
-            grads[top[0]], grads[top[1]] = h.T @ logit, np.ones(len(y), np.float32) @ logit
-            out_h += logit @ self.p[top[0]].T
+            share *= (1 / total)[:, None]
+            share.reshape(-1)[flat] -= 1
+            both = h.T @ share
+            grads[top[0]], grads[top[1]] = both[:-1], both[-1]
+            np.matmul(share, self.p[top[0]].T, out=out_h)
             own = grads[low[0]], grads[low[1]] = {}, {}
         order = np.argsort(group.astype(np.uint8 if classes < 256 else np.int32), kind="stable")
-        sorted_h, member = h.take(order, axis=0), (y - group * width).take(order)
-        below, back, free = np.empty(len(y), out.dtype), np.empty_like(sorted_h), grads is None and _below(h, self.p[low[0]], self.p[low[1]])
+        sorted_h, flat = h.take(order, axis=0), (y - group * width).take(order)
+        below, back = np.empty(len(y), out.dtype), None if grads is None else np.empty((len(h), h.shape[1] - 1), h.dtype)
         ends = np.searchsorted(group.take(order), np.arange(classes + 1))
-        for c in np.flatnonzero(np.diff(ends)).tolist():
+        some = np.flatnonzero(np.diff(ends))
+        members = np.concatenate([self.p[low[0]].take(some, axis=0), self.p[low[1]].take(some, axis=0)[:, None]], axis=1)
+        for c, weights in zip(some.tolist(), members):
             part = slice(ends[c], ends[c + 1])
-            hc, own_member, r = sorted_h[part], member[part], rows[: ends[c + 1] - ends[c]]
-            logit = hc @ self.p[low[0]][c]
-            logit += self.p[low[1]][c]
-            if not free:
-                np.minimum(logit, LARGE, out=logit)
-            picked = logit[r, own_member]
-            np.exp(logit, out=logit)
-            total = logit @ np.ones(width, np.float32)
+            hc = sorted_h[part]
+            own_flat = rows[: len(hc)] * width + flat[part]
+            share, picked, total = _exponentials(hc, weights, own_flat)
             below[part] = picked - np.log(total)
             if grads is not None:
-                logit /= total[:, None]
-                logit[r, own_member] -= 1
-                own[0][c], own[1][c] = hc.T @ logit, np.ones(len(logit), np.float32) @ logit
-                np.matmul(logit, self.p[low[0]][c].T, out=back[part])
+                share *= (1 / total)[:, None]
+                share.reshape(-1)[own_flat] -= 1
+                both = hc.T @ share
+                own[0][c], own[1][c] = both[:-1], both[-1]
+                np.matmul(share, weights[:-1].T, out=back[part])
         back_to = np.empty_like(order)
         back_to[order] = rows
         out += below.take(back_to)
@@ -249,16 +277,16 @@ class Model:
         """Windows of codes: log probability of each target that counts, that of the pair
         table, and gradients of their mean loss; rows of inputs and classes as (rows, values)."""
         p, g = self.p, {}
-        rows, at, query, key, value, weight, out, h = self._hidden(x)
+        rows, at, query, key, value, weight, inverse, out, h = self._hidden(x)
         target, live = y.ravel(), np.flatnonzero(y.ravel() != self.pad)
-        code, hl = target.take(live), h.take(live, axis=0)
+        code, hl = target.take(live), _with_ones(h.take(live, axis=0))
         symbol, others = np.where(code < SYMBOLS, code, self.rare), np.flatnonzero(code >= SYMBOLS)
-        dl = np.zeros_like(hl)
+        dl = np.empty((len(live), HIDDEN), h.dtype)
         logp = self._head(hl, symbol, g, dl)
         before = x[:, STEP:].ravel()[live]
         pair = np.log(self.table[np.where(before < SYMBOLS, before, self.rare), symbol])
         if len(others):
-            some = np.zeros((len(others), HIDDEN), np.float32)
+            some = np.empty((len(others), HIDDEN), h.dtype)
             logp[others] += self._other(hl[others], code[others] - SYMBOLS, g, some)
             pair[others] += np.log(self.tail[code[others] - SYMBOLS])
             dl[others] += some
@@ -271,18 +299,22 @@ class Model:
         dh = np.zeros_like(h)
         dh[live] = dl
         dh *= h > 0
-        g["h"], g["O"] = np.ones(len(h), h.dtype) @ dh, out.reshape(-1, DIM).T @ dh
-        dout = dh @ p["O"].T
-        through = (dout * out.reshape(-1, DIM)) @ np.ones(DIM, h.dtype)  # each position's weights times their gradients
-        dout = dout.reshape(out.shape)
+        g["h"], g["O"] = np.ones(len(h), h.dtype) @ dh, out.T @ dh
+        # Beside the output's gradients by the sums of weights, less their products with the output:
+        # its product with values and ones is each weight's gradient by the sums.
+        dout = np.empty((len(h), DIM + 1), h.dtype)
+        np.matmul(dh, p["O"].T, out=dout[:, :DIM])
+        dout[:, DIM] = (dout[:, :DIM] * out) @ np.full(DIM, -1, h.dtype)
+        dout *= inverse
+        dout = dout.reshape(*y.shape, -1)
         dscore = np.matmul(dout, value.transpose(0, 2, 1))
-        dscore -= through.reshape(len(x), STEP, 1)
         dscore *= weight
         g["far"] = np.bincount(self.distance.ravel(), dscore.sum(axis=0).ravel(), 2 * STEP).astype(np.float32)
-        near, asks = (np.zeros((m + 1, w), h.dtype) for m, w in ((x.size, 2 * DIM), (target.size, DIM + HIDDEN)))
+        near, asks = (np.empty((m + 1, w), h.dtype) for m, w in ((x.size, 2 * DIM), (target.size, DIM + HIDDEN)))
+        near[-1] = asks[-1] = 0
         by_key, by_query = near[:-1].reshape(*x.shape, -1), asks[:-1].reshape(*y.shape, -1)
         np.matmul(dscore.transpose(0, 2, 1), query, out=by_key[:, :, :DIM])
-        np.matmul(weight.transpose(0, 2, 1), dout, out=by_key[:, :, DIM:])
+        np.matmul(weight.transpose(0, 2, 1), dout[:, :, :DIM], out=by_key[:, :, DIM:])
         np.matmul(dscore, key, out=by_query[:, :, :DIM])
         asks[:-1, DIM:] = dh
         near, asks = _added(at.ravel(), near, len(rows)), _added(at[:, STEP:].ravel(), asks, len(rows))
@@ -307,16 +339,17 @@ class Model:
                 full[k] = v
         return -float(logp.sum()) / max(1, len(logp)), full
 
-    def train(self, windows: np.ndarray, begin: float = 0.0, end: float = 1.0, passes: int = 1) -> np.ndarray:
-        """Adam over windows of ids, in their order; ``begin`` and ``end`` say which part of
-        the whole training this is, from which the rate follows.  Gives how many targets fall
+    def train(self, windows: np.ndarray, begin: float = 0.0, end: float = 1.0, passes: int = 1, batch: int = 0) -> np.ndarray:
+        """Adam over windows of ids, in their order, ``batch`` (else ``BATCH``) a step; ``begin``
+        and ``end`` say which part of the whole training this is, from which the rate follows.  Gives how many targets fall
         into each bin of log(network / pairs), every one predicted before the step it is in."""
         one, two = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        bins, each = np.zeros(BINS, np.int64), -(-len(windows) // BATCH)
+        batch = batch or BATCH
+        bins, each = np.zeros(BINS, np.int64), -(-len(windows) // batch)
         steps = passes * each
         for t in range(1, steps + 1):
-            at = (t - 1) % each * BATCH
-            part = self.code[windows[at : at + BATCH]]
+            at = (t - 1) % each * batch
+            part = self.code[windows[at : at + batch]]
             logp, pair, g = self._learned(part[:, : 2 * STEP], part[:, 2 * STEP :])
             if t > steps - each:
                 bins += np.bincount(np.clip((logp - pair + SPAN) * (BINS / (2 * SPAN)), 0, BINS - 1).astype(np.int64), minlength=BINS)
@@ -349,10 +382,10 @@ class Model:
             self.gate = float((bins * (self.gate * ratio / (self.gate * ratio + 1 - self.gate))).sum() / max(1, bins.sum()))
         self.gate = min(0.99, max(0.01, self.gate))
 
-    def log10(self, streams: list[np.ndarray], at_once: int = 512) -> list[np.ndarray]:
+    def log10(self, streams: list[np.ndarray], at_once: int = 1024) -> list[np.ndarray]:
         """log10 probability of every id of each stream but the first, which is given."""
-        self.ones = np.concatenate([self.v, np.ones((len(self.v), 1), np.float32)], axis=1)
-        self.start, self.free = self.p["D"] + self.p["h"], _below(self.q, self.k.T, self.p["far"])
+        self.ones = _with_ones(self.v)
+        self.start = self.p["D"] + self.p["h"]
         sizes = np.array([len(s) - 1 for s in streams], np.int64)
         flat = self.code[np.concatenate(streams)].astype(np.uint16) if streams else np.empty(0, np.uint16)
         begins = np.cumsum(sizes + 1) - sizes - 1
@@ -377,7 +410,7 @@ class Model:
             follow = (where[:, STEP:].ravel() + 1)[live]
             y = flat[follow].astype(np.int64)
             some = np.flatnonzero(live)
-            h, before = self._states(x).take(some, axis=0), x[:, STEP:].ravel().take(some)
+            h, before = _with_ones(self._states(x).take(some, axis=0)), x[:, STEP:].ravel().take(some)
             symbol = np.where(y < SYMBOLS, y, self.rare)
             own = self._head(h, symbol)
             pair = self.table[np.where(before < SYMBOLS, before, self.rare), symbol]

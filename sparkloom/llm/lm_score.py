@@ -10,8 +10,9 @@ Id and symbol-pair counts cover all training documents; what reaches the driver
 bounded by the vocabulary and by ``SYMBOLS`` squared.  The attention weights are trained on
 the executors with every window of every training document, once, by one rule at every size:
 a hash deals runs of windows to rounds, and in a round to shards whose number grows with the
-corpus.  In each round every shard goes over its windows from the same start, and the shards'
-changes are averaged by windows; the last round also sets the mixture's gate.
+corpus.  In each round every shard goes over its windows from the same start in about ``STEPS``
+steps, and the shards' changes are averaged by windows; the last round also sets the mixture's
+gate.
 
 Words are compared by 64-bit hashes (at a billion distinct words about one pair collides
 in 40 corpora).  Defined results: null text counts as empty; an empty text has its end
@@ -43,10 +44,15 @@ ROUNDS, RUN = 3, 32
 #: Was the number of windows below which training took another share of them.  No size does
 #: any more and nothing reads it; it stays for the test that sets it.
 LEAST = 0
-#: Windows of a shard (in expectation); the unit in which shards' changes are summed, so
-#: that sums don't depend on their order; the slices in which they are summed, of which those
-#: that no shard changes are not sent.
-SHARD, UNIT, SLICES = 32_768, 2.0**40, 256
+#: Windows of a shard (in expectation), and of those of a round with at most ``FEW`` shards;
+#: the steps in which a shard is gone over, and a step's least windows (what a step costs apart
+#: from its windows falls with their number, and shards of more windows lose less by averaging).
+SHARD, SMALL, FEW, STEPS, STEP_WINDOWS = 131_072, 65_536, 8, 128, 32
+#: The unit in which shards' changes are summed, so that sums don't depend on their order; the
+#: slices in which they are summed, of which those that no shard changes are not sent.
+UNIT, SLICES = 2.0**40, 256
+#: Runs that are cut into windows at once.
+CUT = 256
 #: Ids of the vocabulary (fixed values): all, and the one for a text's start and end.
 VOCABULARY, END = 49_408, 49_407
 
@@ -189,6 +195,8 @@ def _run(stream: np.ndarray, nth: int) -> np.ndarray:
 
 def _windows_of_runs(runs: list[np.ndarray]) -> np.ndarray:
     """All windows of runs; the first that is cut from a run has what is before it as targets."""
+    if len(runs) > CUT:  # places take eight times as much as ids
+        return np.concatenate([_windows_of_runs(runs[a : a + CUT]) for a in range(0, len(runs), CUT)])
     sizes = np.array([len(r) for r in runs])
     windows, _ = _windows(np.concatenate(runs), sizes, np.zeros(len(runs), np.uint64), np.uint64(2**63))
     count = -(-(sizes - 1) // STEP)
@@ -203,6 +211,16 @@ def _mixed_up(windows: np.ndarray, salt: int) -> np.ndarray:
     return windows[np.argsort(mixed(key), kind="stable")]
 
 
+def _shards(windows: float) -> int:
+    """Shards of a round of so many windows."""
+    return max(1, min(FEW, round(windows / SMALL)), round(windows / SHARD))
+
+
+def _step(windows: int) -> int:
+    """Windows of a step of a shard of so many."""
+    return max(STEP_WINDOWS, -(-windows // STEPS))
+
+
 def _round(blocks: DataFrame, model: attention.Model, nth: int, available: int, shards: int) -> None:
     """One round on its ``available`` windows: every shard trains from ``model``, whose weights
     move by their average."""
@@ -215,7 +233,7 @@ def _round(blocks: DataFrame, model: attention.Model, nth: int, available: int,
         own = copy.copy(start)
         own.p = {k: v.copy() for k, v in start.p.items()}
         windows = _mixed_up(_windows_of_runs([np.frombuffer(r, np.uint16) for r in group]), nth)
-        bins += own.train(windows, nth / ROUNDS, (nth + 1) / ROUNDS)
+        bins += own.train(windows, nth / ROUNDS, (nth + 1) / ROUNDS, batch=_step(len(windows)))
         at = 0
         for k in names:
             old, new = start.p[k], own.p[k]
@@ -324,7 +342,7 @@ def train(blocks: DataFrame) -> attention.Model:
     for r in rows.collect():
         pairs[r["x"]] = np.frombuffer(r["n"], np.int64)
     model = attention.Model(counts, pairs)
-    shards = max(1, round(sum(available) / ROUNDS / SHARD))
+    shards = _shards(sum(available) / ROUNDS)
     for nth, windows in enumerate(available):
         if windows:
             with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):  # a round's text is shuffled for it alone

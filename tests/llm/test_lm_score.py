@@ -178,6 +178,45 @@ def test_every_training_target_is_learned_once_at_any_size(spark, monkeypatch):
         blocks.unpersist()
 
 
+def test_large_corpora_take_fewer_steps_a_window():
+    for windows in (1_000_000, 10_000_000, 600_000_000):  # a round's
+        shards = lm_score._shards(windows)
+        own = round(windows / shards)
+        assert shards * -(-own // lm_score._step(own)) * 700 <= windows  # 256 before
+    for windows in (1, 40, 10_000, 177_000):  # and small ones more steps than they had
+        own = round(windows / lm_score._shards(windows))
+        assert -(-own // lm_score._step(own)) >= min(100, -(-own // 256))
+
+
+def test_given_windows_of_a_step(monkeypatch):
+    seen, real = [], attention.Model._learned
+    monkeypatch.setattr(attention.Model, "_learned", lambda self, x, y: (seen.append(len(x)), real(self, x, y))[1])
+    streams = some_streams()
+    windows = windows_of(streams)
+    bins = attention.Model(*counted(streams)).train(windows, batch=7)
+    assert max(seen) == 7 and sum(seen) == len(windows) and bins.sum() == (windows[:, 2 * STEP :] != NONE).sum()
+
+
+def test_logits_out_of_bounds():
+    rng = np.random.default_rng(8)
+    x, w = attention._with_ones(rng.normal(size=(5, 3)).astype(np.float32)), rng.normal(size=(4, 6)).astype(np.float32)
+    for scale, move in ((1, 0), (40, 0), (4000, 0), (1, -300), (1, 300)):
+        own = w * np.float32(scale)
+        own[-1] += move
+        logit = (x @ own).astype(np.float64)
+        shares = np.array([softmax(r) for r in logit])
+        e, picked, total = attention._exponentials(x, own, np.arange(5) * 6 + 2)
+        assert np.allclose(e / total[:, None], shares, atol=1e-5)
+        assert np.allclose(picked - np.log(total), logit[:, 2] - logit.max(axis=1) - np.log(np.exp(logit - logit.max(axis=1, keepdims=True)).sum(axis=1)), atol=1e-4, rtol=1e-5)
+    streams = some_streams()
+    model = attention.Model(*counted(streams))
+    model.p["Q"] *= 4000
+    model.tables()
+    assert all(np.isfinite(x).all() for x in model.log10(streams))
+    part = model.code[windows_of(streams)]
+    assert all(np.isfinite(g).all() for g in model.gradients(part[:, : 2 * STEP], part[:, 2 * STEP :])[1].values())
+
+
 def test_gate_is_weighed_on_counts():
     model = attention.Model(np.ones(VOCABULARY), np.ones((SYMBOLS, SYMBOLS)))
     bins = np.zeros(attention.BINS, np.int64)
